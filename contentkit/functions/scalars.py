@@ -94,6 +94,15 @@ def split_list(c: Column, separators: str = "[,;]") -> Column:
     )
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with *value* evaluated once, however often *fn* refers to it.
+
+    Lambda bodies are not searched for common subexpressions, so an intermediate result that is
+    used several times in one is bound to a lambda variable.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def any_of(*conds: Column) -> Column:
     return reduce(lambda a, b: a | b, conds)
 

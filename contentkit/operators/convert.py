@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.functions.scalars import compact
+from contentkit.operators.plan import compute_once
 from contentkit.plans.conversion_packs import PACKS, Source, journal_page
 from contentkit.records import LINEAGE_SCHEMA_VERSION, category_map
 
@@ -57,9 +60,35 @@ def conversion_warnings() -> Column:
     )
 
 
+def unpacked(records: DataFrame, payload: str = "raw_content") -> DataFrame:
+    """Records with the helper columns the packs read."""
+    return compute_once(compute_once(records, **Source.unpack(F.col(payload))), **Source.numbers())
+
+
+@lru_cache(maxsize=256)
+def _standard_system(category: str, payload: str, context: int) -> Column:
+    """The system struct of a standard pack, built once per Spark context."""
+    return nest(PACKS[category](Source(payload)))
+
+
 def system_struct(category: str, payload: str = "raw_content", packs: Mapping[str, Pack] | None = None) -> Column:
-    """The typed ``system`` struct of one category, for plans over a single category."""
-    return nest((packs or PACKS)[category](Source(F.col(payload))))
+    """The ``system`` struct of one category over unpacked records."""
+    if packs and category in packs:
+        return nest(packs[category](Source(payload)))
+    return _standard_system(category, payload, id(SparkContext._active_spark_context))
+
+
+def convert_category(
+    records: DataFrame, category: str, payload: str = "raw_content", packs: Mapping[str, Pack] | None = None
+) -> DataFrame:
+    """P11 for one category: adds the typed ``system`` struct."""
+    rows = unpacked(records.filter(F.col("category") == category), payload)
+    system = system_struct(category, payload, packs)
+    return rows.withColumn("system", system).drop("_texts", "_numbers")
+
+
+def no_converter(category: Column) -> Column:
+    return F.concat(F.lit('No converter registered for category "'), F.coalesce(category, F.lit("")), F.lit('".'))
 
 
 def convert_records(
@@ -71,17 +100,17 @@ def convert_records(
     (journals only), ``lineage``, ``warnings`` and ``errors``.  A category without a pack gets an
     error and no document.  Pass *packs* to add or override packs.
     """
-    chosen = {**PACKS, **(packs or {})}
-    source = Source(F.col(payload))
+    chosen = list(dict.fromkeys([*PACKS, *(packs or {})]))
+    source = Source(payload)
     system = None
-    for category, pack in chosen.items():
+    for category in chosen:
         cond = F.col("category") == category
-        built = F.to_variant_object(nest(pack(source)))
+        built = F.to_variant_object(system_struct(category, payload, packs))
         system = F.when(cond, built) if system is None else system.when(cond, built)
     is_journal = F.col("category") == "journal"
     known = F.col("category").isin([*chosen, "journal"])
     page = F.array(nest(journal_page(source)))
-    return records.withColumns({
+    return unpacked(records, payload).withColumns({
         "document_type": F.try_element_at(category_map("document_type"), F.col("category")),
         "pack_id": F.coalesce(F.try_element_at(category_map("pack"), F.col("category")), F.lit("")),
         "sub_type": F.try_element_at(category_map("subtype"), F.col("category")),
@@ -89,9 +118,8 @@ def convert_records(
         "pages": F.when(is_journal, page),
         "lineage": lineage(run_time),
         "warnings": F.when(known, conversion_warnings()).otherwise(F.array().cast(NO_TEXTS)),
-        "errors": F.when(known, F.array().cast(NO_TEXTS)).otherwise(F.array(F.concat(
-            F.lit('No converter registered for category "'), F.coalesce("category", F.lit("")), F.lit('".')))),
-    })
+        "errors": F.when(known, F.array().cast(NO_TEXTS)).otherwise(F.array(no_converter(F.col("category")))),
+    }).drop("_texts", "_numbers")
 
 
 def document_json() -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contentkit.functions.scalars import compact, float_prefix, strip
 from contentkit.functions.variants import as_map, overlay
-from contentkit.records import ISSUE_TYPE, warning
+from contentkit.operators.plan import compute_once, explode_rows
 
 MIN_CONFIDENCE = 0.3
 REFINE_BELOW = 0.7
@@ -73,7 +73,7 @@ def extract_fields(blocks: DataFrame, rules: Sequence[FieldPattern], text: str =
         else:
             value = raw.cast("variant")
         hits.append(F.when(F.col(text).rlike(pattern), F.struct(F.lit(rule.field).alias("key"), value.alias("value"))))
-    return blocks.withColumn(out, F.to_variant_object(F.map_from_entries(compact(*hits))))
+    return compute_once(blocks, **{out: F.to_variant_object(F.map_from_entries(compact(*hits)))})
 
 
 # ------------------------------------------------------------------------------------------------
@@ -171,7 +171,7 @@ def score_categories(blocks: DataFrame, detectors: Sequence[Detector], text: str
             F.when(veto, -1).otherwise(total).alias("score"), F.lit(d.threshold).alias("threshold"),
         ))
     passed = F.filter(F.array(*scores), lambda s: s["score"] >= s["threshold"])
-    return blocks.withColumn("_hit", F.explode(passed)).select(
+    return explode_rows(blocks, passed, "_hit").select(
         *blocks.columns, "_hit.match_no", "_hit.category", "_hit.score"
     )
 
@@ -228,7 +228,7 @@ def detect_records(
     filtered before anything is captured, and a row evaluates only its own category's captures.
     """
     scored = score_categories(blocks.filter(strip(F.col(text)) != ""), detectors, text)
-    prepared = scored.withColumns({"_low": F.lower(text), "_lines": lines_of(F.col(text))})
+    prepared = compute_once(scored, _low=F.lower(text), _lines=lines_of(F.col(text)))
     none = F.create_map().cast("map<string,string>")
     f = Found(F.col(text), F.col("_low"), F.col("_lines"), F.col("_caps"))
 
@@ -239,8 +239,8 @@ def detect_records(
             expr = F.when(cond, build(d, f)) if expr is None else expr.when(cond, build(d, f))
         return expr
 
-    captured = prepared.withColumn("_caps", F.coalesce(by_category(_capture_map), none))
-    out = captured.withColumn("_rec", by_category(_assemble))
+    captured = compute_once(prepared, _caps=F.coalesce(by_category(_capture_map), none))
+    out = compute_once(captured, _rec=by_category(_assemble))
     return out.select(
         *blocks.columns, "match_no", "category", F.col("_rec.name").alias("name"),
         F.col("_rec.data").alias("structured_data"), F.col("_rec.confidence").alias("confidence"),
@@ -294,9 +294,5 @@ def apply_responses(extracted: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumns(changed).select(*extracted.columns)
 
 
-def no_data_issue(ref: Column) -> Column:
-    return F.array(warning("NO_DATA_EXTRACTED", None, F.concat(F.lit("Could not extract any data from "), ref))).cast(ISSUE_TYPE)
-
-
 def has_no_keys(payload: Column) -> Column:
     return F.size(as_map(payload)) == 0

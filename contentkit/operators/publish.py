@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.operators.catalog import select_records
-from contentkit.operators.convert import Pack, convert_records
+from contentkit.operators.convert import Pack, conversion_warnings, convert_records, no_converter
 from contentkit.operators.merge import merge_batch
-from contentkit.records import CATEGORY, CATEGORY_NAMES
+from contentkit.plans.conversion_packs import PACKS
+from contentkit.records import CATEGORY, CATEGORY_NAMES, category_map
 
 PUBLISH_ACTIONS = ("imported", "updated", "skipped")
 
@@ -77,20 +79,43 @@ def collect_published(published: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class PublishRun:
+    """Outcome of a run: the new index, one result row per record, and the records that won their key."""
+
+    index: DataFrame
+    results: DataFrame
+    winners: DataFrame
+    run_time: str
+    packs: Mapping[str, Pack] | None = None
+
+    def documents(self) -> DataFrame:
+        """The documents to write; ``document_id`` is the id they keep in their collection."""
+        return convert_records(self.winners, self.run_time, self.packs)
+
+
 def publish_run(
     records: DataFrame, index: DataFrame, run_time: str, ids: DataFrame | None = None,
     categories: list[str] | None = None, overwrite: bool = True, packs: Mapping[str, Pack] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """M8: select, convert and publish; returns the new index and one result row per record."""
-    converted = convert_records(select_records(records, ids, categories), run_time, packs)
-    good = converted.filter(F.size("errors") == 0)
-    columns = [c for c in index.columns]
-    merged, actions = publish(good.select(*columns), index, overwrite)
-    results = good.select("ord", "id", "name", "category", "warnings", "errors").join(
-        actions.select("ord", "pack_id", "disposition"), "ord"
-    )
-    bad = converted.filter(F.size("errors") > 0).select(
-        "ord", "id", "name", "category", "warnings", "errors", F.lit("").alias("pack_id"), F.lit("skipped").alias("disposition")
-    )
-    return merged, results.unionByName(bad)
+) -> PublishRun:
+    """M8: select, publish and convert.
 
+    *index* holds ord, id, name and pack_id of what is already published.  Publishing is decided on
+    these slim rows alone; only the records that win their key are converted.
+    """
+    selected = select_records(records, ids, categories).withColumn(
+        "pack_id", F.try_element_at(category_map("pack"), F.col("category")))
+    known = F.col("category").isin([*PACKS, *(packs or {}), "journal"])
+    slim = selected.filter(known).select("ord", "id", "name", "pack_id", F.col("ord").alias("payload_ord"))
+    held = index.select("ord", "id", "name", "pack_id", F.lit(None).cast("bigint").alias("payload_ord"))
+    merged, actions = publish(slim, held, overwrite)
+    winners = merged.filter(F.col("payload_ord").isNotNull()).select(
+        F.col("payload_ord").alias("ord"), F.col("id").alias("document_id"))
+    results = actions.select("ord", "pack_id", "disposition").join(
+        selected.select("ord", "id", "name", "category", conversion_warnings().alias("warnings")), "ord"
+    ).withColumn("errors", F.array().cast("array<string>"))
+    unknown = selected.filter(~F.coalesce(known, F.lit(False))).select(
+        "ord", F.lit("").alias("pack_id"), F.lit("skipped").alias("disposition"), "id", "name", "category",
+        F.array().cast("array<string>").alias("warnings"),
+        F.array(no_converter(F.col("category"))).alias("errors"))
+    return PublishRun(merged, results.unionByName(unknown), selected.drop("pack_id").join(winners, "ord"), run_time, packs)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentkit.functions.scalars import compact, float_prefix, strip
-from contentkit.functions.variants import as_map, dotted_path, get_as, type_of
+from contentkit.functions.scalars import bind, compact, float_prefix, strip
+from contentkit.functions.variants import as_map, dotted_path, type_of
+from contentkit.operators.plan import compute_once
 from contentkit.operators.skew import hot_lookup
 from contentkit.records import CATEGORY_NAMES, ISSUE_TYPE, error, is_category, issues_of, warning
 
@@ -29,76 +31,102 @@ class FieldRule:
     also: tuple[str, ...] = ()
 
 
-def _number_text(value: float) -> str:
-    return str(int(value)) if float(value).is_integer() else str(value)
-
-
-def field_issues(payload: Column, rule: FieldRule) -> list[Column]:
-    """Q1: the issues one rule can raise for a payload, at most one of the stopping kind first."""
-    sources = (rule.field, *rule.also)
-    value = F.coalesce(*[get_as(payload, k, "variant") for k in sources])
-    text = F.coalesce(*[get_as(payload, k, "string") for k in sources])
-    kind = type_of(value)
-    name = rule.field
-    missing = value.isNull() | (kind == "null") | ((kind == "string") & (text == ""))
-    found = []
-    if rule.required:
-        found.append(F.when(missing, error("REQUIRED_FIELD_MISSING", name, f"Required field '{name}' is missing or empty.")))
-    present = ~missing
-    if rule.type == "string":
-        found.append(F.when(present & (kind != "string"), error(
-            "TYPE_MISMATCH", name, F.concat(F.lit(f"Field '{name}' must be a string, got "), kind, F.lit(".")))))
-        ok = present & (kind == "string")
-        if rule.min_length is not None:
-            found.append(F.when(ok & (F.length(text) < rule.min_length), error(
-                "STRING_TOO_SHORT", name, f"Field '{name}' must be at least {rule.min_length} character(s).")))
-        if rule.enum:
-            found.append(F.when(ok & ~text.isin(list(rule.enum)), error(
-                "INVALID_ENUM_VALUE", name,
-                F.concat(F.lit(f"Field '{name}' has invalid value '"), text,
-                         F.lit(f"'. Allowed values: {', '.join(rule.enum)}.")))))
-    elif rule.type == "number":
-        number = F.when(kind.isin("number", "string"), float_prefix(text))
-        found.append(F.when(present & number.isNull(), error(
-            "TYPE_MISMATCH", name, F.concat(F.lit(f"Field '{name}' must be a number, got '"), text, F.lit("'.")))))
-        if rule.min is not None:
-            found.append(F.when(present & (number < rule.min), error(
-                "VALUE_TOO_LOW", name,
-                F.concat(F.lit(f"Field '{name}' value "), text, F.lit(f" is below minimum {_number_text(rule.min)}.")))))
-        if rule.max is not None:
-            found.append(F.when(present & (number > rule.max), error(
-                "VALUE_TOO_HIGH", name,
-                F.concat(F.lit(f"Field '{name}' value "), text, F.lit(f" exceeds maximum {_number_text(rule.max)}.")))))
-    elif rule.type == "boolean":
-        found.append(F.when(present & (kind != "boolean"), warning(
-            "TYPE_COERCION", name, f"Field '{name}' is not a boolean; will be coerced.")))
-    elif rule.type in ("array", "object"):
-        found.append(F.when(present & (kind != rule.type), error(
-            "TYPE_MISMATCH", name, f"Field '{name}' must be an {rule.type}.")))
-    return found
+RULE_TYPE = (
+    "array<struct<field:string,sources:array<string>,type:string,required:boolean,min:double,max:double,"
+    "min_length:int,enum:array<string>>>"
+)
+
+
+def _rule_table(rules: Iterable[FieldRule]) -> Column:
+    """The rules as one literal map from category to its rule array."""
+    by_category: dict[str, list[dict]] = {}
+    for r in rules:
+        by_category.setdefault(r.category, []).append({
+            "field": r.field, "sources": list(dict.fromkeys(k for n in (r.field, *r.also) for k in (n, n.lower()))), "type": r.type, "required": r.required, "min": r.min,
+            "max": r.max, "min_length": r.min_length, "enum": list(r.enum) or None})
+    return F.from_json(F.lit(json.dumps(by_category)), f"map<string,{RULE_TYPE}>")
+
+
+def _plain_number(c: Column) -> Column:
+    """A limit without a trailing ".0"."""
+    return F.regexp_replace(c.cast("string"), r"\.0$", "")
+
+
+def _checked(rule: Column, values: Column) -> Column:
+    """The rule with the value it looks at: its type, its text, whether it is missing, its number."""
+    first = F.get(F.filter(
+        F.transform(rule["sources"], lambda k: F.try_element_at(values, k)), lambda v: v.isNotNull()), F.lit(0))
+
+    def facts(v: Column) -> Column:
+        kind = F.coalesce(v["kind"], F.lit("null"))
+        return F.struct(
+            rule.alias("rule"), kind.alias("kind"), v["text"].alias("text"),
+            ((kind == "null") | ((kind == "string") & (v["text"] == ""))).alias("missing"),
+            F.when((rule["type"] == "number") & kind.isin("number", "string"), float_prefix(v["text"])).alias("number"))
+
+    return bind(first, facts)
+
+
+def _rule_issues(seen: Column) -> Column:
+    """Q1: every issue one rule raises (null where it holds).
+
+    A missing or mistyped value stops the rule, so later checks only see values of the right type.
+    """
+    rule, kind, text, missing, number = (seen[c] for c in ("rule", "kind", "text", "missing", "number"))
+    named = F.concat(F.lit("Field '"), rule["field"], F.lit("'"))
+    wanted = rule["type"]
+    number = F.when(~missing, number)
+    is_text = ~missing & (wanted == "string") & (kind == "string")
+    mismatch = ~missing & (
+        F.when(wanted == "number", number.isNull())
+        .when(wanted.isin("string", "array", "object"), kind != wanted)
+        .otherwise(False)
+    )
+    expected = F.when(wanted == "string", F.concat(F.lit(" must be a string, got "), kind, F.lit("."))).when(
+        wanted == "number", F.concat(F.lit(" must be a number, got '"), text, F.lit("'."))).otherwise(
+        F.concat(F.lit(" must be an "), wanted, F.lit(".")))
+
+    def raised(level: str, code: str, message: Column) -> Column:
+        return F.struct(
+            F.lit(level).alias("level"), F.lit(code).alias("code"), rule["field"].alias("field"), message.alias("message"))
+
+    return F.array(
+        F.when(rule["required"] & missing, raised("error", "REQUIRED_FIELD_MISSING", F.concat(
+            F.lit("Required field '"), rule["field"], F.lit("' is missing or empty.")))),
+        F.when(mismatch, raised("error", "TYPE_MISMATCH", F.concat(named, expected))),
+        F.when(is_text & (F.length(text) < rule["min_length"]), raised("error", "STRING_TOO_SHORT", F.concat(
+            named, F.lit(" must be at least "), rule["min_length"].cast("string"), F.lit(" character(s).")))),
+        F.when(is_text & ~F.array_contains(rule["enum"], text), raised("error", "INVALID_ENUM_VALUE", F.concat(
+            named, F.lit(" has invalid value '"), text, F.lit("'. Allowed values: "), F.array_join(rule["enum"], ", "), F.lit(".")))),
+        F.when(number < rule["min"], raised("error", "VALUE_TOO_LOW", F.concat(
+            named, F.lit(" value "), text, F.lit(" is below minimum "), _plain_number(rule["min"]), F.lit(".")))),
+        F.when(number > rule["max"], raised("error", "VALUE_TOO_HIGH", F.concat(
+            named, F.lit(" value "), text, F.lit(" exceeds maximum "), _plain_number(rule["max"]), F.lit(".")))),
+        F.when(~missing & (wanted == "boolean") & (kind != "boolean"), raised(
+            "warning", "TYPE_COERCION", F.concat(named, F.lit(" is not a boolean; will be coerced.")))),
+    )
 
 
 def validate_content(
     entries: DataFrame, rules: Iterable[FieldRule], payload: str = "data", category: str = "content_type"
 ) -> DataFrame:
-    """Q1: adds ``issues`` and ``valid``; one pass, each row evaluates only its category's rules.
+    """Q1: adds ``issues`` and ``valid``.
 
-    An unknown category is valid with the warning ``NO_SCHEMA``.
+    The rules stay data: one expression runs over the rule array of the row's category, so the plan
+    does not grow with the number of rules.  An unknown category is valid, with the warning ``NO_SCHEMA``.
     """
-    by_category: dict[str, list[FieldRule]] = {}
-    for rule in rules:
-        by_category.setdefault(rule.category, []).append(rule)
-    expr = None
-    for name, group in by_category.items():
-        items = compact(*[i for r in group for i in field_issues(F.col(payload), r)]).cast(ISSUE_TYPE)
-        cond = F.col(category) == name
-        expr = F.when(cond, items) if expr is None else expr.when(cond, items)
+    table = _rule_table(rules)
+    values = F.transform_values(as_map(F.col(payload)), lambda k, v: F.struct(
+        type_of(v).alias("kind"), v.try_cast("string").alias("text")))
+    rules_here = F.try_element_at(table, F.col(category))
+    seen = bind(values, lambda m: F.transform(rules_here, lambda r: _checked(r, m)))
+    found = F.array_compact(F.flatten(F.transform(seen, _rule_issues)))
     unknown = F.array(warning(
         "NO_SCHEMA", None,
         F.concat(F.lit("No validation schema defined for content type '"), F.coalesce(category, F.lit("")),
-                 F.lit("'. Skipping field validation.")))).cast(ISSUE_TYPE)
-    issues = expr.otherwise(unknown) if expr is not None else unknown
-    return entries.withColumn("issues", issues).withColumn("valid", F.size(issues_of(F.col("issues"), "error")) == 0)
+                 F.lit("'. Skipping field validation."))))
+    issues = F.coalesce(found.cast(ISSUE_TYPE), unknown.cast(ISSUE_TYPE))
+    return compute_once(entries, issues=issues).withColumn("valid", F.size(issues_of(F.col("issues"), "error")) == 0)
 
 
 def validate_import(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -138,9 +166,7 @@ def validate_import(drafts: DataFrame, catalog: DataFrame) -> DataFrame:
             "EMPTY_RAW_CONTENT", None, "Record contains no content fields beyond name and category. "
             "The record will save but its conversion may be incomplete.")),
     ).cast(ISSUE_TYPE)
-    out = rows.withColumn("issues", issues).withColumn(
-        "display_name", F.when(name == "", "(no name)").otherwise(name)
-    )
+    out = compute_once(rows, issues=issues).withColumn("display_name", F.when(name == "", "(no name)").otherwise(name))
     return out.withColumn("valid", F.size(issues_of(F.col("issues"), "error")) == 0).select(
         *drafts.columns, "display_name", "valid", "issues"
     )
@@ -169,10 +195,7 @@ def required_paths(documents: DataFrame, rules: dict[str, list[str]], payload: s
     expr = None
     for category, paths in rules.items():
         lacking = compact(*[
-            F.when(
-                F.coalesce(F.is_variant_null(F.try_variant_get(F.col(payload), dotted_path(p), "variant")), F.lit(True))
-                | (F.try_variant_get(F.col(payload), dotted_path(p), "string") == ""),
-                F.lit(p))
+            F.when(F.try_variant_get(F.col(payload), dotted_path(p), "string").isNull(), F.lit(p))
             for p in paths
         ])
         cond = F.col("category") == category

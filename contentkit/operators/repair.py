@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from contentkit.functions.scalars import split_list, strip, to_number
 from contentkit.functions.variants import as_map, empty_map, type_of
 from contentkit.operators.catalog import first_templates
+from contentkit.operators.plan import compute_once
 from contentkit.operators.schema import KEY, schema_compat
 from contentkit.operators.skew import dim_join
 
@@ -66,11 +67,9 @@ def repair_records(
     rows = dim_join(records, dim, KEY)
     unpacked = F.from_json(
         "_packed", "struct<_fields:array<struct<path:string,type:string,required:boolean,default:variant>>>")["_fields"]
-    rows = rows.withColumns({
-        "_schema": unpacked,
-        "_have": as_map(F.col(payload)),
-        "_template": F.coalesce(F.when(F.col("_template_json").isNotNull(), as_map(F.try_parse_json("_template_json"))), empty_map()),
-    })
+    rows = compute_once(
+        rows, _schema=unpacked, _have=as_map(F.col(payload)),
+        _template=F.coalesce(F.when(F.col("_template_json").isNotNull(), as_map(F.try_parse_json("_template_json"))), empty_map()))
 
     def outcome(f: Column) -> Column:
         key = f["path"]
@@ -102,7 +101,7 @@ def repair_records(
         return F.struct(key.alias("field"), action.alias("action"), old.alias("old"), value.alias("value"),
                         reason.alias("reason"), f["required"].alias("required"))
 
-    rows = rows.withColumn("_out", F.transform("_schema", outcome))
+    rows = compute_once(rows, _out=F.transform("_schema", outcome))
     written = F.filter("_out", lambda o: o["action"].isin("normalized", "filled_template", "filled_default"))
     patch = F.map_from_entries(F.transform(written, lambda o: F.struct(o["field"], o["value"])))
     repaired = F.to_variant_object(F.map_zip_with(F.col("_have"), patch, lambda k, a, b: F.coalesce(b, a)))

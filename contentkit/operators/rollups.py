@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.functions.scalars import round_half_up
+from contentkit.operators.plan import explode_rows
 
 STATUSES = ["pending", "accepted", "rejected", "edited"]
 METHODS = ["regex", "ai", "manual"]
@@ -127,4 +128,4 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 def error_log(df: DataFrame, keep: list[str]) -> DataFrame:
     """One row per issue, with the identifying columns in *keep*."""
-    return df.select(*keep, F.explode("issues").alias("i")).select(*keep, "i.level", "i.code", "i.field", "i.message")
+    return explode_rows(df.select(*keep, "issues"), F.col("issues"), "i").select(*keep, "i.level", "i.code", "i.field", "i.message")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contentkit.functions.variants import MAP_TYPE, as_map, type_of
 from contentkit.operators.conform import MapRule
+from contentkit.operators.plan import compute_once, explode_rows
 from contentkit.operators.skew import dim_join
 
 MAX_DEPTH = 6
@@ -49,9 +50,9 @@ def flatten_paths(docs: DataFrame, payload: str, keep: list[str], depth: int = M
     level = _children(F.lit(""), F.col(payload), ".")
     cols = docs.select(*keep, F.coalesce(level, F.array().cast("array<struct<path:string,value:variant>>")).alias("_l1"))
     for i in range(2, depth + 1):
-        cols = cols.withColumn(f"_l{i}", F.flatten(F.transform(f"_l{i - 1}", _expand)))
+        cols = compute_once(cols, **{f"_l{i}": F.flatten(F.transform(f"_l{i - 1}", _expand))})
     everything = F.concat(*[F.col(f"_l{i}") for i in range(1, depth + 1)])
-    return cols.select(*keep, F.explode(everything).alias("_n")).select(
+    return explode_rows(cols, everything, "_n").select(
         *keep, F.col("_n.path").alias("path"), F.col("_n.value").alias("value"))
 
 
@@ -172,7 +173,7 @@ def schema_compat(records: DataFrame, fields: DataFrame, payload: str = "raw_con
         return F.when(known, F.concat(F.lit('Add "'), f["path"], F.lit('" with value '), f["default_json"], F.lit(" (default)."))).otherwise(
             F.concat(F.lit('Add "'), f["path"], F.lit('" ('), f["type"], F.lit("), e.g. "), F.coalesce(example, F.lit("null")), F.lit(".")))
 
-    out = rows.withColumn("_have", have).withColumns({"_missing": missing, "_tops": tops, "_paths": paths})
+    out = compute_once(compute_once(rows, _have=have), _missing=missing, _tops=tops, _paths=paths)
     required = F.filter("_missing", lambda f: f["required"])
     out = out.withColumns({
         "missing_required": F.transform(required, lambda f: f["path"]),

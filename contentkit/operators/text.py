@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contentkit.functions.scalars import WHITESPACE, blank_to_null, strip, title_case
+from contentkit.operators.plan import compute_once, explode_rows
 
 # ---------------------------------------------------------------------------------------------
 # Thresholds, patterns and word lists that decide results.
@@ -147,7 +148,7 @@ def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or ["doc_id", "page_number"]
     numbered = pages.filter(F.length("text") >= MIN_PAGE_CHARS).select(*keys, F.split("text", "\n").alias("_lines"))
-    numbered = numbered.withColumn("_trim", F.transform("_lines", strip))
+    numbered = compute_once(numbered, _trim=F.transform("_lines", strip))
 
     def describe(line: Column, i: Column) -> Column:
         trimmed = F.col("_trim")[i]
@@ -163,7 +164,7 @@ def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
             (header | before_stat).alias("opens"),
         )
 
-    numbered = numbered.withColumn("_marks", F.transform("_lines", describe))
+    numbered = compute_once(numbered, _marks=F.transform("_lines", describe))
     none = F.lit(-1)
     start = F.struct(
         F.lit(0).alias("i"), F.lit(1).alias("start_line"), none.alias("first"), none.alias("last"),
@@ -200,7 +201,7 @@ def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
     span = F.slice("_lines", F.col("_b.first") + 1, F.col("_b.last") - F.col("_b.first") + 1)
     body = strip(F.array_join(F.filter(span, lambda ln: strip(ln) != ""), "\n"))
-    return numbered.select(*keys, "_lines", F.posexplode(blocks).alias("block_no", "_b")).select(
+    return explode_rows(numbered.select(*keys, "_lines", "_marks"), blocks, "_b", position="block_no").select(
         *keys, "block_no", F.col("_b.start_line").alias("start_line"), body.alias("text")
     )
 

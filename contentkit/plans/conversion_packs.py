@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contentkit.functions import rules as R
-from contentkit.functions.scalars import first_nonzero, first_text, float_prefix, lookup, split_list
-from contentkit.functions.variants import get_as, get_number, get_text, get_value, type_of
+from contentkit.functions.scalars import first_nonzero, first_text, float_prefix, lookup, split_list, to_number
+from contentkit.functions.variants import get_as, get_value, type_of
 
 # ---------------------------------------------------------------------------------------------
 # Fixed values.
@@ -23,25 +23,54 @@ JOURNAL_PAGE_NAMES = {"pdf": "PDF Reference", "rules": "Rules Reference", "lore"
 
 
 class Source:
-    """Typed access to a record's payload and columns."""
+    """Typed access to a record's payload and columns.
 
-    def __init__(self, payload: Column) -> None:
-        self.payload = payload
+    The payload is unpacked once per row into two maps (see :func:`unpack`), so a field access is
+    a map lookup and the compiled plan stays small.
+    """
+
+    def __init__(self, payload: str = "raw_content") -> None:
+        self.payload = F.col(payload)
+
+    @staticmethod
+    def unpack(payload: Column) -> dict[str, Column]:
+        """The helper columns every pack reads: texts by key, then numbers by key."""
+        texts = F.coalesce(F.try_variant_get(payload, "$", "map<string,string>"), F.create_map().cast("map<string,string>"))
+        return {"_texts": texts}
+
+    @staticmethod
+    def numbers() -> dict[str, Column]:
+        return {"_numbers": F.transform_values("_texts", lambda k, v: to_number(v))}
+
+    @staticmethod
+    def _lookup(table: str, key: str) -> str:
+        spellings = dict.fromkeys((key, key.lower()))
+        return ", ".join(f"try_element_at({table}, '{k}')" for k in spellings)
+
+    def raw(self, key: str) -> Column:
+        """Text of a key, null when absent or JSON null."""
+        return F.expr(f"coalesce({self._lookup('_texts', key)})")
 
     def text(self, *keys: str, default: str | Column = "") -> Column:
         """First non-empty text among *keys*; the default stands in for an absent last key."""
-        last = default if isinstance(default, Column) else F.lit(default)
-        *head, tail = [get_text(self.payload, k) for k in keys]
-        return first_text(*head, F.coalesce(tail, last))
+        *head, tail = keys
+        firsts = [f"nullif(coalesce({self._lookup('_texts', k)}), '')" for k in head]
+        last = self._lookup("_texts", tail)
+        if isinstance(default, Column):
+            return F.coalesce(*[F.expr(e) for e in firsts], F.expr(f"coalesce({last})"), default)
+        return F.expr(f"coalesce({', '.join([*firsts, last])}, '{default}')")
 
     def num(self, *keys: str, default: float | Column = 0) -> Column:
         """First non-zero number among *keys*; the default stands in for an absent or odd last key."""
-        last = default if isinstance(default, Column) else F.lit(float(default))
-        *head, tail = [get_number(self.payload, k) for k in keys]
-        return first_nonzero(*head, F.coalesce(tail, last))
+        *head, tail = keys
+        firsts = [f"nullif(coalesce({self._lookup('_numbers', k)}), 0D)" for k in head]
+        last = self._lookup("_numbers", tail)
+        if isinstance(default, Column):
+            return F.coalesce(*[F.expr(e) for e in firsts], F.expr(f"coalesce({last})"), default)
+        return F.expr(f"coalesce({', '.join([*firsts, last])}, {float(default)}D)")
 
     def flag(self, key: str) -> Column:
-        return R.flag(F.coalesce(get_text(self.payload, key), F.lit("false")))
+        return R.flag(self.raw(key))
 
     def kind(self, rule: str, *keys: str, default: str = "") -> Column:
         return R.substring_rule(rule)(self.text(*keys, default=default))
@@ -80,7 +109,7 @@ def pair(value: Column, *names: str) -> dict:
 
 def weapon(s: Source) -> dict:
     melee = F.lit(False)
-    kind = F.lower(F.coalesce(get_text(s.payload, "type"), F.lit("")))
+    kind = F.lower(s.text("type"))
     for word in MELEE_WORDS:
         melee = melee | kind.contains(word)
     critical = s.text("critical", "critEffect")
@@ -182,7 +211,7 @@ def spell(s: Source) -> dict:
 
 def species(s: Source) -> dict:
     def typed(key: str, kind: str) -> Column:
-        return F.when(type_of(get_value(s.payload, key)) == kind, get_text(s.payload, key))
+        return F.when(type_of(get_value(s.payload, key)) == kind, s.raw(key))
 
     size = F.lower(typed("size", "string"))
     mods = F.coalesce(get_as(s.payload, "abilityMods", "array<struct<mod:string,ability:string>>"),
@@ -256,7 +285,6 @@ def _save(value: Column) -> dict:
 def npc(s: Source) -> dict:
     init = s.num("initiative", "init")
     skills = R.skills(s.text("skills"))
-    speed = get_text(s.payload, "speed")
     scores = {a: s.num(a, default=10) for a in ABILITY_KEYS}
     return {
         "details": {
@@ -291,7 +319,7 @@ def npc(s: Source) -> dict:
             "languages": {"value": s.list("languages"), "custom": ""},
         },
         # "40 ft., climb 20 ft." counts as 40: the leading number is taken from text with units.
-        "speed": {"value": F.coalesce(get_number(s.payload, "speed"), float_prefix(speed), F.lit(30.0)),
+        "speed": {"value": s.num("speed", default=F.coalesce(float_prefix(s.raw("speed")), F.lit(30.0))),
                   "special": s.text("otherSpeed")},
     }
 
@@ -366,8 +394,8 @@ def hazard(s: Source) -> dict:
 
 def journal_page(s: Source) -> dict:
     """The single page of a journal entry; its layout depends on ``journalType``."""
-    kind = F.coalesce(get_text(s.payload, "journalType"), F.lit("sourcebook"))
-    text = F.coalesce(get_text(s.payload, "description"), F.lit(""))
+    kind = s.text("journalType", default="sourcebook")
+    text = s.text("description")
     name, tags = F.col("name"), F.coalesce("tags", F.array().cast("array<string>"))
 
     def tag(before: str, value: Column, after: str, needed: bool = True) -> Column:
@@ -375,10 +403,10 @@ def journal_page(s: Source) -> dict:
         return F.when(value != "", whole) if needed else whole
 
     def text_or(key: str) -> Column:
-        return F.coalesce(get_text(s.payload, key), text)
+        return F.coalesce(s.raw(key), text)
 
     head = [tag("<h2>", name, "</h2>", False), tag("<p><em>Source: ", s.source, "</em></p>", False)]
-    url = F.coalesce(get_text(s.payload, "pdfUrl"), F.lit(""))
+    url = s.text("pdfUrl")
     bodies = {
         "pdf": [*head, tag('<p><a href="', url, '" target="_blank">Open PDF</a></p>'), tag("<p>", text, "</p>")],
         "rules": [*head, tag('<div class="rule-text">', text_or("ruleText"), "</div>", False)],

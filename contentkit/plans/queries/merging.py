@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from contentkit.operators import merge as M
 from contentkit.operators import publish as P
-from contentkit.operators.convert import convert_records, document_json
+from contentkit.operators.convert import convert_records
 from contentkit.plans.queries.base import (
     MERGE_SQL, PART_SQL, RUN_TIME, branded_catalog, order_batch, part_records, query, table,
 )
@@ -174,6 +174,19 @@ SELECT id, category, CASE WHEN rn > 1 THEN 'updated' ELSE 'imported' END AS disp
 def m8(spark, sf):
     ids = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id"))
     records = part_records(spark, sf)
-    empty = convert_records(records, RUN_TIME).limit(0).select("ord", "id", "name", "pack_id", document_json().alias("document"))
-    index = empty.drop("document")
-    return P.publish_run(records, index, RUN_TIME, ids, ["weapon", "npc", "spell", "journal"])[1].select("id", "category", "disposition")
+    index = records.limit(0).select("ord", "id", "name", F.lit("").alias("pack_id"))
+    return P.publish_run(records, index, RUN_TIME, ids, ["weapon", "npc", "spell", "journal"]).results.select("id", "category", "disposition")
+
+
+@query("m8_written_documents", f"""WITH {PART_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY category, lower(name) ORDER BY ord) AS rn,
+             row_number() OVER (PARTITION BY category, lower(name) ORDER BY ord DESC) AS rl FROM rec WHERE category = 'armor')
+SELECT f.id AS document_id, l.id AS record_id, l.name, CAST(l.level AS DOUBLE) AS level
+FROM r f JOIN r l ON lower(f.name) = lower(l.name) WHERE f.rn = 1 AND l.rl = 1""")
+def m8_documents(spark, sf):
+    records = part_records(spark, sf)
+    index = records.limit(0).select("ord", "id", "name", F.lit("").alias("pack_id"))
+    documents = P.publish_run(records, index, RUN_TIME, categories=["armor"]).documents()
+    return documents.select(
+        "document_id", F.col("lineage.recordId").alias("record_id"), "name",
+        F.try_variant_get("system", "$.level", "double").alias("level"))

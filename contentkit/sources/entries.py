@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from contentkit.functions.scalars import blank_to_null, int_prefix, split_list, strip, to_number
 from contentkit.functions.variants import as_map, get_text, scalar_to_variant, type_of
 from contentkit.operators.extract import TextTemplate, extract_fields, has_no_keys, pick_template
+from contentkit.operators.plan import compute_once, explode_rows
 from contentkit.operators.skew import dim_join
 from contentkit.records import DEFAULT_CATEGORY, RECORD_COLUMNS, RECORD_SCHEMA_VERSION, is_category, record_id
 
@@ -110,7 +111,7 @@ def read_entries_csv(
             n.alias("key"), strip(F.coalesce(F.get("_cells", i), F.lit(""))).alias("value")))
         return F.map_from_entries(F.filter(pairs, lambda p: p["key"].isNotNull()))
 
-    rows = rows.withColumns({"_by_name": cell_map("_data"), "_by_meta": cell_map("_meta")}).filter(
+    rows = compute_once(rows, _by_name=cell_map("_data"), _by_meta=cell_map("_meta")).filter(
         F.exists(F.map_values("_by_name"), lambda v: v != ""))
 
     def cell(name: str) -> Column:
@@ -156,7 +157,7 @@ def parse_json_entries(
     source_meta: Mapping[str, object] | None = None, text: str = "_text",
 ) -> tuple[DataFrame, DataFrame]:
     """S3 over a table of JSON texts (source_file and one text column)."""
-    docs = texts.filter(strip(F.coalesce(text, F.lit(""))) != "").withColumn("_doc", F.try_parse_json(text))
+    docs = compute_once(texts.filter(strip(F.coalesce(text, F.lit(""))) != ""), _doc=F.try_parse_json(text))
     parsed = docs.filter(F.col("_doc").isNotNull())
     no_ref = F.lit(None).cast("string")
     broken = _issues(docs.filter(F.col("_doc").isNull()), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON."), no_ref)
@@ -174,7 +175,8 @@ def parse_json_entries(
     odd = _issues(shaped.filter(~F.col("_kind").isin("array", "object")), "error", "JSON_NO_ENTRIES",
                   F.lit("JSON root is not an array or object."), no_ref)
     items = F.when(F.col("_kind") == "array", F.try_variant_get("_root", "$", "array<variant>")).otherwise(F.array("_root"))
-    elements = shaped.filter(F.col("_kind").isin("array", "object")).select("source_file", F.posexplode(items).alias("_i", "_item"))
+    elements = shaped.filter(F.col("_kind").isin("array", "object")).select("source_file", items.alias("_items"))
+    elements = explode_rows(elements, F.col("_items"), "_item", position="_i")
     ref = F.concat(F.lit("index:"), F.col("_i").cast("string"))
     objects = elements.filter(type_of(F.col("_item")) == "object").withColumn("_map", as_map(F.col("_item")))
     invalid = _issues(elements.filter(type_of(F.col("_item")) != "object"), "warning", "INVALID_ENTRY", F.concat(
@@ -220,7 +222,7 @@ def read_text_blocks(
         shape = "source_file string, source_ref string, content_type string, data variant, metadata " + _metadata_type()
         return spark.createDataFrame([], shape), empty
     parts = F.filter(F.transform(F.split(text, "\n{2,}"), strip), lambda b: b != "")
-    blocks = texts.select("source_file", F.posexplode(parts).alias("_i", "_block"))
+    blocks = explode_rows(texts.select("source_file", text), parts, "_block", position="_i").drop(text)
     ref = F.concat(F.lit("block:"), F.col("_i").cast("string"))
     filled = extract_fields(blocks, chosen.rules, "_block", "data")
     lost = _issues(filled.filter(has_no_keys(F.col("data"))), "warning", "NO_DATA_EXTRACTED", F.concat(
