@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentkit.functions.scalars import compact, float_prefix, strip
+from contentkit.functions.scalars import all_of, any_of, compact, float_prefix, strip
 from contentkit.functions.variants import as_map, overlay
 from contentkit.operators.plan import compute_once, explode_rows
 
@@ -81,31 +82,25 @@ def extract_fields(blocks: DataFrame, rules: Sequence[FieldPattern], text: str =
 # ------------------------------------------------------------------------------------------------
 @dataclass(frozen=True)
 class Signal:
-    """Weighted evidence: any word contained, all words contained, or a pattern found."""
+    """Weighted evidence on the lower-cased text; every given part must hold.
+
+    *any* and *all* are substring tests; next to a *pattern* they are cheap guards for it.
+    """
 
     weight: int
     any: tuple[str, ...] = ()
     all: tuple[str, ...] = ()
     pattern: str = ""
 
-    def holds(self, text: Column, low: Column) -> Column:
+    def holds(self, low: Column) -> Column:
         tests = []
         if self.any:
-            test = F.lit(False)
-            for w in self.any:
-                test = test | low.contains(w)
-            tests.append(test)
+            tests.append(any_of(*[low.contains(w) for w in self.any]))
         if self.all:
-            test = F.lit(True)
-            for w in self.all:
-                test = test & low.contains(w)
-            tests.append(test)
+            tests.append(all_of(*[low.contains(w) for w in self.all]))
         if self.pattern:
-            tests.append(text.rlike("(?i)" + self.pattern))
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+            tests.append(low.rlike(self.pattern))
+        return all_of(*tests)
 
 
 @dataclass(frozen=True)
@@ -140,7 +135,7 @@ class Detector:
     category: str
     threshold: int
     signals: tuple[Signal, ...]
-    vetoes: tuple[str, ...]
+    vetoes: tuple[Signal, ...]
     name: Callable[[Found], Column]
     captures: tuple[Capture, ...]
     skip_line: Callable[[Column, Found], Column]
@@ -155,27 +150,6 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r?\n"), strip), lambda ln: ln != "")
 
 
-def score_categories(blocks: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:
-    """One row per (block, detector that passes), with its score; output order is pack order."""
-    low = F.lower(F.col(text))
-    scores = []
-    for order, d in enumerate(detectors):
-        total = F.lit(0)
-        for s in d.signals:
-            total = total + F.when(s.holds(F.col(text), low), s.weight).otherwise(0)
-        veto = F.lit(False)
-        for pattern in d.vetoes:
-            veto = veto | F.col(text).rlike("(?i)" + pattern)
-        scores.append(F.struct(
-            F.lit(order).alias("match_no"), F.lit(d.category).alias("category"),
-            F.when(veto, -1).otherwise(total).alias("score"), F.lit(d.threshold).alias("threshold"),
-        ))
-    passed = F.filter(F.array(*scores), lambda s: s["score"] >= s["threshold"])
-    return explode_rows(blocks, passed, "_hit").select(
-        *blocks.columns, "_hit.match_no", "_hit.category", "_hit.score"
-    )
-
-
 def _capture_map(d: Detector, f: Found) -> Column:
     parts = [F.lit("name"), strip(d.name(f))]
     for c in d.captures:
@@ -219,6 +193,65 @@ def _assemble(d: Detector, f: Found) -> Column:
     )
 
 
+@dataclass(frozen=True)
+class Compiled:
+    """The columns of a detector list: scores, captured fields, assembled record."""
+
+    detectors: tuple[Detector, ...]
+    scores: Column
+    captures: Column
+    record: Column
+
+
+_COMPILED: dict[tuple, Compiled] = {}
+
+
+def _compiled(detectors: Sequence[Detector], text: str) -> Compiled:
+    """Compile a detector list once per Spark context: the packs hold a few thousand expressions."""
+    key = (tuple(id(d) for d in detectors), text, id(SparkContext._active_spark_context))
+    if key not in _COMPILED:
+        f = Found(F.col(text), F.col("_low"), F.col("_lines"), F.col("_caps"))
+
+        def by_category(build: Callable[[Detector, Found], Column]) -> Column:
+            expr = None
+            for i, d in enumerate(detectors):
+                cond = F.col("match_no") == i
+                expr = F.when(cond, build(d, f)) if expr is None else expr.when(cond, build(d, f))
+            return expr
+
+        captures = F.coalesce(by_category(_capture_map), F.create_map().cast("map<string,string>"))
+        _COMPILED[key] = Compiled(tuple(detectors), _scores(detectors), captures, by_category(_assemble))
+    return _COMPILED[key]
+
+
+def _scores(detectors: Sequence[Detector]) -> Column:
+    """One struct per detector, in pack order, with its score; a veto scores -1."""
+    low = F.col("_low")
+    scores = []
+    for order, d in enumerate(detectors):
+        total = F.lit(0)
+        for s in d.signals:
+            total = total + F.when(s.holds(low), s.weight).otherwise(0)
+        if d.vetoes:
+            total = F.when(total < d.threshold, total).when(any_of(*[v.holds(low) for v in d.vetoes]), -1).otherwise(total)
+        scores.append(F.struct(
+            F.lit(order).alias("match_no"), F.lit(d.category).alias("category"), total.alias("score"),
+            F.lit(d.threshold).alias("threshold")))
+    return F.array(*scores)
+
+
+def _scored(blocks: DataFrame, detectors: Sequence[Detector], text: str) -> DataFrame:
+    lowered = compute_once(blocks, _low=F.lower(text))
+    hits = lowered.select("*", F.explode_outer(_compiled(detectors, text).scores).alias("_hit"))
+    return hits.filter(F.col("_hit.score") >= F.col("_hit.threshold")).select(
+        *blocks.columns, "_low", "_hit.match_no", "_hit.category", "_hit.score")
+
+
+def score_categories(blocks: DataFrame, detectors: Sequence[Detector], text: str = "text") -> DataFrame:
+    """One row per (block, detector that passes), with its score; output order is pack order."""
+    return _scored(blocks, detectors, text).drop("_low")
+
+
 def detect_records(
     blocks: DataFrame, detectors: Sequence[Detector], min_confidence: float = MIN_CONFIDENCE, text: str = "text"
 ) -> DataFrame:
@@ -227,20 +260,11 @@ def detect_records(
     Adds match_no, category, name, structured_data (VARIANT), confidence, auto_tags.  Scores are
     filtered before anything is captured, and a row evaluates only its own category's captures.
     """
-    scored = score_categories(blocks.filter(strip(F.col(text)) != ""), detectors, text)
-    prepared = compute_once(scored, _low=F.lower(text), _lines=lines_of(F.col(text)))
-    none = F.create_map().cast("map<string,string>")
-    f = Found(F.col(text), F.col("_low"), F.col("_lines"), F.col("_caps"))
-
-    def by_category(build: Callable[[Detector, Found], Column]) -> Column:
-        expr = None
-        for d in detectors:
-            cond = F.col("category") == d.category
-            expr = F.when(cond, build(d, f)) if expr is None else expr.when(cond, build(d, f))
-        return expr
-
-    captured = compute_once(prepared, _caps=F.coalesce(by_category(_capture_map), none))
-    out = compute_once(captured, _rec=by_category(_assemble))
+    scored = _scored(blocks.filter(strip(F.col(text)) != ""), detectors, text)
+    prepared = compute_once(scored, _lines=lines_of(F.col(text)))
+    rules = _compiled(detectors, text)
+    captured = compute_once(prepared, _caps=rules.captures)
+    out = compute_once(captured, _rec=rules.record)
     return out.select(
         *blocks.columns, "match_no", "category", F.col("_rec.name").alias("name"),
         F.col("_rec.data").alias("structured_data"), F.col("_rec.confidence").alias("confidence"),

@@ -12,14 +12,14 @@ from contentkit.operators.extract import Capture, Detector, Found, Signal, lines
 # ---------------------------------------------------------------------------------------------
 # Patterns and word lists that decide results.
 # ---------------------------------------------------------------------------------------------
-NPC_VETO = r"\bcr\s+\d|\bfort\s+[+-]\d"
-SPELL_VETO = r"\bcasting\s*time\b|\bschool\s*:"
-WEAPON_VETO = r"\bdamage\s+\d+d\d+"
-FULL_NPC_VETO = r"\beac\s*\d+.*\bkac\s*\d+|\bfort\s+[+-]\d+.*\bref\s+[+-]\d+"
+NPC_VETO = Signal(0, any=("cr", "fort"), pattern=r"\bcr\s+\d|\bfort\s+[+-]\d")
+SPELL_VETO = Signal(0, any=("casting", "school"), pattern=r"\bcasting\s*time\b|\bschool\s*:")
+WEAPON_VETO = Signal(0, any=("damage",), pattern=r"\bdamage\s+\d+d\d+")
+FULL_NPC_VETO = Signal(0, any=("kac", "ref"), pattern=r"\beac\s*\d+.*\bkac\s*\d+|\bfort\s+[+-]\d+.*\bref\s+[+-]\d+")
 EQUIPMENT_VETOES = (
-    r"\bdamage\s+\d+d\d+|small\s+arm|long\s+arm|heavy\s+weapon",
-    r"\beac\s+bonus\b|\bkac\s+bonus\b|\bmax\s*dex\b",
-    r"\bcr\s+\d|\bstr\s+\d|\bfort\s+[+-]\d",
+    Signal(0, any=("damage", "arm", "weapon"), pattern=r"\bdamage\s+\d+d\d+|small\s+arm|long\s+arm|heavy\s+weapon"),
+    Signal(0, any=("bonus", "max"), pattern=r"\beac\s+bonus\b|\bkac\s+bonus\b|\bmax\s*dex\b"),
+    Signal(0, any=("cr", "str", "fort"), pattern=r"\bcr\s+\d|\bstr\s+\d|\bfort\s+[+-]\d"),
     SPELL_VETO,
 )
 CAPS_NAME = r"^[A-Z0-9\s,\-–']{3,}$"
@@ -194,12 +194,12 @@ SPECIES = Detector(
     category="race",
     threshold=4,
     signals=(
-        Signal(3, pattern=r"ability\s+(adjustments?|modifiers?)\s*:"),
-        Signal(3, pattern=r"size\s+and\s+type\s*:"),
-        Signal(2, pattern=r"hit\s+points?\s*:\s*\d+(?:\s|$)"),
-        Signal(1, pattern=r"\(Ex\)|\(Su\)|\(Sp\)"),
+        Signal(3, any=("ability",), pattern=r"ability\s+(adjustments?|modifiers?)\s*:"),
+        Signal(3, any=("size",), pattern=r"size\s+and\s+type\s*:"),
+        Signal(2, any=("hit",), pattern=r"hit\s+points?\s*:\s*\d+(?:\s|$)"),
+        Signal(1, any=("(ex)", "(su)", "(sp)")),
         Signal(1, any=("subtype",)),
-        Signal(1, pattern=r"racial\s+trait"),
+        Signal(1, any=("racial",), pattern=r"racial\s+trait"),
     ),
     vetoes=(),
     name=_species_name,
@@ -237,8 +237,8 @@ THEME = Detector(
     category="theme",
     threshold=4,
     signals=(
-        Signal(5, pattern=r"theme\s+knowledge"),
-        Signal(1, pattern=r"\b6th\s+level\b"), Signal(1, pattern=r"\b12th\s+level\b"), Signal(1, pattern=r"\b18th\s+level\b"),
+        Signal(5, any=("theme",), pattern=r"theme\s+knowledge"),
+        *[Signal(1, any=(f"{n}th",), pattern=rf"\b{n}th\s+level\b") for n in (6, 12, 18)],
     ),
     vetoes=(NPC_VETO, SPELL_VETO, WEAPON_VETO),
     name=_title_name(TITLE_NAME, 60, unlike=r"theme\s+knowledge"),
@@ -261,8 +261,8 @@ CLASS = Detector(
     category="class",
     threshold=4,
     signals=(
-        Signal(5, pattern=r"key\s+ability\s+score"), Signal(3, pattern=r"stamina\s+points"),
-        Signal(2, pattern=r"class\s+feature"), Signal(1, pattern=r"\bproficiencies\b"),
+        Signal(5, any=("ability",), pattern=r"key\s+ability\s+score"), Signal(3, any=("stamina",), pattern=r"stamina\s+points"),
+        Signal(2, any=("feature",), pattern=r"class\s+feature"), Signal(1, any=("proficiencies",), pattern=r"\bproficiencies\b"),
     ),
     vetoes=(NPC_VETO, SPELL_VETO, WEAPON_VETO),
     name=_title_name(TITLE_NAME, 60),
@@ -297,8 +297,8 @@ ARCHETYPE = Detector(
     category="archetypeFeature",
     threshold=4,
     signals=(
-        Signal(5, pattern=r"alternate\s+class\s+features?"), Signal(3, pattern=r"associated\s+classes?\s*:"),
-        Signal(1, pattern=r"\breplaces?\b"),
+        Signal(5, any=("alternate",), pattern=r"alternate\s+class\s+features?"), Signal(3, any=("associated",), pattern=r"associated\s+classes?\s*:"),
+        Signal(1, any=("replace",), pattern=r"\breplaces?\b"),
     ),
     vetoes=(NPC_VETO, SPELL_VETO, WEAPON_VETO),
     name=_title_name(TITLE_NAME, 60, unlike=r"alternate\s+class"),
@@ -328,8 +328,8 @@ AUGMENTATION = Detector(
     category="augmentation",
     threshold=4,
     signals=(
-        Signal(4, pattern=r"\bsystem\s*:"), Signal(3, any=AUGMENTATION_TYPES), Signal(1, any=BODY_SLOTS),
-        Signal(1, pattern=r"\blevel\s+\d{1,2}\b"), Signal(1, pattern=r"\bprice\b"),
+        Signal(4, any=("system",), pattern=r"\bsystem\s*:"), Signal(3, any=AUGMENTATION_TYPES), Signal(1, any=BODY_SLOTS),
+        Signal(1, any=("level",), pattern=r"\blevel\s+\d{1,2}\b"), Signal(1, any=("price",), pattern=r"\bprice\b"),
     ),
     vetoes=(NPC_VETO, WEAPON_VETO),
     name=_augmentation_name,
@@ -372,7 +372,7 @@ def _benefit(f: Found) -> Column:
 FEAT = Detector(
     category="feat",
     threshold=4,
-    signals=(Signal(4, pattern=r"\bbenefit\s*:"), Signal(2, pattern=r"\bprerequisites?\s*:")),
+    signals=(Signal(4, any=("benefit",), pattern=r"\bbenefit\s*:"), Signal(2, any=("prerequisite",), pattern=r"\bprerequisites?\s*:")),
     vetoes=(NPC_VETO, SPELL_VETO, WEAPON_VETO),
     name=_feat_name,
     captures=(
@@ -400,8 +400,8 @@ HAZARD = Detector(
     category="hazard",
     threshold=4,
     signals=(
-        Signal(3, pattern=r"perception\s+dc\s*\d+"), Signal(2, pattern=r"\bdisable\b"), Signal(2, pattern=r"\btrigger\b"),
-        Signal(1, pattern=r"\beffect\b"), Signal(2, pattern=rf"\b(?:{'|'.join(HAZARD_TYPES)})\b"),
+        Signal(3, any=("perception",), pattern=r"perception\s+dc\s*\d+"), Signal(2, any=("disable",), pattern=r"\bdisable\b"), Signal(2, any=("trigger",), pattern=r"\btrigger\b"),
+        Signal(1, any=("effect",), pattern=r"\beffect\b"), Signal(2, any=HAZARD_TYPES, pattern=rf"\b(?:{'|'.join(HAZARD_TYPES)})\b"),
     ),
     vetoes=(FULL_NPC_VETO, WEAPON_VETO, SPELL_VETO),
     name=_hazard_name,
@@ -459,7 +459,7 @@ STARSHIP = Detector(
     category="starship",
     threshold=3,
     signals=(
-        Signal(2, any=("starship",)), Signal(2, pattern=r"\btier\s+\d+"), Signal(2, all=("hp",), any=("dt", "ct")),
+        Signal(2, any=("starship",)), Signal(2, any=("tier",), pattern=r"\btier\s+\d+"), Signal(2, all=("hp",), any=("dt", "ct")),
         Signal(1, any=("shields",)),
     ),
     vetoes=(),
@@ -533,7 +533,7 @@ NPC = Detector(
     category="npc",
     threshold=3,
     signals=(
-        Signal(2, pattern=r"\bcr\s+\d+"), Signal(2, all=("eac", "kac")), Signal(1, all=("fort", "ref", "will")),
+        Signal(2, any=("cr",), pattern=r"\bcr\s+\d+"), Signal(2, all=("eac", "kac")), Signal(1, all=("fort", "ref", "will")),
         Signal(1, all=("str", "dex", "con")),
     ),
     vetoes=(),
@@ -613,7 +613,7 @@ WEAPON = Detector(
     threshold=3,
     signals=(
         Signal(2, any=("damage",)), Signal(1, any=("range",)), Signal(1, any=("capacity",)), Signal(1, any=("usage",)),
-        Signal(1, pattern=r"level\s+\d+"), Signal(2, pattern=rf"\b({WEAPON_CLASSES})\b"),
+        Signal(1, any=("level",), pattern=r"level\s+\d+"), Signal(2, any=tuple(WEAPON_CLASSES.split("|")), pattern=rf"\b({WEAPON_CLASSES})\b"),
     ),
     vetoes=(),
     name=_caps_name(r"^level\s+(\d+)"),
@@ -641,7 +641,7 @@ ARMOR = Detector(
     threshold=3,
     signals=(
         Signal(2, any=("eac bonus", "eac +", "eac ")), Signal(2, any=("kac bonus", "kac +", "kac ")),
-        Signal(1, any=("max dex", "max. dex")), Signal(1, any=("armor check", "acp")), Signal(2, pattern=rf"\b({ARMOR_CLASSES})\b"),
+        Signal(1, any=("max dex", "max. dex")), Signal(1, any=("armor check", "acp")), Signal(2, any=tuple(ARMOR_CLASSES.split("|")), pattern=rf"\b({ARMOR_CLASSES})\b"),
     ),
     vetoes=(),
     name=_caps_name(r"^level\s+(\d+)"),
@@ -668,8 +668,8 @@ EQUIPMENT = Detector(
     category="equipment",
     threshold=4,
     signals=(
-        Signal(3, pattern=r"price\s*[\d,]+|\bprice\s+\d"), Signal(2, pattern=r"\blevel\s+\d{1,2}\b"),
-        Signal(2, pattern=r"\bbulk\b"), Signal(1, pattern=r"\bcapacity\b|\busage\b"),
+        Signal(3, any=("price",), pattern=r"price\s*[\d,]+|\bprice\s+\d"), Signal(2, any=("level",), pattern=r"\blevel\s+\d{1,2}\b"),
+        Signal(2, any=("bulk",), pattern=r"\bbulk\b"), Signal(1, any=("capacity", "usage"), pattern=r"\bcapacity\b|\busage\b"),
     ),
     vetoes=EQUIPMENT_VETOES,
     name=_title_name(TITLE_NAME_COMMA, 70, no=(":", ";")),
