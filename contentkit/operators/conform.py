@@ -291,7 +291,8 @@ def apply_field_map(
     expr = None
     for category, mapping in field_maps.items():
         tree = Tree()
-        _seed(tree, skeletons.get(category, {}), "")
+        targets = [t[len("system."):] for t in mapping.values() if t.startswith("system.")]
+        _seed(tree, skeletons.get(category, {}), "", targets)
         for source, target in mapping.items():
             if source == "name" or not target.startswith("system."):
                 continue
@@ -327,13 +328,15 @@ def apply_field_map(
     })
 
 
-def _seed(tree: Tree, value, path: str) -> None:
-    if isinstance(value, Mapping) and value:
+def _seed(tree: Tree, value, path: str, targets: Sequence[str]) -> None:
+    """Write the defaults below *path*; a subtree no target reaches into stays one literal."""
+    entered = not path or any(t.startswith((path + ".", path + "[")) for t in targets)
+    if isinstance(value, Mapping) and value and entered:
         for k, v in value.items():
-            _seed(tree, v, f"{path}.{k}" if path else k)
-    elif isinstance(value, list) and value and all(isinstance(v, Mapping) for v in value):
+            _seed(tree, v, f"{path}.{k}" if path else k, targets)
+    elif isinstance(value, list) and value and entered:
         for i, v in enumerate(value):
-            _seed(tree, v, f"{path}[{i}]")
+            _seed(tree, v, f"{path}[{i}]", targets)
     elif path:
         tree.write(path, literal_variant(value), "none", sure=True)
         # A seeded default is not a write that outranks a value for the whole subtree.

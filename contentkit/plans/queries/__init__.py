@@ -7,7 +7,7 @@ from importlib import import_module
 from contentkit.plans.queries.base import REGISTRY
 
 MODULES = (
-    "catalog", "merging", "quality", "rollups", "pages", "extraction", "detectors", "schemas", "conforming",
+    "catalog", "merging", "quality", "rollups", "pages", "extraction", "detectors", "schemas", "conforming", "converting", "files",
 )
 
 

@@ -98,7 +98,7 @@ def read_entries_csv(
 
     def last_only(names: Column) -> Column:
         return F.transform(names, lambda n, i: F.when(
-            ~F.array_contains(F.slice(names, i + 2, F.lit(max_columns + 1)), n), n))
+            ~F.array_contains(F.array_compact(F.slice(names, i + 2, F.lit(max_columns + 1))), n), n))
 
     blocks = blocks.withColumn("_names", header).withColumn("_meta", last_only(meta)).withColumn(
         "_data", last_only(F.transform("_names", lambda n: F.when(n != "", n)))
