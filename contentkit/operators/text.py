@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contentkit.functions.scalars import WHITESPACE, blank_to_null, strip, title_case
+from contentkit.functions.scalars import WHITESPACE, bind, blank_to_null, strip, title_case
 from contentkit.operators.plan import compute_once, explode_rows
 
 # ---------------------------------------------------------------------------------------------
@@ -102,21 +102,27 @@ def clean_ocr_text(text: Column, mode: str = "sane") -> Column:
 
 def text_quality(text: Column) -> Column:
     """0..1; full credit for 50-95 % alphanumerics and a mean word length of 3-8."""
-    total = F.length(text)
-    alnum = F.length(F.regexp_replace(text, "[^a-zA-Z0-9]", "")) / total
-    words = F.filter(F.split(strip(text), r"\s+"), lambda w: w != "")
-    letters = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a + F.length(w))
-    mean = letters / F.size(words)
-    length_score = (
-        F.when(mean < 3, mean / 3).when(mean > 8, F.greatest(F.lit(0.0), 1 - (mean - 8) / 10)).otherwise(1.0)
+    joined = F.regexp_replace(strip(text), r"\s+", " ")
+    packed = F.length(F.replace(joined, F.lit(" "), F.lit("")))
+    facts = F.struct(
+        (F.length(F.regexp_replace(text, "[^a-zA-Z0-9]+", "")) / F.length(text)).alias("alnum"),
+        (packed / (F.length(joined) - packed + 1)).alias("mean"),
     )
-    ratio_score = (
-        F.when(alnum < 0.5, alnum / 0.5)
-        .when(alnum > 0.95, F.greatest(F.lit(0.0), 1 - (alnum - 0.95) / 0.05))
-        .otherwise(1.0)
-    )
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio_score * length_score))
-    return F.when(text.isNull() | (strip(text) == ""), F.lit(0.0)).otherwise(score)
+
+    def score(f: Column) -> Column:
+        alnum, mean = f["alnum"], f["mean"]
+        length_score = (
+            F.when(mean < 3, mean / 3).when(mean > 8, F.greatest(F.lit(0.0), 1 - (mean - 8) / 10)).otherwise(1.0)
+        )
+        ratio_score = (
+            F.when(alnum < 0.5, alnum / 0.5)
+            .when(alnum > 0.95, F.greatest(F.lit(0.0), 1 - (alnum - 0.95) / 0.05))
+            .otherwise(1.0)
+        )
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio_score * length_score))
+
+    blank = text.isNull() | (strip(text) == "")
+    return F.when(blank, F.lit(0.0)).otherwise(bind(facts, score))
 
 
 def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:

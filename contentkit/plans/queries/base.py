@@ -32,6 +32,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+KEYS = {"part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id", "customer": "c_custkey"}
+
+
+def busy_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A small file comes in one partition and would keep one core busy; it is spread by key.  A table
+    that already has a partition per core, as any large one has, is read as it is.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, KEYS[name])
+
+
 def pick(values: list[str], index: Column) -> Column:
     """The element of a literal list at a zero-based position."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -56,7 +70,7 @@ def part_payload() -> Column:
 
 def part_records(spark: SparkSession, sf: str) -> DataFrame:
     """``part`` as catalog records."""
-    return table(spark, sf, "part").select(
+    return busy_table(spark, sf, "part").select(
         F.col("p_partkey").alias("ord"),
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"),
         F.col("p_name").alias("name"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentkit.operators.convert import convert_category, convert_records
-from contentkit.plans.queries.base import RUN_TIME, query, table
+from contentkit.plans.queries.base import RUN_TIME, busy_table, query
 
 N = "CAST(p_size AS DOUBLE)"
 BASE = "p_brand AS source_book, p_size AS page, p_name AS name"
@@ -15,7 +15,7 @@ SOURCE = "p_brand || ' pg. ' || p_size"
 def _records(spark, sf, category, **payload):
     """``part`` as records of one category; payload values are SQL over its columns."""
     data = F.to_variant_object(F.struct(*[F.expr(e).alias(k) for k, e in payload.items()]))
-    return table(spark, sf, "part").select(
+    return busy_table(spark, sf, "part").select(
         F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"),
         F.lit(category).alias("category"), F.col("p_brand").alias("source_book"), F.lit("").alias("publisher"),
         F.when(F.col("p_size") > 25, "ann").otherwise("").alias("author"), F.col("p_size").cast("bigint").alias("page_number"),

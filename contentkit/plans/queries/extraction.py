@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from contentkit.operators import extract as X
 from contentkit.plans.detectors import DETECTORS
 from contentkit.plans.prompts import PROMPT_PACKS, RESPONSE_FIELDS, prompt_pack
-from contentkit.plans.queries.base import PART_SQL, pick, pick_sql, query, table
+from contentkit.plans.queries.base import PART_SQL, busy_table, pick, pick_sql, query, table
 from contentkit.plans.templates import ARMOR_TEMPLATE, NPC_TEMPLATE, TEMPLATES, WEAPON_TEMPLATE
 
 
@@ -16,7 +16,7 @@ def render(spark, sf, *pieces: str):
     cols = []
     for piece in pieces:
         cols.append(F.expr(piece[1:-1]).cast("string") if piece.startswith("{") else F.lit(piece))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("block_id"), F.concat(*cols).alias("text"))
+    return busy_table(spark, sf, "part").select(F.col("p_partkey").alias("block_id"), F.concat(*cols).alias("text"))
 
 
 WEAPON_PIECES = (
@@ -90,7 +90,7 @@ def x4(spark, sf):
 
 @query("x4_detect_documents")
 def x4_documents(spark, sf):
-    return X.detect_records(table(spark, sf, "documents").select("doc_id", "text"), DETECTORS).select(
+    return X.detect_records(busy_table(spark, sf, "documents").select("doc_id", "text"), DETECTORS).select(
         "doc_id", "category", "name", "confidence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentkit.operators import text as T
-from contentkit.plans.queries.base import query, table
+from contentkit.plans.queries.base import busy_table, query, table
 
 
 @query("t1_assemble_page_text", r"""WITH items AS (
@@ -40,7 +40,7 @@ def _noisy():
 
 @query("t2_clean_ocr_text")
 def t2(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", _noisy().alias("text"))
+    docs = busy_table(spark, sf, "documents").select("doc_id", _noisy().alias("text"))
     return docs.select("doc_id", T.clean_ocr_text(F.col("text")).alias("clean"))
 
 
@@ -49,7 +49,7 @@ SELECT doc_id, upper(source) || '  ' || lang || chr(10) || chr(10) || 'CR 5 HP 3
 def t2_lines(spark, sf):
     text = F.concat(
         F.lit("PAGE 12\n"), F.upper("source"), F.lit("    "), F.col("lang"), F.lit("\n - 7 -\n\n\n\nCR5 HP30 Oex"))
-    return table(spark, sf, "documents").select("doc_id", T.clean_ocr_text(text).alias("clean"))
+    return busy_table(spark, sf, "documents").select("doc_id", T.clean_ocr_text(text).alias("clean"))
 
 
 @query("t3_text_quality", r"""WITH d AS (SELECT doc_id, text, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS t FROM documents),
@@ -61,7 +61,7 @@ s AS (SELECT doc_id, CASE WHEN mean < 3 THEN mean / 3 WHEN mean > 8 THEN greates
 SELECT doc_id, CAST(round(greatest(0, least(1, a * b)), 9) AS DOUBLE) AS quality FROM s
 UNION ALL SELECT doc_id, 0 FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) = ''""")
 def t3(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(T.text_quality(F.col("text")), 9).alias("quality"))
+    return busy_table(spark, sf, "documents").select("doc_id", F.round(T.text_quality(F.col("text")), 9).alias("quality"))
 
 
 @query("t4_merge_ocr", """WITH o AS (SELECT doc_id, CASE WHEN toxic = 1 THEN '  ' ELSE ' seen ' || doc_id || ' again ' END AS t, quality FROM labels)
@@ -69,7 +69,7 @@ SELECT d.doc_id, CASE WHEN trim(o.t) <> '' THEN trim(o.t) ELSE d.text END AS tex
        coalesce(trim(o.t) <> '', false) AS was_ocr, CASE WHEN trim(o.t) <> '' THEN CAST(o.quality AS DOUBLE) END AS ocr_confidence
 FROM documents d LEFT JOIN o USING (doc_id)""")
 def t4(spark, sf):
-    pages = T.with_text_stats(table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"))
+    pages = T.with_text_stats(busy_table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), "text"))
     seen = F.concat(F.lit(" seen "), F.col("doc_id").cast("string"), F.lit(" again "))
     ocr = table(spark, sf, "labels").select(
         "doc_id", F.lit(1).alias("page_number"), F.when(F.col("toxic") == 1, "  ").otherwise(seen).alias("text"),
@@ -79,7 +79,7 @@ def t4(spark, sf):
 
 def _page(spark, sf):
     """One page per part: a long block under a heading, a short one that is dropped, and a stat block."""
-    return table(spark, sf, "part").select(
+    return busy_table(spark, sf, "part").select(
         F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page_number"),
         F.concat(
             F.lit("PART "), F.col("p_partkey").cast("string"), F.lit("\n  A "), "p_name",
@@ -97,7 +97,7 @@ def t5(spark, sf):
 
 @query("t5_segment_documents")
 def t5_documents(spark, sf):
-    pages = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
+    pages = busy_table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
     return T.segment_pages(pages).select("doc_id", "block_no", "start_line", F.length("text").alias("block_length"))
 
 

@@ -9,13 +9,13 @@ from contentkit.operators import rollups as R
 from contentkit.operators.convert import convert_records
 from contentkit.plans.content_rules import FIELD_RULES, REQUIRED_PATHS
 from contentkit.plans.queries.base import (
-    MERGE_SQL, PART_SQL, RUN_TIME, branded_catalog, order_batch, part_records, query, table,
+    MERGE_SQL, PART_SQL, RUN_TIME, branded_catalog, order_batch, busy_table, part_records, query, table,
 )
 
 
 def _entries(spark, sf):
     """Orders as npc entries and line items as weapon entries, with values inside and outside the rules."""
-    orders = table(spark, sf, "orders").select(
+    orders = busy_table(spark, sf, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("entry_id"), F.lit("npc").alias("content_type"),
         F.to_variant_object(F.struct(
             F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"),

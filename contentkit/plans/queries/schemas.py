@@ -8,7 +8,7 @@ from contentkit.operators import repair as RP
 from contentkit.operators import rollups as R
 from contentkit.operators import schema as S
 from contentkit.plans.mapping_rules import BASE_RULES
-from contentkit.plans.queries.base import PART_SQL, part_records, query, table
+from contentkit.plans.queries.base import PART_SQL, busy_table, part_records, query, table
 from contentkit.records import CATEGORIES, category_map
 
 SUBTYPES = [(c.document_type, c.subtype, c.name) for c in CATEGORIES if c.has_schema]
@@ -22,7 +22,7 @@ def _documents(spark, sf):
         F.lit('{"name": "'), "c_name", F.lit('", "level": '), F.when(odd, F.lit('"five"')).otherwise(F.col("c_nationkey").cast("string")),
         F.lit(', "home": {"nation": '), F.col("c_nationkey").cast("string"), F.lit(', "deep": {"x": true}}, "tags": ["a"], "parts": [{"k": '),
         F.col("c_custkey").cast("string"), F.lit('}], "none": null}'))
-    return table(spark, sf, "customer").select(
+    return busy_table(spark, sf, "customer").select(
         F.lit("Item").alias("document_type"), F.col("c_mktsegment").alias("subtype"), F.col("c_custkey").alias("ord"),
         F.parse_json(text).alias("document"))
 
