@@ -35,6 +35,17 @@ def _verdicts(catalog: DataFrame, batch: DataFrame, keys: list[str], order: Colu
     return stats.join(held, keys, "left")
 
 
+def _id_clashes(catalog: DataFrame, batch: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The first rows of new keys whose id is taken, by the catalog or by an earlier new row."""
+    fresh = verdict.filter(F.col("_held").isNull()).select(F.col("_first").alias("ord"))
+    firsts = batch.join(fresh, "ord", "left_semi").select("ord", "id")
+    keepers = firsts.groupBy("id").agg(F.min("ord").alias("_keep"))
+    held = catalog.select("id").distinct().withColumn("_taken", F.lit(True))
+    judged = firsts.join(keepers, "id").join(held, "id", "left")
+    clash = F.col("_taken") | (F.col("ord") != F.col("_keep"))
+    return judged.filter(clash).select(F.col("ord").alias("_first"), F.lit(True).alias("_clash"))
+
+
 def merge_batch(
     catalog: DataFrame,
     batch: DataFrame,
@@ -43,12 +54,14 @@ def merge_batch(
     actions: tuple[str, str, str] = ("added", "overwritten", "skipped"),
     schema_version: str | None = RECORD_SCHEMA_VERSION,
     order: Column | None = None,
+    check_ids: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """M1: merge *batch* into *catalog*; returns the new catalog and one action row per batch row.
 
     Both inputs hold the same columns, among them ``ord`` (unique) and ``id``.  The batch order is
     ``ord`` unless *order* gives another sort key (unique within a merge key).  A new row whose id
-    is already taken by another record is reported as ``failed`` instead of replacing it.
+    is already taken by another record is reported as ``failed`` instead of replacing it; switch
+    *check_ids* off where ids cannot collide, it saves three shuffles of the new rows' ids.
     """
     keys = keys or {"_key": F.lower(F.col("name"))}
     names = list(keys)
@@ -57,16 +70,11 @@ def merge_batch(
     new = batch.withColumns(keys)
     verdict = _verdicts(cat, new, names, order)
 
-    # Ids taken by a record with another key: the first row of an absent key must not reuse them.
-    firsts = new.join(
-        verdict.filter(F.col("_held").isNull()).select(F.col("_first").alias("ord")), "ord", "left_semi"
-    ).select("ord", "id", *names)
-    in_catalog = firsts.join(cat.select("id").distinct(), "id", "left_semi").select("ord")
-    in_batch = firsts.join(
-        firsts.groupBy("id").agg(F.min("ord").alias("_keep"), F.count(F.lit(1)).alias("_c")).filter("_c > 1"), "id"
-    ).filter(F.col("ord") != F.col("_keep")).select("ord")
-    clash = in_catalog.union(in_batch).distinct().select(F.col("ord").alias("_first"), F.lit(True).alias("_clash"))
-    verdict = verdict.join(clash, "_first", "left").withColumn("_clash", F.coalesce("_clash", F.lit(False)))
+    if check_ids:
+        verdict = verdict.join(_id_clashes(cat, new, verdict), "_first", "left")
+    else:
+        verdict = verdict.withColumn("_clash", F.lit(None).cast("boolean"))
+    verdict = verdict.withColumn("_clash", F.coalesce("_clash", F.lit(False)))
 
     payload = [c for c in batch.columns if c not in ("ord", "id")]
     restamp = {"schema_version": F.lit(schema_version)} if schema_version else {}

@@ -28,6 +28,7 @@ def publish(documents: DataFrame, index: DataFrame, overwrite: bool = True) -> t
         keys={"_pack": F.col("pack_id"), "_key": F.lower(F.col("name"))},
         actions=PUBLISH_ACTIONS, schema_version=None,
         order=F.struct(F.collate("name", "UNICODE"), F.col("ord")),
+        check_ids=False,
     )
     return merged, actions.withColumnRenamed("action", "disposition")
 

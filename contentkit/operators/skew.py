@@ -25,7 +25,7 @@ def hot_lookup(
 ) -> DataFrame:
     """Left join of *left* with *right*, unique on *key*, where *weight* counts left rows per key.
 
-    Rows of *left* with a key among the *hot_keys* heaviest never shuffle on that key; *spread* is
+    *key* is text.  Rows of *left* with a key among the *hot_keys* heaviest never shuffle on that key; *spread* is
     a column (unique per row) that places them instead.
     """
     values = [c for c in right.columns if c not in (key, weight)]
@@ -33,14 +33,15 @@ def hot_lookup(
     hot = packed.orderBy(F.desc(weight), F.asc(key)).limit(hot_keys).select(
         key, F.col("_value").alias("_hot_value"), F.lit(True).alias("_hot")
     )
-    cold = packed.select(F.col(key).alias("_cold_key"), F.col("_value").alias("_cold_value"), F.lit(0).alias("_cold_part"))
-    # A hot row needs no cold partner: it is spread over partitions by a row hash that matches nothing.
-    # A function of the row alone, so a retried task repeats it exactly.
-    part = F.when(F.col("_hot"), 1 + F.pmod(F.xxhash64(spread), F.lit(4096))).otherwise(0)
-    probe = left.join(F.broadcast(hot), key, "left").withColumn("_part", part.cast("int"))
-    joined = probe.join(
-        cold, (F.col(key) == F.col("_cold_key")) & (F.col("_part") == F.col("_cold_part")), "left"
-    )
+    cold = packed.select(F.col(key).alias("_cold_key"), F.col("_value").alias("_cold_value"))
+    # A hot row needs no cold partner.  It gets a probe that matches nothing and differs from row to
+    # row, so the shuffle spreads it; being a function of the row alone, a retried task repeats it.
+    # (A separate salt column would not do: with a constant on the other side the optimizer turns
+    # it into a filter and shuffles on the key alone.)
+    scattered = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(spread), F.lit(65536)).cast("string"))
+    probe = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_probe", F.when(F.col("_hot"), scattered).otherwise(F.col(key)))
+    joined = probe.join(cold, F.col("_probe") == F.col("_cold_key"), "left")
     value = F.coalesce("_hot_value", "_cold_value")
     return joined.select(*[F.col(c) for c in left.columns], *[value[c].alias(c) for c in values])
 
