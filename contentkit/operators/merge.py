@@ -24,6 +24,7 @@ from contentkit.operators.skew import hot_lookup, rank_within
 from contentkit.records import RECORD_SCHEMA_VERSION
 
 MAX_VERSION = 99
+VERSIONED = r"(?s)^(.*) v([2-9]|[1-9][0-9])$"
 
 
 def _verdicts(catalog: DataFrame, batch: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
@@ -60,7 +61,7 @@ def merge_batch(
 
     Both inputs hold the same columns, among them ``ord`` (unique) and ``id``.  The batch order is
     ``ord`` unless *order* gives another sort key (unique within a merge key).  A new row whose id
-    is already taken by another record is reported as ``failed`` instead of replacing it; switch
+    is already taken by another record fails, with the other rows of its name, instead of replacing it; switch
     *check_ids* off where ids cannot collide, it saves three shuffles of the new rows' ids.
     """
     keys = keys or {"_key": F.lower(F.col("name"))}
@@ -164,15 +165,20 @@ def versioned_names(
         "_held", F.coalesce("_held", F.lit(False))
     )
     clashing = held.filter(F.col("_held") | (F.col("_n") > 1) if unique else F.col("_held"))
-    # Candidates per clashing key are v2..v99; a candidate is free if neither catalog nor batch uses it.
-    candidates = clashing.select(
-        F.col("_key").alias("_base"), F.explode(F.sequence(F.lit(2), F.lit(MAX_VERSION))).alias("_v")
-    ).withColumn("_key", F.concat("_base", F.lit(" v"), F.col("_v").cast("string")))
-    free = candidates.join(taken, "_key", "left_anti")
+    # Versions in use, read off the names that end in one: at most 98 per base name.
+    names = taken.select("_key")
     if unique:
-        free = free.join(stats.select("_key"), "_key", "left_anti")
-    free = free.groupBy("_base").agg(F.array_sort(F.collect_list("_v")).alias("_free"))
-    dim = held.join(free.withColumnRenamed("_base", "_key"), "_key", "left")
+        names = names.union(stats.select("_key"))
+    used = (
+        names.select(F.regexp_extract("_key", VERSIONED, 1).alias("_base"), F.regexp_extract("_key", VERSIONED, 2).alias("_v"))
+        .filter(F.col("_v") != "")
+        .groupBy(F.col("_base").alias("_key"))
+        .agg(F.collect_set(F.col("_v").cast("int")).alias("_used"))
+    )
+    every = F.sequence(F.lit(2), F.lit(MAX_VERSION))
+    free = clashing.join(used, "_key", "left").select(
+        "_key", F.array_except(every, F.coalesce("_used", F.array().cast("array<int>"))).alias("_free"))
+    dim = held.join(free, "_key", "left")
     if unique:
         ranked = rank_within(keyed, ["_key"], "ord", "_rank")
     else:

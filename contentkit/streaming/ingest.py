@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from contentkit.operators.extract import Detector, detect_records
 from contentkit.operators.merge import merge_batch
@@ -32,6 +31,17 @@ def stream_detected(pages: DataFrame, detectors: Sequence[Detector] = DETECTORS)
     return detect_records(segment_pages(pages), detectors)
 
 
+def snapshots(spark: SparkSession, catalog_path: str) -> list[int]:
+    """Numbers of the complete snapshots of a catalog, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(catalog_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName().split("=")[1]) for p in folders if fs.exists(path(p, "_SUCCESS")))
+
+
 def merge_stream(
     records: DataFrame, catalog_path: str, checkpoint: str, overwrite: bool = False, available_now: bool = True
 ) -> StreamingQuery:
@@ -41,20 +51,9 @@ def merge_stream(
     overwrites its own snapshot only, so a restart gives the same result.
     """
 
-    def snapshots(spark: SparkSession) -> list[int]:
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(catalog_path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [f.getPath() for f in fs.listStatus(root)]
-        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        return sorted(
-            int(p.getName().split("=")[1]) for p in names
-            if p.getName().startswith("batch=") and fs.exists(done(p, "_SUCCESS")))
-
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        before = [b for b in snapshots(spark) if b < n]
+        before = [b for b in snapshots(spark, catalog_path) if b < n]
         if before:
             catalog = spark.read.parquet(f"{catalog_path}/batch={before[-1]}")
         else:
@@ -68,10 +67,5 @@ def merge_stream(
 
 def latest_catalog(spark: SparkSession, catalog_path: str) -> DataFrame | None:
     """The newest complete snapshot."""
-    try:
-        batches = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(
-            catalog_path).select(F.regexp_extract("path", r"batch=(\d+)/", 1).cast("int").alias("n"))
-        newest = batches.agg(F.max("n")).first()[0]
-    except AnalysisException:
-        return None
-    return None if newest is None else spark.read.parquet(f"{catalog_path}/batch={newest}")
+    done = snapshots(spark, catalog_path)
+    return spark.read.parquet(f"{catalog_path}/batch={done[-1]}") if done else None
