@@ -88,10 +88,19 @@ def x4(spark, sf):
     return X.detect_records(_mixed(spark, sf), DETECTORS).groupBy("source", "category").agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("x4_detect_documents")
+@query("x4_detect_documents", """SELECT doc_id, 'equipment' AS category, 'Kit of Goods' AS name, CAST(doc_id % 20 + 1 AS BIGINT) AS level, n_chars || ' credits' AS price,
+  'L' AS bulk, 'equipment' AS tags FROM documents""")
 def x4_documents(spark, sf):
-    return X.detect_records(busy_table(spark, sf, "documents").select("doc_id", "text"), DETECTORS).select(
-        "doc_id", "category", "name", "confidence")
+    """Every document behind a short stat line, through all detectors."""
+    text = F.concat(
+        F.lit("Kit of Goods\nLevel "), (F.col("doc_id") % 20 + 1).cast("string"), F.lit("; Price "), F.col("n_chars").cast("string"),
+        F.lit(" credits; Bulk L\n"), F.col("text"))
+    found = X.detect_records(busy_table(spark, sf, "documents").select("doc_id", text.alias("text")), DETECTORS)
+    data = F.col("structured_data")
+    return found.filter("category = 'equipment'").select(
+        "doc_id", "category", "name", F.try_variant_get(data, "$.level", "bigint").alias("level"),
+        F.try_variant_get(data, "$.price", "string").alias("price"), F.try_variant_get(data, "$.bulk", "string").alias("bulk"),
+        F.array_join("auto_tags", "|").alias("tags"))
 
 
 CATS = ["weapon", "journal", "npc", "theme"]

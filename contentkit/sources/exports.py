@@ -25,7 +25,8 @@ def only(records: DataFrame, ids: DataFrame | None) -> DataFrame:
 
 
 def iso(c: Column) -> Column:
-    return F.date_format(c, ISO)
+    """ISO text in UTC, whatever the session time zone."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), ISO)
 
 
 def export_frame(records: DataFrame) -> DataFrame:
