@@ -66,9 +66,16 @@ def discover_schema(docs: DataFrame, payload: str = "document", order: str = "or
         picked = docs.groupBy(*KEY).agg(F.min(order).alias(order))
         docs = docs.join(picked, [*KEY, order], "left_semi")
     flat = flatten_paths(docs, payload, [*KEY, order])
-    typed = flat.select(*KEY, order, "path", type_of(F.col("value")).alias("type"), F.to_json("value").alias("json"))
-    per_type = typed.groupBy(*KEY, "path", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.min_by("json", order).alias("default_json"))
+    typed = flat.select(*KEY, order, "path", type_of(F.col("value")).alias("type"))
+    # Counting needs numbers only, so it is a hash aggregation; the few documents that hold a first
+    # value are then looked up by their order, and only those are flattened again for the defaults.
+    stats = typed.groupBy(*KEY, "path", "type").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).persist()
+    wanted = stats.select(*KEY, F.col("first").alias(order)).distinct()
+    holders = dim_join(docs, wanted, [*KEY, order], spread=order, how="left_semi")
+    defaults = flatten_paths(holders, payload, [*KEY, order]).select(
+        *KEY, F.col(order).alias("first"), "path", type_of(F.col("value")).alias("type"), F.to_json("value").alias("default_json")
+    ).groupBy(*KEY, "path", "type", "first").agg(F.min("default_json").alias("default_json"))
+    per_type = stats.join(defaults, [*KEY, "path", "type", "first"], "left")
     best = F.struct(F.col("type") != "null", F.col("n"), -F.col("first"), "type", "default_json")
     return (
         per_type.groupBy(*KEY, "path")

@@ -82,14 +82,17 @@ def read_entries_csv(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"), cells.alias("_cells"))
 
-    # One row per (file, block): where its rows start, and for the first block the header.
-    blocks = raw.groupBy("source_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_start"), F.min_by("_cells", "_seq").alias("_head"))
+    # One row per (file, block): where its rows start.  The first row of the first block is the header.
+    spans = raw.groupBy("source_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_start"))
     in_file = Window.partitionBy("source_file").orderBy("_block")
-    blocks = blocks.select(
+    spans = spans.select(
         "source_file", "_block", "_start",
         F.coalesce(F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.first("_head").over(in_file.rowsBetween(Window.unboundedPreceding, 0)).alias("_head"))
+        F.first("_start").over(in_file.rowsBetween(Window.unboundedPreceding, 0)).alias("_head_seq")).persist()
+    starts = spans.filter(F.col("_start") == F.col("_head_seq")).select("source_file", F.col("_start").alias("_seq"))
+    heads = dim_join(raw, starts, ["source_file", "_seq"], spread="_seq", how="left_semi").select(
+        "source_file", F.col("_cells").alias("_head"))
+    blocks = spans.join(heads, "source_file")
     wide = F.raise_error(F.lit(f"CSV header has more than {max_columns} columns; raise max_columns")).cast("string")
     header = F.transform("_head", lambda h: F.lower(strip(h)))
     header = F.when(F.get("_head", F.lit(max_columns)).isNotNull(), F.array(wide)).otherwise(header)
