@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.llm.graph import components
-from contentkit.llm.storage import stage
+from contentkit.llm.storage import prefilter, stage
 from contentkit.llm.words import shingles, signed, word_hashes
 
 #: Counters of the frequency sketch (4 MB in all, whatever the input) and the blocks it is summed in.
@@ -115,8 +115,8 @@ def describe_sets(docs: DataFrame, sketch: np.ndarray, rule: Rule, id_col: str =
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) that link, judged on the shingle sets of their whole texts."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(
-        wanted, "id", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    texts = prefilter(texts, "id", wanted, "id").join(wanted, "id", "left_semi")
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentkit.llm import jaccard_join, pairwise_quality, raking, secrets, tiling
+from contentkit.llm import chat, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Labelled rows that the rules are learned from.
+MAX_LABELLED = 20_000
+
+
 def query(name: str, sql: str | None = None):
     def wrap(fn):
         QUERIES[name] = fn
@@ -36,6 +40,25 @@ def fit_quality(spark: SparkSession, sf_dir: str, docs: DataFrame):
     return pairwise_quality.fit(docs, table(spark, sf_dir, "labels").filter(fold() != 0))
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    # The labelled sample of the fit is bounded and so may be broadcast; the rules judge all documents.
+    sample = labels.filter("label IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    rules = quality_rules.learn(quality_rules.statistics(docs.join(F.broadcast(sample), "doc_id")))
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 @query("op3_pairwise_quality")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +66,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= pairwise_quality.CUT).cast("int").alias("predicted"))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op6_secret_battery")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,3 +95,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("topic", raking.genre(F.col("text")))
     kept = raking.sample_mixture(docs, raking.Mixture(), raking.word_count(F.col("text")))
     return kept.select("doc_id", "source", "lang", "topic", raking.word_count(F.col("text")).alias("n_tokens"), "keep_probability")
+
+
+@query("op10_chat_repair")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -32,3 +33,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the id filter: 512 bitmaps of 4 KB, whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def prefilter(df: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, flag: str | None = None) -> DataFrame:
+    """The rows of *df* whose id may be among *wanted*, to shrink the shuffle of a semi-join that follows.
+
+    A bitmap of hashed ids with a fixed number of bits is built by Spark and broadcast (2 MB at most).  It never loses a
+    wanted row; when ids fill it, it merely stops helping.  With *flag*, all rows stay and get that boolean column.
+    """
+    def spot(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(FILTER_BITS))
+
+    bitmaps = wanted.select(spot(wanted_col).alias("_spot")).groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    near = df.withColumn("_spot", spot(id_col)).withColumn("_bucket", F.bitmap_bucket_number("_spot"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.bitmap_bit_position("_spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position("_spot") % 8).cast("int")) == 1, F.lit(False))
+    marked = near.join(F.broadcast(bitmaps), "_bucket", "left" if flag else "inner")
+    return marked.select(*df.columns, hit.alias(flag)) if flag else marked.filter(hit).select(*df.columns)
