@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentkit.llm import chat, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_counts
+from contentkit.llm import chat, compact_windows, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op5_compact_windows")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passage_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op6_secret_battery")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
