@@ -141,19 +141,30 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id"
 def link_representatives(sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, label) for the class representatives that link with another one."""
     entries = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("token")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 + (100 - rule.percent) / (2 * rule.percent)))).cast("int")
-    index = stage(entries.join(lists, "token").withColumn("band", band), "lists")
 
     def fits(n, pos, m) -> Column:
         return pos <= n - _need(n, m, rule.percent)
 
+    # Size and position in one long: the pair of a list of two is judged inside the aggregate, and only longer
+    # lists are read again.
+    place = F.shiftleft("n", 32) + F.col("pos")
+    lists = entries.withColumn("place", place).groupBy("token").agg(
+        F.count(F.lit(1)).alias("size"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("place").alias("p"), F.max("place").alias("q"))
+    n, m = F.shiftright("p", 32), F.shiftright("q", 32)
+    x, y = F.col("p").bitwiseAND(2**32 - 1), F.col("q").bitwiseAND(2**32 - 1)
+    couple = (n * 100 >= m * rule.percent) & fits(n, x, m) & fits(m, y, n)
+    lists = stage(lists.filter((F.col("size") > 2) | ((F.col("size") == 2) & couple)).select("token", "size", "a", "b"), "lists")
+    longer = lists.filter("size > 2").select("token")
+    index = stage(prefilter(entries, "token", longer, "token").join(longer, "token").withColumn("band", band), "index")
+
     leaders = index.groupBy("token", "band").agg(F.min(F.struct("pos", "id", "n")).alias("leader"), F.count(F.lit(1)).alias("many"))
     leaders = leaders.filter("many > 1").select("token", "band", F.col("leader.id").alias("lid"), F.col("leader.n").alias("ln"),
                                                 F.col("leader.pos").alias("lpos"))
     star = index.join(leaders, ["token", "band"]).filter(
         (F.col("id") != F.col("lid")) & fits(F.col("n"), F.col("pos"), F.col("ln")) & fits(F.col("ln"), F.col("lpos"), F.col("n")))
-    star = stage(star.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct(), "star")
+    star = star.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b"))
+    star = stage(star.union(lists.filter("size = 2").select("a", "b")).distinct(), "star")
     first = stage(verify(star, docs, rule, id_col, text_col), "links")
 
     # Members of a component have each other's answers; only blocks of different components are compared.
@@ -200,6 +211,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     usable = sets.filter("id IS NOT NULL AND n > 0")
     classes = usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     heads = usable.join(classes.select(F.col("rep").alias("id"), "h1", "h2", "n"), ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id"])
+    heads = stage(heads.select("id", "n", "prefix"), "heads")
     label = link_representatives(heads, docs, rule, id_col, text_col)
     final = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
