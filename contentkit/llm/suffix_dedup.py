@@ -425,12 +425,10 @@ def remove_repeats(docs: DataFrame, span: Span = Span(), id_col: str = "doc_id",
 
     def ids_of(table: DataFrame) -> DataFrame:
         """The document ids inside packed rows."""
-        def unpack(batches):
-            for batch in batches:
-                ids = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_unpack(x.as_py(), 8) for x in batch.column(0)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64), pa.int64())], ["id"])
+        def distinct(found: pa.Table) -> pa.Table:
+            return pa.table({"id": pa.array(np.unique(_column(found, "id", 8)).view(np.int64), pa.int64())})
 
-        return table.select("id").mapInArrow(unpack, "id long")
+        return table.select("bucket", "id").groupBy("bucket").applyInArrow(distinct, "id long")
 
     # Spark groups by bucket; a bucket holds about bucket_bytes of text, or one longer document.
     asking = prefilter(keyed, "id", ids_of(asked), "id")
