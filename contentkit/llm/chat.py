@@ -25,7 +25,7 @@ from contentkit.llm.storage import stage
 # Roles, costs, marks.
 ROLES = ["system", "user", "assistant"]
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "developer": "system"}
-MERGE, RELABEL, INSERT = 1.0, 2.5, 2.0
+MERGE, RELABEL, INSERT = 1.0, 4.0, 2.0
 OPEN, CLOSE, JOINT = "<|im_start|>", "<|im_end|>\n", "\n"
 #: States: role of the last message, or none yet.
 NONE, SYSTEM, USER, ASSISTANT = range(4)
