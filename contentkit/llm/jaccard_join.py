@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.llm.graph import components
-from contentkit.llm.storage import prefilter, stage
+from contentkit.llm.storage import prefilter, stage, without_ids
 from contentkit.llm.words import shingles, signed, word_hashes
 
 #: Counters of the frequency sketch (4 MB in all, whatever the input) and the blocks it is summed in.
@@ -210,8 +210,11 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     sets = stage(describe_sets(docs, sketch, rule, id_col, text_col), "sets")
     usable = sets.filter("id IS NOT NULL AND n > 0")
     classes = usable.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    heads = usable.join(classes.select(F.col("rep").alias("id"), "h1", "h2", "n"), ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id"])
-    heads = stage(heads.select("id", "n", "prefix"), "heads")
+    # Copies of another set's text are few next to all sets, so only they (and repeated ids) are looked up.
+    slim = usable.select("id", "n", "h1", "h2")
+    copies = slim.join(classes, ["h1", "h2", "n"]).filter("id <> rep").select("id")
+    repeated = slim.groupBy("id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("id")
+    heads = without_ids(usable, "id", copies, repeated, ["h1", "h2", "n"]).select("id", "n", "prefix")
     label = link_representatives(heads, docs, rule, id_col, text_col)
     final = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
@@ -226,7 +229,8 @@ def keep_one_per_group(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text
 
     Rows with a null id are kept as they are.
     """
-    leads = jaccard_components(docs.filter(F.col(id_col).isNotNull()), rule, id_col, text_col).filter(
-        "id = component_id").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(leads, id_col, "left_semi").dropDuplicates([id_col])
+    found = stage(jaccard_components(docs.filter(F.col(id_col).isNotNull()), rule, id_col, text_col), "groups")
+    dropped = found.filter("id <> component_id").select("id")
+    repeated = found.groupBy("id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("id")
+    kept = without_ids(docs.filter(F.col(id_col).isNotNull()), id_col, dropped, repeated)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

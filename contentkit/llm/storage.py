@@ -55,3 +55,16 @@ def prefilter(df: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, fl
     hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position("_spot") % 8).cast("int")) == 1, F.lit(False))
     marked = near.join(F.broadcast(bitmaps), "_bucket", "left" if flag else "inner")
     return marked.select(*df.columns, hit.alias(flag)) if flag else marked.filter(hit).select(*df.columns)
+
+
+def without_ids(df: DataFrame, id_col: str, dropped: DataFrame, repeated: DataFrame, rank: list[str] | None = None) -> DataFrame:
+    """The rows of *df* whose id is not in *dropped* (id), one row for each id in *repeated* (id).
+
+    Rows that a bitmap of both clears are passed on where they are; only the others are shuffled.  Of repeated rows, the
+    one with the least values of *rank* (all columns if None) stays.
+    """
+    flagged = prefilter(df, id_col, dropped.select("id").union(repeated.select("id")), "id", flag="_suspect")
+    clear = flagged.filter("NOT _suspect").select(*df.columns)
+    suspects = flagged.filter("_suspect").join(dropped.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti")
+    one = suspects.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.struct(*(rank or df.columns))).alias("_row")).select("_row.*")
+    return clear.unionByName(one)
