@@ -303,3 +303,12 @@ def test_chat(spark):
     assert text[4] == "<|im_start|>user\nq\nq<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert text[9] == "".join(f"<|im_start|>{'user' if k % 2 == 0 else 'assistant'}\n{k}<|im_end|>\n" for k in range(1500))
     assert len(got) == len(rows) - 1 and chat.format_chats(frame.limit(0)).count() == 0
+
+
+def test_verify_passages_with_distant_matches():
+    rule = compact_windows.Passages()
+    a = np.arange(60, dtype=np.uint64)
+    b = np.concatenate([a[:2], np.arange(1000, 1500, dtype=np.uint64), a[:2]])
+    assert compact_windows.verify_passages(a, b, rule) == [] and compact_windows.verify_passages(a, a, rule) == [(0, 59, 0, 59)]
+    c = np.concatenate([a[:1], np.arange(1000, 1500, dtype=np.uint64), a[59:]])
+    assert compact_windows.verify_passages(a, c, rule) == []
