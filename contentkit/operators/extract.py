@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from contentkit.functions.scalars import all_of, any_of, compact, float_prefix, strip
 from contentkit.functions.variants import as_map, overlay
 from contentkit.operators.plan import compute_once, explode_rows
+from contentkit.operators.skew import one_per_key
 
 MIN_CONFIDENCE = 0.3
 REFINE_BELOW = 0.7
@@ -303,11 +304,13 @@ def build_prompts(
 def apply_responses(extracted: DataFrame, responses: DataFrame) -> DataFrame:
     """X6 (J9): overlay a JSON object response on the structured data; anything else changes nothing.
 
-    *responses*: record_id, body.
+    *responses*: record_id, body.  Of several objects for a record the one with the greatest text counts.
     """
-    parsed = responses.select("record_id", F.try_parse_json("body").alias("_body")).filter(
+    parsed = responses.select("record_id", "body", F.try_parse_json("body").alias("_body")).filter(
         F.schema_of_variant("_body").startswith("OBJECT")
     )
+    parsed = one_per_key(parsed.select("record_id", "body"), ["record_id"], ["body"]).select(
+        "record_id", F.try_parse_json("body").alias("_body"))
     joined = extracted.join(parsed, "record_id", "left")
     hit = F.col("_body").isNotNull()
     changed = {

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.functions.variants import overlay
+from contentkit.operators.skew import one_per_key
 from contentkit.records import DEFAULT_CATEGORY, RECORD_COLUMNS, RECORD_SCHEMA_VERSION, is_category
 
 
 def review_decisions(extracted: DataFrame, decisions: DataFrame, pending_to: str | None = None) -> DataFrame:
     """apply decisions by record id; *pending_to* is a bulk decision for what is still pending.
 
-    *decisions*: record_id, status, name, category, notes (nulls keep the extracted value).
+    *decisions*: record_id, status, name, category, notes (nulls keep the extracted value).  Of several decisions on a record
+    the one with the greatest values counts, or the last one by a column ``ord`` if there is one.
     """
+    order = (["ord"] if "ord" in decisions.columns else []) + ["status", "name", "category", "notes"]
+    decisions = one_per_key(decisions.select("record_id", *order), ["record_id"], order)
     d = decisions.select(
         "record_id", F.col("status").alias("_status"), F.col("name").alias("_name"),
         F.col("category").alias("_category"), F.col("notes").alias("_notes"))

@@ -84,10 +84,12 @@ def rank_within(df: DataFrame, keys: list[str], order: str, out: str, width: int
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared directory named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local temporary folder is used.
+    Only where that setting is absent and the master is local (tests on one machine) a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="contentkit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -95,3 +97,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def least(order: str, *cols: str) -> list[Column]:
     """Aggregates picking *cols* of the row with the least *order*."""
     return [F.min_by(c, order).alias(c) for c in cols]
+
+
+def one_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key: the last one by *order* (nulls first), which has to decide between rows that differ."""
+    values = [c for c in df.columns if c not in keys]
+    last = F.max_by(F.struct(*values), F.struct(*order)).alias("_last")
+    return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])

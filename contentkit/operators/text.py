@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from contentkit.functions.scalars import WHITESPACE, bind, blank_to_null, strip, title_case
 from contentkit.operators.plan import compute_once, explode_rows
+from contentkit.operators.skew import one_per_key
 
 # ---------------------------------------------------------------------------------------------
 # Thresholds, patterns and word lists that decide results.
@@ -126,8 +127,12 @@ def text_quality(text: Column) -> Column:
 
 
 def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
-    """T4 (J8): recognised text replaces the page text unless it is blank."""
+    """T4 (J8): recognised text replaces the page text unless it is blank.
+
+    Of several results for one page the most confident that is not blank counts, then the greater text.
+    """
     found = ocr.select("doc_id", "page_number", strip(F.col("text")).alias("_text"), F.col("confidence").alias("_conf"))
+    found = one_per_key(found.withColumn("_full", F.coalesce(F.col("_text") != "", F.lit(False))), ["doc_id", "page_number"], ["_full", "_conf", "_text"])
     joined = pages.join(found, ["doc_id", "page_number"], "left")
     hit = F.coalesce(F.col("_text") != "", F.lit(False))
     text = F.when(hit, F.col("_text")).otherwise(F.col("text"))
