@@ -130,18 +130,23 @@ def upsert(catalog: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def insert_strict(catalog: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Insert by id; returns the new catalog and the rows whose id already exists."""
-    rejects = rows.join(catalog.select("id"), "id", "left_semi")
-    fresh = rows.join(catalog.select("id"), "id", "left_anti")
-    stamped = fresh.withColumn("schema_version", F.lit(RECORD_SCHEMA_VERSION))
-    return catalog.unionByName(stamped.select(*catalog.columns)), rejects.select(*rows.columns)
+    """Insert by id; returns the new catalog and the rows that are rejected.
+
+    A row is rejected if its id is in the catalog or an earlier row (by ``ord``) of *rows* has it.
+    """
+    firsts = rows.groupBy("id").agg(F.min("ord").alias("_first"))
+    known = catalog.select("id").distinct().withColumn("_known", F.lit(True))
+    tagged = rows.join(firsts, "id", "left").join(known, "id", "left").withColumn(
+        "_late", F.col("_known").isNotNull() | F.coalesce(F.col("ord") > F.col("_first"), F.lit(False)))
+    fresh = tagged.filter("NOT _late").withColumn("schema_version", F.lit(RECORD_SCHEMA_VERSION))
+    return catalog.unionByName(fresh.select(*catalog.columns)), tagged.filter("_late").select(*rows.columns)
 
 
 def update_strict(catalog: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace by id (one row per id); returns the new catalog and the rows with an unknown id."""
+    """Replace by id (the last row by ``ord`` of each id); returns the new catalog and the rows with an unknown id."""
     payload = [c for c in catalog.columns if c not in ("ord", "id")]
     stamped = rows.withColumn("schema_version", F.lit(RECORD_SCHEMA_VERSION))
-    packed = stamped.select("id", F.struct(*payload).alias("_new"))
+    packed = stamped.groupBy("id").agg(F.max_by(F.struct(*payload), "ord").alias("_new"))
     out = catalog.join(packed, "id", "left").select(
         "ord", "id",
         *[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in payload],
