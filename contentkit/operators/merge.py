@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentkit.operators.skew import hot_lookup, rank_within
+from contentkit.operators.skew import hot_lookup, rank_all, rank_within
 from contentkit.records import RECORD_SCHEMA_VERSION
 
 MAX_VERSION = 99
@@ -60,7 +60,8 @@ def merge_batch(
     """M1: merge *batch* into *catalog*; returns the new catalog and one action row per batch row.
 
     Both inputs hold the same columns, among them ``ord`` (unique) and ``id``.  The batch order is
-    ``ord`` unless *order* gives another sort key (unique within a merge key).  A new row whose id
+    ``ord`` unless *order* gives another sort key (unique within a merge key).  Added rows get the numbers after the
+    catalog's greatest ``ord``, in the order of their first batch rows.  A new row whose id
     is already taken by another record fails, with the other rows of its name, instead of replacing it; switch
     *check_ids* off where ids cannot collide, it saves three shuffles of the new rows' ids.
     """
@@ -92,7 +93,10 @@ def merge_batch(
         # The payload is that of the last row, the identity that of the first.
         fresh = fresh.drop("id").join(new.select(F.col("ord").alias("_first"), "id"), "_first")
     base = catalog.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
-    fresh = fresh.select((base + F.col("_first")).alias("ord"), "id", *payload)
+    # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
+    added_rows = verdict.filter(F.col("_held").isNull() & ~F.col("_clash")).select("_first")
+    ranks = rank_all(added_rows, "_first", "_rank", batch.select(F.col("ord").alias("_first")))
+    fresh = fresh.join(ranks, "_first").select((base + F.col("_rank") - 1).alias("ord"), "id", *payload)
     if overwrite:
         replace = winners.filter(F.col("_held").isNotNull()).select(
             F.col("_held").alias("ord"), F.struct(*payload).alias("_new")

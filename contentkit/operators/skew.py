@@ -81,6 +81,23 @@ def rank_within(df: DataFrame, keys: list[str], order: str, out: str, width: int
     )
 
 
+def rank_all(df: DataFrame, order: str, out: str, spread: DataFrame, slices: int = 65_536) -> DataFrame:
+    """Row number over all rows by *order* (unique longs of any sign and size) without sorting them in one task.
+
+    The span of the column *order* in *spread* (a superset of the rows) is cut into at most *slices* equal parts; rows are
+    numbered inside a part and shifted by the number of rows in earlier parts, so one task sees only the counts of the parts.
+    """
+    low = spread.agg(F.min(order).cast("double")).scalar()
+    high = spread.agg(F.max(order).cast("double")).scalar()
+    width = F.greatest((high - low) / F.lit(slices), F.lit(1.0))
+    sliced = df.withColumn("_slice", F.floor((F.col(order).cast("double") - low) / width))
+    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    local = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(order)))
+    return local.join(offsets, "_slice").withColumn(out, F.col("_offset") + F.col("_rn")).drop("_slice", "_rn", "_offset")
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the shared directory named by ``spark.checkpoint.dir``.
 

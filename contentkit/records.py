@@ -113,5 +113,5 @@ def name_key(name: Column | str = "name") -> Column:
 
 
 def record_id(*parts: Column) -> Column:
-    """Deterministic 16-character record id."""
-    return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 16)
+    """Deterministic record id: the whole hash, so that ids stay unique in catalogs of any size."""
+    return F.sha2(F.concat_ws("\u0001", *parts), 256)

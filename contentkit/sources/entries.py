@@ -25,6 +25,8 @@ METADATA_FIELDS = ("source_book", "publisher", "author", "page_number", "tags",
 CSV_METADATA = ["sourcebook", "publisher", "author", "pagenumber", "page", "tags", "notes"]
 CSV_TYPE_COLUMNS = ["type", "contenttype"]
 JSON_METADATA = ["sourceBook", "publisher", "author", "pageNumber", "tags", "notes", "importDate", "schemaVersion"]
+#: Bytes above which a JSON array is split into its elements while it is parsed: one VARIANT has a size limit, a file has none.
+SPLIT_BYTES = 16 << 20
 EXTENSIONS = {"csv": "*.[cC][sS][vV]", "json": "*.[jJ][sS][oO][nN]", "txt": "*.[tT][xX][tT]"}
 
 
@@ -148,10 +150,7 @@ def read_entries_json(
     source_meta: Mapping[str, object] | None = None, lines: bool = False, glob: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """S3: entries and issues of JSON files; with *lines* each line is one document (and splits)."""
-    reader = spark.read.option("wholetext", str(not lines).lower())
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    texts = reader.text(path).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("_text"))
+    texts = spark.read.text(path, wholetext=not lines, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("_text"))
     return parse_json_entries(texts, root_path, default_type, source_meta)
 
 
@@ -159,25 +158,48 @@ def parse_json_entries(
     texts: DataFrame, root_path: str | None = None, default_type: str = DEFAULT_CATEGORY,
     source_meta: Mapping[str, object] | None = None, text: str = "_text",
 ) -> tuple[DataFrame, DataFrame]:
-    """S3 over a table of JSON texts (source_file and one text column)."""
-    docs = compute_once(texts.filter(strip(F.coalesce(text, F.lit(""))) != ""), _doc=F.try_parse_json(text))
-    parsed = docs.filter(F.col("_doc").isNotNull())
+    """S3 over a table of JSON texts (source_file and one text column).
+
+    A large array (at the root or at *root_path*) is parsed element by element, so only an element has to fit into one
+    VARIANT.  A large text that still has none is reported as ``JSON_TOO_LARGE`` if it is closed as it was opened.
+    """
+    present = texts.filter(strip(F.coalesce(text, F.lit(""))) != "")
+    large = F.octet_length(text) > SPLIT_BYTES
+    path_keys = root_path.split(".") if root_path else []
+    outer = F.when(F.rlike(text, F.lit(r"\A\s*\[")), "[]").when(F.rlike(text, F.lit(r"\A\s*\{")), "{}").otherwise("")
+    closed = F.when(F.rlike(F.right(text, F.lit(64)), F.lit(r"\]\s*\z")), "[]").when(
+        F.rlike(F.right(text, F.lit(64)), F.lit(r"\}\s*\z")), "{}").otherwise("-")
+    shape = "array<variant>"
+    for key in reversed(path_keys):
+        quoted = key.replace("`", "``")
+        shape = f"struct<`{quoted}`:{shape}>"
+    listed = F.from_json(text, shape)
+    for key in path_keys:
+        listed = listed.getField(key)
+    split = F.when(large & (outer == closed) & (outer == ("{}" if path_keys else "[]")), listed)
+    docs = compute_once(present, _list=split)
+    docs = compute_once(docs, _doc=F.when(F.col("_list").isNull(), F.try_parse_json(text)))
+    parsed = docs.filter(F.col("_doc").isNotNull() | F.col("_list").isNotNull())
     no_ref = F.lit(None).cast("string")
-    broken = _issues(docs.filter(F.col("_doc").isNull()), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON."), no_ref)
+    failed = docs.filter(F.col("_doc").isNull() & F.col("_list").isNull())
+    sized = large & (outer == closed)
+    broken = _issues(failed.filter(~sized), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON."), no_ref).unionByName(
+        _issues(failed.filter(sized), "error", "JSON_TOO_LARGE", F.lit(
+            "JSON is malformed or holds a value that is too large; use an array of smaller elements or JSON lines."), no_ref))
     empty = _issues(
         texts.filter(strip(F.coalesce(text, F.lit(""))) == ""), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON: empty input."), no_ref)
     if root_path:
         path = "$" + "".join(f'["{p}"]' for p in root_path.split("."))
         rooted = parsed.withColumn("_root", F.try_variant_get("_doc", path, "variant"))
-        lost = _issues(rooted.filter(F.col("_root").isNull()), "error", "JSON_ROOT_PATH_ERROR",
+        lost = _issues(rooted.filter(F.col("_root").isNull() & F.col("_list").isNull()), "error", "JSON_ROOT_PATH_ERROR",
                        F.lit(f"Root path '{root_path}' could not be resolved."), no_ref)
-        rooted = rooted.filter(F.col("_root").isNotNull())
+        rooted = rooted.filter(F.col("_root").isNotNull() | F.col("_list").isNotNull())
     else:
         rooted, lost = parsed.withColumn("_root", F.col("_doc")), None
-    shaped = rooted.withColumn("_kind", type_of(F.col("_root")))
+    shaped = rooted.withColumn("_kind", F.when(F.col("_list").isNotNull(), "array").otherwise(type_of(F.col("_root"))))
     odd = _issues(shaped.filter(~F.col("_kind").isin("array", "object")), "error", "JSON_NO_ENTRIES",
                   F.lit("JSON root is not an array or object."), no_ref)
-    items = F.when(F.col("_kind") == "array", F.try_variant_get("_root", "$", "array<variant>")).otherwise(F.array("_root"))
+    items = F.when(F.col("_list").isNotNull(), F.col("_list")).when(F.col("_kind") == "array", F.try_variant_get("_root", "$", "array<variant>")).otherwise(F.array("_root"))
     elements = shaped.filter(F.col("_kind").isin("array", "object")).select("source_file", items.alias("_items"))
     elements = explode_rows(elements, F.col("_items"), "_item", position="_i")
     ref = F.concat(F.lit("index:"), F.col("_i").cast("string"))
@@ -248,7 +270,7 @@ def read_by_extension(
     """Every .csv, .json and .txt file of a folder through its reader; adds ``import_method``."""
     csv, csv_issues = read_entries_csv(spark, folder, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["csv"])
     js, js_issues = read_entries_json(spark, folder, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["json"])
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", EXTENSIONS["txt"]).text(folder).select(
+    texts = spark.read.text(folder, wholetext=True, pathGlobFilter=EXTENSIONS["txt"]).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
     txt, txt_issues = read_text_blocks(texts, templates, category=text_category or default_type, source_meta=source_meta)
     entries = csv.withColumn("import_method", F.lit("csv")).unionByName(

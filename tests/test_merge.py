@@ -135,3 +135,21 @@ def test_strict_insert_and_update(spark):
     assert sorted(r.id for r in out.collect()) == ["w", "x", "y"] and [r.id for r in rejects.collect()] == ["x"]
     out, rejects = M.update_strict(catalog, rows)
     assert {r.id: r.name for r in out.collect()} == {"x": "new", "y": "b"} and [r.id for r in rejects.collect()] == ["w"]
+
+
+@pytest.mark.parametrize("ords", [[-40, -7, -1], [2**62, -(2**62), 2**63 - 2], [3, 17_179_869_184, 25_769_803_776]])
+def test_chained_merges_hold_for_any_batch_order_numbers(spark, ords):
+    """Three merges in a row: negative, huge and partition-based numbers never meet a number in use."""
+    state, want = frame(spark, [(50, "x", "n50", "old", "2.0.0"), (51, "y", "n51", "old", "2.0.0")]), {"x": "old", "y": "old"}
+    for turn in range(3):
+        rows = [(o, f"t{turn}-{i}", f"name {turn} {i}", f"c{turn}", "1") for i, o in enumerate(ords)]
+        rows.append((ords[0] + 1, f"again{turn}", "N50", f"again{turn}", "1"))
+        merged, _ = M.merge_batch(state, frame(spark, rows), overwrite=True)
+        got = merged.collect()
+        want |= {r[1]: r[3] for r in rows[:-1]} | {"x": f"again{turn}"}
+        assert {r.id: r.category for r in got} == want
+        numbers = [r.ord for r in got]
+        assert len(set(numbers)) == len(numbers) and max(numbers) < 51 + 1 + len(numbers)
+        fresh = [r.id for r in sorted(got, key=lambda r: r.ord)][-3:]
+        assert fresh == [f"t{turn}-{i}" for i in sorted(range(3), key=lambda i: ords[i])]
+        state = spark.createDataFrame([tuple(r[c] for c in state.columns) for r in got], SCHEMA)

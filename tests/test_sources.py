@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from contentkit.operators.extract import pick_template
@@ -104,3 +105,40 @@ def test_catalog_csv_quoting(spark, tmp_path):
     X.write_catalog_csv(E.entries_to_records(E.parse_json_entries(texts)[0], NOW, import_method="json").coalesce(1), str(tmp_path / "c"))
     text = next((tmp_path / "c").glob("part-*.csv")).read_text()
     assert text.splitlines()[0].startswith('"id","name","category","categoryLabel"') and '"a ""b"", c","npc","NPC"' in text
+
+
+@pytest.mark.parametrize("limit", [20, 1 << 24])
+def test_large_json_arrays_are_split_before_they_are_values(spark, monkeypatch, limit):
+    """The same entries and issues whether an array is parsed whole or element by element."""
+    monkeypatch.setattr(E, "SPLIT_BYTES", limit)
+    texts = spark.createDataFrame([
+        ("a", '[{"name":"x","v":1.5},{"name":"","b":[1,{"c":null}]},"{\\"name\\":\\"q\\"}",3,null,[1]]'),
+        ("b", '{"name":"solo","v":2,"pad":"xxxxxxxxxxxxxxx"}'),
+        ("c", '[{"name":"x"},{"name":"cut off he'),
+        ("e", '[{"name":"aaaaaaaaaaaaa"}] trailing'),
+    ], "source_file string, _text string")
+    entries, issues = E.parse_json_entries(texts.filter("source_file <> 'e'"))
+    assert sorted((r.source_file, r.source_ref, r.d) for r in entries.selectExpr("*", "to_json(data) d").collect()) == [
+        ("a", "index:0", '{"name":"x","v":1.5}'), ("a", "index:1", '{"b":[1,{"c":null}],"name":""}'),
+        ("b", "index:0", '{"name":"solo","pad":"xxxxxxxxxxxxxxx","v":2}')]
+    assert sorted((r.source_file, r.source_ref or "", r.code) for r in issues.collect()) == [
+        ("a", "index:1", "MISSING_NAME"), *[("a", f"index:{i}", "INVALID_ENTRY") for i in (2, 3, 4, 5)], ("c", "", "JSON_PARSE_ERROR")]
+    nested = spark.createDataFrame([
+        ("p", '{"a":{"b":[{"name":"k"},{"name":"l"}]},"z":1}'), ("r", '{"a":{"c":[{"name":"k"},{"name":"l"}]}}')],
+        "source_file string, _text string")
+    entries, issues = E.parse_json_entries(nested, root_path="a.b")
+    assert sorted(r.source_ref for r in entries.collect()) == ["index:0", "index:1"]
+    assert [(r.source_file, r.code) for r in issues.collect()] == [("r", "JSON_ROOT_PATH_ERROR")]
+
+
+def test_files_are_read_whole(spark, tmp_path):
+    """Arrays and text blocks that run over several lines are one document each."""
+    (tmp_path / "a.json").write_text(json.dumps([{"name": "x", "v": 1}, {"name": "y", "v": 2}], indent=2))
+    (tmp_path / "b.json").write_text('{\n  "name": "z",\n  "v": 3\n}\n')
+    entries, issues = E.read_entries_json(spark, str(tmp_path))
+    got = sorted((r.n, r.source_ref) for r in entries.select("source_ref", F.try_variant_get("data", "$.name", "string").alias("n")).collect())
+    assert got == [("x", "index:0"), ("y", "index:1"), ("z", "index:0")]
+    assert issues.count() == 0
+    entries, issues = E.read_by_extension(spark, str(tmp_path), TEMPLATES)
+    assert entries.count() == 3
+    assert issues.filter("code = 'JSON_PARSE_ERROR'").count() == 0
