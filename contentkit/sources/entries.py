@@ -163,7 +163,7 @@ def parse_json_entries(
     A large array (at the root or at *root_path*) is parsed element by element, so only an element has to fit into one
     VARIANT.  A large text that still has none is reported as ``JSON_TOO_LARGE`` if it is closed as it was opened.
     """
-    present = texts.filter(strip(F.coalesce(text, F.lit(""))) != "")
+    blank = strip(F.coalesce(text, F.lit(""))) == ""
     large = F.octet_length(text) > SPLIT_BYTES
     path_keys = root_path.split(".") if root_path else []
     outer = F.when(F.rlike(text, F.lit(r"\A\s*\[")), "[]").when(F.rlike(text, F.lit(r"\A\s*\{")), "{}").otherwise("")
@@ -177,35 +177,35 @@ def parse_json_entries(
     for key in path_keys:
         listed = listed.getField(key)
     split = F.when(large & (outer == closed) & (outer == ("{}" if path_keys else "[]")), listed)
-    docs = compute_once(present, _list=split)
-    docs = compute_once(docs, _doc=F.when(F.col("_list").isNull(), F.try_parse_json(text)))
-    parsed = docs.filter(F.col("_doc").isNotNull() | F.col("_list").isNotNull())
-    no_ref = F.lit(None).cast("string")
-    failed = docs.filter(F.col("_doc").isNull() & F.col("_list").isNull())
-    sized = large & (outer == closed)
-    broken = _issues(failed.filter(~sized), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON."), no_ref).unionByName(
-        _issues(failed.filter(sized), "error", "JSON_TOO_LARGE", F.lit(
-            "JSON is malformed or holds a value that is too large; use an array of smaller elements or JSON lines."), no_ref))
-    empty = _issues(
-        texts.filter(strip(F.coalesce(text, F.lit(""))) == ""), "error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON: empty input."), no_ref)
+    docs = compute_once(texts, _list=split)
+    docs = compute_once(docs, _doc=F.when(F.col("_list").isNull() & ~blank, F.try_parse_json(text)))
+    found_any = F.col("_doc").isNotNull() | F.col("_list").isNotNull()
+    whole = F.col("_doc")
     if root_path:
-        path = "$" + "".join(f'["{p}"]' for p in root_path.split("."))
-        rooted = parsed.withColumn("_root", F.try_variant_get("_doc", path, "variant"))
-        lost = _issues(rooted.filter(F.col("_root").isNull() & F.col("_list").isNull()), "error", "JSON_ROOT_PATH_ERROR",
-                       F.lit(f"Root path '{root_path}' could not be resolved."), no_ref)
-        rooted = rooted.filter(F.col("_root").isNotNull() | F.col("_list").isNotNull())
-    else:
-        rooted, lost = parsed.withColumn("_root", F.col("_doc")), None
-    shaped = rooted.withColumn("_kind", F.when(F.col("_list").isNotNull(), "array").otherwise(type_of(F.col("_root"))))
-    odd = _issues(shaped.filter(~F.col("_kind").isin("array", "object")), "error", "JSON_NO_ENTRIES",
-                  F.lit("JSON root is not an array or object."), no_ref)
-    items = F.when(F.col("_list").isNotNull(), F.col("_list")).when(F.col("_kind") == "array", F.try_variant_get("_root", "$", "array<variant>")).otherwise(F.array("_root"))
-    elements = shaped.filter(F.col("_kind").isin("array", "object")).select("source_file", items.alias("_items"))
-    elements = explode_rows(elements, F.col("_items"), "_item", position="_i")
+        whole = F.try_variant_get("_doc", "$" + "".join(f'["{p}"]' for p in path_keys), "variant")
+    docs = compute_once(docs, _root=whole)
+    kind_of_root = F.when(F.col("_list").isNotNull(), "array").otherwise(type_of(F.col("_root")))
+
+    def problem(level: str, code: str, message: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"))
+
+    # Every text is parsed once: what is wrong with it as a whole goes along as one row without an item.
+    docs = docs.withColumn("_kind", kind_of_root).withColumn("_problem", (
+        F.when(blank, problem("error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON: empty input.")))
+        .when(~found_any & large & (outer == closed), problem("error", "JSON_TOO_LARGE", F.lit(
+            "JSON is malformed or holds a value that is too large; use an array of smaller elements or JSON lines.")))
+        .when(~found_any, problem("error", "JSON_PARSE_ERROR", F.lit("Failed to parse JSON.")))
+        .when(F.col("_list").isNull() & F.col("_root").isNull(), problem(
+            "error", "JSON_ROOT_PATH_ERROR", F.lit(f"Root path '{root_path}' could not be resolved.")))
+        .when(~F.coalesce(F.col("_kind").isin("array", "object"), F.lit(False)), problem(
+            "error", "JSON_NO_ENTRIES", F.lit("JSON root is not an array or object.")))))
+    listed = F.when(F.col("_problem").isNotNull(), F.array(F.lit(None).cast("variant"))).when(
+        F.col("_list").isNotNull(), F.col("_list")).when(
+        F.col("_kind") == "array", F.try_variant_get("_root", "$", "array<variant>")).otherwise(F.array("_root"))
+    elements = explode_rows(docs, listed, "_item", position="_i").select("source_file", "_problem", "_i", "_item")
     ref = F.concat(F.lit("index:"), F.col("_i").cast("string"))
-    objects = elements.filter(type_of(F.col("_item")) == "object").withColumn("_map", as_map(F.col("_item")))
-    invalid = _issues(elements.filter(type_of(F.col("_item")) != "object"), "warning", "INVALID_ENTRY", F.concat(
-        F.lit("Entry at index "), F.col("_i").cast("string"), F.lit(" is not an object; skipping.")), ref)
+    is_object = F.coalesce(type_of(F.col("_item")) == "object", F.lit(False))
+    objects = elements.filter(F.col("_problem").isNull() & is_object).withColumn("_map", as_map(F.col("_item")))
 
     def exact(key: str, kind: str) -> Column:
         return F.try_variant_get("_item", f"$.{key}", kind)
@@ -222,11 +222,14 @@ def parse_json_entries(
     entries = objects.select(
         "source_file", ref.alias("source_ref"), F.coalesce(kind, F.lit(default_type)).alias("content_type"),
         data.alias("data"), _metadata(found, source_meta).alias("metadata"))
-    name = exact("name", "string")
-    unnamed = _issues(objects.filter(F.coalesce(name, F.lit("")) == ""), "warning", "MISSING_NAME", F.concat(
-        F.lit("Entry at index "), F.col("_i").cast("string"), F.lit(" has no 'name' field.")), ref)
-    issues = broken.unionByName(empty).unionByName(odd).unionByName(invalid).unionByName(unnamed)
-    return entries, issues.unionByName(lost) if lost is not None else issues
+    at = F.concat(F.lit("Entry at index "), F.col("_i").cast("string"))
+    judged = compute_once(elements, _issue=F.when(F.col("_problem").isNotNull(), F.col("_problem")).when(
+        ~is_object, problem("warning", "INVALID_ENTRY", F.concat(at, F.lit(" is not an object; skipping.")))).when(
+        F.coalesce(exact("name", "string"), F.lit("")) == "",
+        problem("warning", "MISSING_NAME", F.concat(at, F.lit(" has no 'name' field.")))))
+    issues = judged.filter(F.col("_issue").isNotNull()).select(
+        "source_file", F.when(F.col("_problem").isNull(), ref).alias("source_ref"), "_issue.level", "_issue.code", "_issue.message")
+    return entries, issues
 
 
 def read_text_blocks(
