@@ -62,7 +62,7 @@ FIELD_SPECS: dict[str, dict[str, dict]] = {
             "fort": NUM, "ref": NUM, "will": NUM, "alignment": one_of(ALIGNMENT_CODES), "type": {**TEXT, "also": ("subtype",)},
             **{a: AT_LEAST_ONE for a in ("str", "dex", "con", "int", "wis", "cha")}},
     "starship": {**NAME, "tier": {"type": "number", "required": True, "min": 0.25, "max": 20},
-                 "size": one_of(ALL_SIZES[2:]), "hp": AT_LEAST_ONE, "speed": AT_LEAST_ONE,
+                 "size": one_of(("tiny", "small", "medium", "large", "huge", "gargantuan", "colossal")), "hp": AT_LEAST_ONE, "speed": AT_LEAST_ONE,
                  "maneuverability": one_of(("clumsy", "poor", "average", "good", "perfect"))},
     "vehicle": {**NAME, "level": LEVEL, "price": NON_NEGATIVE, "hp": AT_LEAST_ONE, "eac": AT_LEAST_TEN,
                 "kac": AT_LEAST_TEN, "landSpeed": NON_NEGATIVE},
