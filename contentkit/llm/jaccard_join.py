@@ -10,7 +10,8 @@ Exact for any data: two sets link when ``100 * |intersection| >= percent * |unio
   in one component, so nothing inside it is compared again.
 * What remains are pairs of blocks of one list that lie in different components.  A pair of blocks is skipped
   as a whole when sizes or positions rule out every link; the others are compared set by set.
-* All candidates are verified on the shingles of the whole texts.
+* Candidates are screened by parity bitmaps of the sets, about one bit per shingle: bitmaps that differ in k bits mean
+  sets that differ in at least k shingles, so no link is lost.  Those that pass are verified on the shingles of the whole texts.
 """
 
 from __future__ import annotations
@@ -47,6 +48,22 @@ class Rule:
         return np.unique(shingles(word_hashes(data), self.width))
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """Which cells hold an odd number of the set's hashes; as many cells as the power of two up to the set's size, 64 at least."""
+    cells = max(64, 1 << (max(len(found), 1).bit_length() - 1))
+    odd = np.bincount((found >> np.uint64(24) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets; the wider bitmap is folded to the other's cells."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        long, short = (x, y) if len(x) > len(y) else (y, x)
+        x, y = long[:len(long) // 2] ^ long[len(long) // 2:], short
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _need(n: Column, m: Column, percent: int) -> Column:
     """Least intersection of linked sets of sizes n and m."""
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
@@ -86,12 +103,12 @@ def frequency_sketch(docs: DataFrame, rule: Rule, text_col: str = "text") -> np.
 
 
 def describe_sets(docs: DataFrame, sketch: np.ndarray, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, h1, h2, prefix) per document: set size, two hashes of the set, its rarest shingles in order."""
+    """(id, n, h1, h2, prefix, bits) per document: set size, two hashes of the set, its rarest shingles in order, its parities."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def rows(batches):
         for batch in batches:
-            n, h1, h2, prefixes = [], [], [], []
+            n, h1, h2, prefixes, bits = [], [], [], [], []
             for text in batch.column(1):
                 found = rule.set_of(text.as_py())
                 size = len(found)
@@ -102,14 +119,31 @@ def describe_sets(docs: DataFrame, sketch: np.ndarray, rule: Rule, id_col: str =
                 keep = size - -(-rule.percent * size // 100) + 1 if size else 0
                 rank = shared.value[(found & np.uint64(SKETCH - 1)).astype(np.int64)]
                 prefixes.append(signed(found[np.lexsort((found, rank))[:keep]]))
+                bits.append(parity_bits(found))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "n", "h1", "h2", "prefix"])
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(bits, pa.binary())], ["id", "n", "h1", "h2", "prefix", "bits"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(
-        rows, "id long, n long, h1 long, h2 long, prefix array<long>")
+        rows, "id long, n long, h1 long, h2 long, prefix array<long>, bits binary")
+
+
+def screen(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that their parity bitmaps do not rule out."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    known = prefilter(sets.select("id", "n", "bits"), "id", wanted, "id")
+    left = pairs.join(known.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    both = left.join(known.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+
+    def check(batches):
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            near = [(100 + rule.percent) * least_difference(x[k], y[k]) <= (100 - rule.percent) * (n[k] + m[k]) for k in range(len(n))]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,9 +172,9 @@ def verify(pairs: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id"
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
-def link_representatives(sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_representatives(heads: DataFrame, sets: DataFrame, docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, label) for the class representatives that link with another one."""
-    entries = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 + (100 - rule.percent) / (2 * rule.percent)))).cast("int")
 
     def fits(n, pos, m) -> Column:
@@ -165,7 +199,7 @@ def link_representatives(sets: DataFrame, docs: DataFrame, rule: Rule, id_col: s
         (F.col("id") != F.col("lid")) & fits(F.col("n"), F.col("pos"), F.col("ln")) & fits(F.col("ln"), F.col("lpos"), F.col("n")))
     star = star.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b"))
     star = stage(star.union(lists.filter("size = 2").select("a", "b")).distinct(), "star")
-    first = stage(verify(star, docs, rule, id_col, text_col), "links")
+    first = stage(verify(stage(screen(star, sets, rule), "near"), docs, rule, id_col, text_col), "links")
 
     # Members of a component have each other's answers; only blocks of different components are compared.
     label = components(first)
@@ -195,7 +229,7 @@ def link_representatives(sets: DataFrame, docs: DataFrame, rule: Rule, id_col: s
                 & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * rule.percent))
         .select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
     )
-    late = stage(pairs.join(star, ["a", "b"], "left_anti"), "cross")
+    late = stage(screen(stage(pairs.join(star, ["a", "b"], "left_anti"), "cross"), sets, rule), "near")
     return components(first.union(verify(late, docs, rule, id_col, text_col)))
 
 
@@ -215,7 +249,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     copies = slim.join(classes, ["h1", "h2", "n"]).filter("id <> rep").select("id")
     repeated = slim.groupBy("id").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("id")
     heads = without_ids(usable, "id", copies, repeated, ["h1", "h2", "n"]).select("id", "n", "prefix")
-    label = link_representatives(heads, docs, rule, id_col, text_col)
+    label = link_representatives(heads, usable, docs, rule, id_col, text_col)
     final = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", "n", F.coalesce("label", "rep").alias("component"))
     rows = sets.select("id", "n", "h1", "h2").withColumn("usable", F.col("id").isNotNull() & (F.col("n") > 0))

@@ -214,6 +214,15 @@ def test_jaccard_components(docs_of, width, percent):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == component_truth(rows, width, percent)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m, same in [(0, 5, 0), (70, 60, 50), (130, 120, 110), (3000, 1100, 900), (4100, 4000, 3900), (500, 500, 0)]:
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = pool[:n], pool[n - same:n - same + m]
+        bound = jaccard_join.least_difference(jaccard_join.parity_bits(a), jaccard_join.parity_bits(b))
+        assert bound <= len(np.setxor1d(a, b)) and (same or n < 64 or bound > 0.1 * (n + m))
+
+
 def test_jaccard_odd(docs_of, odd_rows):
     got = jaccard_join.jaccard_components(docs_of(odd_rows)).collect()
     assert len(got) == len(odd_rows) and {r.component_id for r in got if r.id in (5, 6)} == {5}
