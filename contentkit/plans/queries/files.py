@@ -201,14 +201,15 @@ def s10(spark, sf):
 
 @query("s11_raw_export", f"""WITH {PART_SQL} SELECT id, 'name' AS key, '"' || name || '"' AS value FROM rec UNION ALL SELECT id, 'category', '"' || category || '"' FROM rec
 UNION ALL SELECT id, 'level', CAST(level AS VARCHAR) FROM rec UNION ALL SELECT id, 'bulk', '"' || bulk || '"' FROM rec
-UNION ALL SELECT id, 'type', '"' || kind || '"' FROM rec UNION ALL SELECT id, 'description', '"' || description || '"' FROM rec""")
+UNION ALL SELECT id, 'type', '"' || kind || '"' FROM rec UNION ALL SELECT id, 'description', '"' || description || '"' FROM rec
+UNION ALL SELECT 'p' || p_partkey, 'price', CAST(p_retailprice AS VARCHAR) FROM part""")
 def s11(spark, sf):
-    return X.explode_raw_export(part_records(spark, sf)).filter("key <> 'price'")
+    return X.explode_raw_export(part_records(spark, sf))
 
 
 @query("s11_file_slugs", f"WITH {PART_SQL} SELECT id, replace(name, ' ', '-') AS file_slug FROM rec")
 def s11_slugs(spark, sf):
-    return X.raw_export_json(part_records(spark, sf)).filter(F.col("json").contains('"category":')).select("id", "file_slug")
+    return X.raw_export_json(part_records(spark, sf)).select("id", "file_slug")
 
 
 @query("s12_partitioned_packs", """SELECT CASE p_partkey % 15 WHEN 0 THEN 'weapons' WHEN 1 THEN 'armor' WHEN 2 THEN 'equipment' WHEN 3 THEN 'augmentations' WHEN 4 THEN 'feats'

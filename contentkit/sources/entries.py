@@ -269,10 +269,16 @@ def _metadata_type() -> str:
 def read_by_extension(
     spark: SparkSession, folder: str, templates: Sequence[TextTemplate], default_type: str = DEFAULT_CATEGORY,
     source_meta: Mapping[str, object] | None = None, text_category: str | None = None,
+    lines: bool = False, root_path: str | None = None, multi_line: bool = True, max_columns: int = 64,
 ) -> tuple[DataFrame, DataFrame]:
-    """Every .csv, .json and .txt file of a folder through its reader; adds ``import_method``."""
-    csv, csv_issues = read_entries_csv(spark, folder, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["csv"])
-    js, js_issues = read_entries_json(spark, folder, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["json"])
+    """Every .csv, .json and .txt file of a folder through its reader; adds ``import_method``.
+
+    *lines* and *root_path* go to the JSON reader, *multi_line* and *max_columns* to the CSV reader.
+    """
+    csv, csv_issues = read_entries_csv(
+        spark, folder, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["csv"], multi_line=multi_line, max_columns=max_columns)
+    js, js_issues = read_entries_json(
+        spark, folder, root_path, default_type=default_type, source_meta=source_meta, glob=EXTENSIONS["json"], lines=lines)
     texts = spark.read.text(folder, wholetext=True, pathGlobFilter=EXTENSIONS["txt"]).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
     txt, txt_issues = read_text_blocks(texts, templates, category=text_category or default_type, source_meta=source_meta)

@@ -75,12 +75,11 @@ def explode_raw_export(records: DataFrame) -> DataFrame:
     return records.select("id", F.explode(merged).alias("key", "_v")).select("id", "key", F.to_json("_v").alias("value"))
 
 
-def write_partitioned_packs(documents: DataFrame, path: str, mode: str = "errorifexists", files_per_pack: int = 64) -> None:
+def write_partitioned_packs(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One folder per collection.
 
-    Rows are spread over *files_per_pack* tasks per collection, so a collection with most of the
-    documents is written in parallel.
+    Rows are rebalanced by collection: Spark splits one with most of the documents over as many
+    tasks as its size asks for, and merges small ones.
     """
     out = documents.select("id", "name", "category", "document_type", "pack_id", "lineage", document_json().alias("document"))
-    part = F.pmod(F.xxhash64("id"), F.lit(files_per_pack))
-    out.repartition("pack_id", part).write.mode(mode).partitionBy("pack_id").parquet(path)
+    out.hint("rebalance", F.col("pack_id")).write.mode(mode).partitionBy("pack_id").parquet(path)
