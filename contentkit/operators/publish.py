@@ -74,9 +74,15 @@ def import_documents(
 
 
 def collect_published(published: DataFrame) -> DataFrame:
-    """M7: everything in the collections that carries lineage."""
+    """M7: everything in the collections that carries lineage.
+
+    What the catalog filters, sorts and facets by (F6, O2, A2) comes out of the lineage as columns of its own.
+    """
     return published.filter(F.col("lineage").isNotNull()).select(
-        "id", "name", F.col("category").alias("content_type"), "lineage", "pack_id", "document_type"
+        "id", "name", F.col("category").alias("content_type"), "lineage", "pack_id", "document_type", "category",
+        F.col("lineage.publisher").alias("publisher"), F.col("lineage.sourceBook").alias("source_book"),
+        F.col("lineage.tags").alias("tags"), F.col("lineage.importMethod").alias("import_method"),
+        F.col("lineage.importDate").alias("imported_date"),
     )
 
 
