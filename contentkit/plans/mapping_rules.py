@@ -132,46 +132,191 @@ def flat_file_rules(category: str) -> tuple[MapRule, ...]:
 # ---------------------------------------------------------------------------------------------
 # Source field to target path, per category.
 # ---------------------------------------------------------------------------------------------
-def _paths(prefix: str = "", **targets: str) -> dict[str, str]:
-    return {source: f"system.{prefix}{target}" for source, target in targets.items()}
-
-
-_COMMON = {"name": "name", **_paths(description="description.value", source="source")}
-_GOODS = _paths(level="level", price="price", bulk="bulk", type="type", rarity="rarity", equipped="equipped")
-_VITALS = _paths("attributes.", hp="hp.value", hpMax="hp.max")
-_DEFENSE = _paths("attributes.", eac="eac.value", kac="kac.value")
-
 FIELD_MAPS: dict[str, dict[str, str]] = {
-    "weapon": {**_COMMON, **_GOODS, **_paths(
-        weaponType="weaponType", damage="damage", damageFormula="damage[0].formula", damageType="damage[0].type",
-        critical="critical.parts", range="range.value", capacity="capacity.max", usage="usage.value", special="special")},
-    "armor": {**_COMMON, **_GOODS, **_paths(
-        eac="armor.eac", kac="armor.kac", maxDex="maxDexBonus", acp="armorCheckPenalty", speedAdjust="speedAdjustment",
-        upgradeSlots="upgradeSlots")},
-    "equipment": {**_COMMON, **_GOODS, **_paths(capacity="capacity.max", usage="usage.value")},
-    "augmentation": {**_COMMON, **_paths(level="level", price="price", type="type", system="system", capacity="capacity.max")},
-    "feat": {**_COMMON, **_paths(type="type", prerequisites="prerequisites.value")},
-    "spell": {**_COMMON, **_paths(
-        level="level", school="school", castingTime="activation.type", duration="duration.value", range="range.value",
-        target="target.value", save="save.type", saveDC="save.dc", sr="sr"),
-        **_paths("lists.", mysticLevel="mystic", technomancerLevel="technomancer", witchwarperLevel="witchwarper",
-                 precogLevel="precog")},
-    "race": {**_COMMON, **_paths(type="type", subtype="subtype", hp="hit_points", size="size", speed="speed.base"),
-             **_paths("abilityMods.", **{f"{a}Mod": a for a in ABILITY_KEYS})},
-    "theme": {**_COMMON, **_paths("abilityMod.", abilityModAbility="ability", abilityModValue="value")},
-    "class": {**_COMMON, **_paths(hpPerLevel="hpPerLevel", sp="sp", bab="bab", skillRanksPerLevel="skillRanksPerLevel",
-                                  keyAbility="keyAbility")},
-    "archetypeFeature": dict(_COMMON),
-    "npc": {**_COMMON, **_VITALS, **_DEFENSE,
-            **_paths("details.", cr="cr", xp="xp.value", alignment="alignment", type="type", subtype="subtype"),
-            **_paths("attributes.", sp="sp.value", fort="fort.value", ref="ref.value", will="will.value", speed="speed.value"),
-            **_paths("abilities.", **{a: f"{a}.value" for a in ABILITY_KEYS})},
-    "starship": {**_COMMON, **_VITALS, **_paths("details.", tier="tier", frame="frame", size="size"),
-                 **_paths("attributes.", speed="speed", maneuverability="maneuverability")},
-    "vehicle": {**_COMMON, **_VITALS, **_DEFENSE, **_paths("details.", level="level", price="price", type="type"),
-                **_paths("attributes.", landSpeed="speed.land")},
-    "hazard": {**_COMMON, **_paths("details.", cr="cr", xp="xp.value", type="type")},
-    "journal": {"name": "name"},
+    "weapon": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "level": "system.level",
+        "price": "system.price",
+        "bulk": "system.bulk",
+        "type": "system.type",
+        "rarity": "system.rarity",
+        "equipped": "system.equipped",
+        "weaponType": "system.weaponType",
+        "damage": "system.damage",
+        "damageFormula": "system.damage[0].formula",
+        "damageType": "system.damage[0].type",
+        "critical": "system.critical.parts",
+        "range": "system.range.value",
+        "capacity": "system.capacity.max",
+        "usage": "system.usage.value",
+        "special": "system.special",
+    },
+    "armor": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "level": "system.level",
+        "price": "system.price",
+        "bulk": "system.bulk",
+        "type": "system.type",
+        "rarity": "system.rarity",
+        "equipped": "system.equipped",
+        "eac": "system.armor.eac",
+        "kac": "system.armor.kac",
+        "maxDex": "system.maxDexBonus",
+        "acp": "system.armorCheckPenalty",
+        "speedAdjust": "system.speedAdjustment",
+        "upgradeSlots": "system.upgradeSlots",
+    },
+    "equipment": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "level": "system.level",
+        "price": "system.price",
+        "bulk": "system.bulk",
+        "type": "system.type",
+        "rarity": "system.rarity",
+        "equipped": "system.equipped",
+        "capacity": "system.capacity.max",
+        "usage": "system.usage.value",
+    },
+    "augmentation": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "level": "system.level",
+        "price": "system.price",
+        "type": "system.type",
+        "system": "system.system",
+        "capacity": "system.capacity.max",
+    },
+    "feat": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "type": "system.type",
+        "prerequisites": "system.prerequisites.value",
+    },
+    "spell": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "level": "system.level",
+        "school": "system.school",
+        "castingTime": "system.activation.type",
+        "duration": "system.duration.value",
+        "range": "system.range.value",
+        "target": "system.target.value",
+        "save": "system.save.type",
+        "saveDC": "system.save.dc",
+        "sr": "system.sr",
+        "mysticLevel": "system.lists.mystic",
+        "technomancerLevel": "system.lists.technomancer",
+        "witchwarperLevel": "system.lists.witchwarper",
+        "precogLevel": "system.lists.precog",
+    },
+    "race": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "type": "system.type",
+        "subtype": "system.subtype",
+        "hp": "system.hit_points",
+        "size": "system.size",
+        "speed": "system.speed.base",
+        "strMod": "system.abilityMods.str",
+        "dexMod": "system.abilityMods.dex",
+        "conMod": "system.abilityMods.con",
+        "intMod": "system.abilityMods.int",
+        "wisMod": "system.abilityMods.wis",
+        "chaMod": "system.abilityMods.cha",
+    },
+    "theme": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "abilityModAbility": "system.abilityMod.ability",
+        "abilityModValue": "system.abilityMod.value",
+    },
+    "class": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "hpPerLevel": "system.hpPerLevel",
+        "sp": "system.sp",
+        "bab": "system.bab",
+        "skillRanksPerLevel": "system.skillRanksPerLevel",
+        "keyAbility": "system.keyAbility",
+    },
+    "archetypeFeature": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+    },
+    "npc": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "hp": "system.attributes.hp.value",
+        "hpMax": "system.attributes.hp.max",
+        "eac": "system.attributes.eac.value",
+        "kac": "system.attributes.kac.value",
+        "cr": "system.details.cr",
+        "xp": "system.details.xp.value",
+        "alignment": "system.details.alignment",
+        "type": "system.details.type",
+        "subtype": "system.details.subtype",
+        "sp": "system.attributes.sp.value",
+        "fort": "system.attributes.fort.value",
+        "ref": "system.attributes.ref.value",
+        "will": "system.attributes.will.value",
+        "speed": "system.attributes.speed.value",
+        "str": "system.abilities.str.value",
+        "dex": "system.abilities.dex.value",
+        "con": "system.abilities.con.value",
+        "int": "system.abilities.int.value",
+        "wis": "system.abilities.wis.value",
+        "cha": "system.abilities.cha.value",
+    },
+    "starship": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "hp": "system.attributes.hp.value",
+        "hpMax": "system.attributes.hp.max",
+        "tier": "system.details.tier",
+        "frame": "system.details.frame",
+        "size": "system.details.size",
+        "speed": "system.attributes.speed",
+        "maneuverability": "system.attributes.maneuverability",
+    },
+    "vehicle": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "hp": "system.attributes.hp.value",
+        "hpMax": "system.attributes.hp.max",
+        "eac": "system.attributes.eac.value",
+        "kac": "system.attributes.kac.value",
+        "level": "system.details.level",
+        "price": "system.details.price",
+        "type": "system.details.type",
+        "landSpeed": "system.attributes.speed.land",
+    },
+    "hazard": {
+        "name": "name",
+        "description": "system.description.value",
+        "source": "system.source",
+        "cr": "system.details.cr",
+        "xp": "system.details.xp.value",
+        "type": "system.details.type",
+    },
+    "journal": {
+        "name": "name",
+    },
 }
 
 
@@ -182,10 +327,6 @@ def _pool(value: int) -> dict:
     return {"value": value, "min": 0, "max": value}
 
 
-def _of(*keys: str, value) -> dict:
-    return {k: value for k in keys}
-
-
 _TEXTS = {"description": {"value": "", "chat": "", "unidentified": ""}, "source": ""}
 _ITEM = {"level": 1, "price": 0, "equipped": False, "identified": True, "quantity": 1}
 _EMPTY_USE = {"capacity": {"value": 0, "max": 0}, "usage": {"value": 0, "per": ""}}
@@ -206,14 +347,14 @@ SKELETONS: dict[str, dict] = {
              "recharge": {"value": ""}, "requirements": "", "level": 0},
     "spell": {**_TEXTS, "level": 1, "school": "evo",
               "components": {"value": "V, S", "verbal": True, "somatic": True,
-                             **_of("material", "focus", "divineFocus", value=False)},
-              "lists": _of("mystic", "technomancer", "witchwarper", "precog", value=None),
+                             "material": False, "focus": False, "divineFocus": False},
+              "lists": {"mystic": None, "technomancer": None, "witchwarper": None, "precog": None},
               "activation": {"type": "action", "cost": 1, "condition": ""},
               "duration": {"value": "instantaneous", "units": "inst",
-                           **_of("concentration", "dismissal", "discharge", value=False)},
+                           "concentration": False, "dismissal": False, "discharge": False},
               "target": {"value": "one creature"}, "range": {"value": "medium", "units": "medium", "additional": ""},
-              "area": {**_of("value", "units", "type", "effect", value=""), "shapable": False},
-              "save": _of("type", "dc", "descriptor", value=""), "sr": False, "damage": [], "actionType": "save"},
+              "area": {"value": "", "units": "", "type": "", "effect": "", "shapable": False},
+              "save": {"type": "", "dc": "", "descriptor": ""}, "sr": False, "damage": [], "actionType": "save"},
     "race": {**_TEXTS, "type": "humanoid", "subtype": "", "hit_points": 4, "size": "medium",
              "speed": {"base": 30, "special": ""}, "abilityMods": {}, "traits": [],
              "languages": {"value": ["common"], "custom": ""}},
@@ -221,26 +362,27 @@ SKELETONS: dict[str, dict] = {
     "class": {**_TEXTS, "levels": 20, "bab": "medium", "hpPerLevel": 6, "sp": 6, "skillRanksPerLevel": 4,
               "isMaster": False, "keyAbility": "dex",
               "proficiencies": {"armor": ["light"], "weapon": ["basic melee", "small arm"],
-                                "saves": _of("fort", "ref", "will", value="slow")}},
+                                "saves": {"fort": "slow", "ref": "slow", "will": "slow"}}},
     "archetypeFeature": dict(_TEXTS),
     "npc": {**_TEXTS,
-            "details": {"alignment": "N", "cr": 1, "xp": {"value": 400}, "type": "humanoid",
-                        **_of("race", "class", "environment", "organization", "subtype", "rarity", value="")},
+            "details": {"alignment": "N", "race": "", "class": "", "environment": "", "organization": "", "cr": 1,
+                        "xp": {"value": 400}, "type": "humanoid", "subtype": "", "rarity": ""},
             "attributes": {"hp": _pool(15), "sp": _pool(0), "rp": _pool(0), "eac": {"value": 11}, "kac": {"value": 13},
                            "cmd": {"value": 21}, "init": {"value": 0, "total": 0},
-                           **_of("bab", "fort", "ref", "will", value={"value": 1}),
+                           "bab": {"value": 1}, "fort": {"value": 1}, "ref": {"value": 1}, "will": {"value": 1},
                            "speed": {"value": "30 ft.", "special": "", "land": {"base": 30},
                                      "fly": {"base": 0, "maneuverability": ""},
-                                     **_of("swim", "burrow", "climb", value={"base": 0})},
-                           "senses": {**_of("darkvision", "blindsense", "blindsight", value=0),
-                                      "lowlightVision": False, "senseText": ""}},
-            "abilities": _of(*ABILITY_KEYS, value={"value": 10, "mod": 0}), "skills": {}},
+                                     "swim": {"base": 0}, "burrow": {"base": 0}, "climb": {"base": 0}},
+                           "senses": {"darkvision": 0, "lowlightVision": False, "blindsense": 0, "blindsight": 0, "senseText": ""}},
+            "abilities": {"str": {"value": 10, "mod": 0}, "dex": {"value": 10, "mod": 0}, "con": {"value": 10, "mod": 0},
+                          "int": {"value": 10, "mod": 0}, "wis": {"value": 10, "mod": 0}, "cha": {"value": 10, "mod": 0}},
+            "skills": {}},
     "starship": {**_TEXTS, "details": {"tier": 1, "frame": "", "size": "medium", "shields": "", "cost": 0, "buildPoints": 55},
-                 "attributes": {"hp": _pool(40), "shields": _of("forward", "starboard", "aft", "port", "total", value=0),
+                 "attributes": {"hp": _pool(40), "shields": {"forward": 0, "starboard": 0, "aft": 0, "port": 0, "total": 0},
                                 "powerCoreUnits": 100, "speed": 8, "maneuverability": "average", "acPiloting": 0,
                                 "acTargeting": 0, "driftEngine": "", "expansionBays": 2},
-                 "crew": _of("captain", "pilot", "gunner", "engineer", "chiefMate", "magicOfficer", "scienceOfficer",
-                             value={"actors": []})},
+                 "crew": {"captain": {"actors": []}, "pilot": {"actors": []}, "gunner": {"actors": []}, "engineer": {"actors": []},
+                          "chiefMate": {"actors": []}, "magicOfficer": {"actors": []}, "scienceOfficer": {"actors": []}}},
     "vehicle": {**_TEXTS, "details": {"type": "land", "level": 1, "price": 0, "bulk": "—", "passengers": 1, "cargo": 0,
                                       "hardness": 5},
                 "attributes": {"hp": _pool(20), "speed": {"land": 30, "water": 0, "air": 0, "ftl": False},
