@@ -6,7 +6,8 @@ A byte goes if a string of ``length`` bytes that covers it also starts in a docu
    anchors, so a document is described by a few anchors per hundred bytes: hash, position, and a fingerprint of the context
    (all strings that hold the anchor).  They are packed and shuffled by hash.
 2. An anchor whose context has the fingerprint of an earlier document is covered as a whole.  What remains are first
-   documents of contexts that share an anchor with different contexts.
+   documents of contexts that share an anchor with different contexts, at every position they have the context.  Positions
+   less than a string apart are asked as one run: what an answer covers at each of them is one range of bytes.
 3. Only for those, the bytes left and right of the anchor are fetched.  Per block, a suffix array of the different sides is built by
    linear grouping construction; its order and common prefixes number the sides by every depth, which tells for every
    string around the anchor whether an earlier document has it.
@@ -210,8 +211,8 @@ _FOUND = pa.schema([("bucket", pa.int32()), ("id", pa.binary()), ("text_key", pa
                     ("hash", pa.binary()), ("ask", pa.bool_())])
 _FOUND_DDL = "bucket int, id binary, text_key binary, first binary, last binary, hash binary, ask boolean"
 _SIDES = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("id", pa.binary()), ("text_key", pa.binary()), ("at", pa.binary()),
-                    ("before", pa.binary()), ("after", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
-_SIDES_DDL = "bucket int, hash binary, id binary, text_key binary, at binary, before binary, after binary, left binary, right binary"
+                    ("reach", pa.binary()), ("before", pa.binary()), ("after", pa.binary()), ("left", pa.binary()), ("right", pa.binary())])
+_SIDES_DDL = "bucket int, hash binary, id binary, text_key binary, at binary, reach binary, before binary, after binary, left binary, right binary"
 
 
 def _found(ids, keys, first, last, hashes, ask: bool, buckets: int) -> list[list]:
@@ -229,27 +230,28 @@ def group_anchors(table: pa.Table, span: Span, buckets: int) -> pa.Table:
         keys.append(_unpack(row_keys.as_py(), 8)[doc])
         at.append(_unpack(row_at.as_py(), 5))
     ids, keys, at = (np.concatenate(x) for x in (ids, keys, at))
-    order = np.lexsort((keys, ids.view(np.int64), marks, hashes))
+    order = np.lexsort((at, keys, ids.view(np.int64), marks, hashes))
     hashes, marks, ids, keys, at = (x[order] for x in (hashes, marks, ids, keys, at))
     new_hash = np.concatenate([[True], hashes[1:] != hashes[:-1]])
     new_mark = new_hash | np.concatenate([[True], marks[1:] != marks[:-1]])
     mark_start = np.flatnonzero(new_mark)[np.cumsum(new_mark) - 1]
     signed = ids.view(np.int64)
     covered = signed > signed[mark_start]
-    # The first document of a context asks, if its anchor has other contexts of another document.
+    # The first document of a context asks wherever it has it, if its anchor has other contexts of another document; other
+    # documents of the same id are not covered by it and ask as well.
     hash_start = np.flatnonzero(new_hash)
     group = np.cumsum(new_hash) - 1
     marks_of = np.add.reduceat(new_mark.astype(np.int64), hash_start)[group]
     mixed = (np.maximum.reduceat(signed, hash_start) > np.minimum.reduceat(signed, hash_start))[group]
-    asks = new_mark & (marks_of > 1) & mixed
+    asks = ~covered & (marks_of > 1) & mixed
+    new_run = new_mark | np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (at[1:] - at[:-1] > np.uint64(span.length))])
+    run_last = np.concatenate([new_run[1:], [True]])
     side = np.uint64(span.side)
     begin = np.where(at > side, at - side, np.uint64(0))
     end = at + np.uint64(span.length)
     rows = _found(ids[covered], keys[covered], begin[covered], end[covered], hashes[covered], False, buckets)
-    # Other documents of the same id as the first one are not covered by it and ask as well.
-    also = ~covered & ~new_mark & (marks_of > 1) & mixed & (keys != keys[mark_start])
-    asks = asks | also
-    return _rows(rows + _found(ids[asks], keys[asks], at[asks], at[asks], hashes[asks], True, buckets), _FOUND)
+    first, last = asks & new_run, asks & run_last
+    return _rows(rows + _found(ids[first], keys[first], at[first], at[last], hashes[first], True, buckets), _FOUND)
 
 
 def depth_order(sides: list[bytes], block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
@@ -296,11 +298,11 @@ def _numbers(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
     """Of one hash bucket: strings around the anchors that an earlier document has too, as byte ranges."""
     side = span.side
-    hashes, ids, keys, at = (_column(table, c, w) for c, w in (("hash", 6), ("id", 8), ("text_key", 8), ("at", 5)))
+    hashes, ids, keys, at, reach = (_column(table, c, w) for c, w in (("hash", 6), ("id", 8), ("text_key", 8), ("at", 5), ("reach", 5)))
     before, after = (_column(table, c, 1).astype(np.int64) for c in ("before", "after"))
     left, right = (np.frombuffer(b"".join(x.as_py() for x in table.column(c)), np.uint8).reshape(-1, side) for c in ("left", "right"))
     order = np.lexsort((ids.view(np.int64), hashes))
-    hashes, ids, keys, at, before, after, left, right = (x[order] for x in (hashes, ids, keys, at, before, after, left, right))
+    hashes, ids, keys, at, reach, before, after, left, right = (x[order] for x in (hashes, ids, keys, at, reach, before, after, left, right))
     new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
     signed = ids.view(np.int64)
@@ -319,12 +321,12 @@ def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
         if len(by):
             least = signed[fits][by][np.flatnonzero(head)[np.cumsum(head) - 1]]
             covered[fits[by], o] = signed[fits][by] > least
-    # Runs of consecutive strings become one range of bytes.
+    # Runs of consecutive strings become one range of bytes, up to the last position that was asked with this one.
     padded = np.concatenate([np.zeros((len(hashes), 1), bool), covered, np.zeros((len(hashes), 1), bool)], axis=1).astype(np.int8)
     row_a, first_o = np.nonzero(np.diff(padded, axis=1) == 1)
     _, after_o = np.nonzero(np.diff(padded, axis=1) == -1)
     begin = at[row_a] - (after_o - 1).astype(np.uint64)
-    end = at[row_a] - first_o.astype(np.uint64) + np.uint64(span.length)
+    end = at[row_a] + reach[row_a] - first_o.astype(np.uint64) + np.uint64(span.length)
     return _rows(_found(ids[row_a], keys[row_a], begin, end, hashes[row_a], False, buckets), _FOUND)
 
 
@@ -393,8 +395,8 @@ def remove_repeats(docs: DataFrame, span: Span = Span(), id_col: str = "doc_id",
         wanted = _by_document(right)
         if not wanted or not left.num_rows:
             return _rows([], _SIDES)
-        first, hashes = _column(right, "first", 5), _column(right, "hash", 6)
-        side, held = span.side, {k: [] for k in ("hash", "id", "key", "at", "before", "after", "left", "right")}
+        first, last, hashes = (_column(right, c, w) for c, w in (("first", 5), ("last", 5), ("hash", 6)))
+        side, held = span.side, {k: [] for k in ("hash", "id", "key", "at", "reach", "before", "after", "left", "right")}
         for doc, key, text in zip(*(left.column(c) for c in ("id", "text_key", "text"))):
             name = (doc.as_py() % 2**64, key.as_py() % 2**64)
             part = wanted.pop(name, None)  # rows that repeat exactly are asked once
@@ -406,6 +408,7 @@ def remove_repeats(docs: DataFrame, span: Span = Span(), id_col: str = "doc_id",
             held["left"].append(padded[at[:, None] + np.arange(side - 1, -1, -1)[None, :]])
             held["right"].append(padded[at[:, None] + side + span.gram + np.arange(side)[None, :]])
             held["at"].append(first[part])
+            held["reach"].append(last[part] - first[part])
             held["hash"].append(hashes[part])
             held["before"].append(np.minimum(at, side).astype(np.uint64))
             held["after"].append(np.minimum(len(raw) - at - span.gram, side).astype(np.uint64))
@@ -415,10 +418,10 @@ def remove_repeats(docs: DataFrame, span: Span = Span(), id_col: str = "doc_id",
             return _rows([], _SIDES)
         h = {k: np.concatenate(v) for k, v in held.items()}
         bucket = (h["hash"] % np.uint64(buckets)).astype(np.int64)
-        rows = _split(bucket, [(h["hash"], 6), (h["id"], 8), (h["key"], 8), (h["at"], 5), (h["before"], 1), (h["after"], 1)])
+        rows = _split(bucket, [(h["hash"], 6), (h["id"], 8), (h["key"], 8), (h["at"], 5), (h["reach"], 5), (h["before"], 1), (h["after"], 1)])
         order, begin = np.argsort(bucket, kind="stable"), 0
         for row in rows:
-            part = order[begin:begin + len(row[5])]
+            part = order[begin:begin + len(row[6])]
             begin += len(part)
             row += [h["left"][part].tobytes(), h["right"][part].tobytes()]
         return _rows(rows, _SIDES)

@@ -116,6 +116,17 @@ def test_suffix_dedup_random(docs_of):
     assert sorted([(r.id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got], key=str) == removed(rows, 50)
 
 
+def test_suffix_dedup_repeats_inside_a_document(docs_of):
+    rng = random.Random(7)
+    line, passage = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (60, 200))
+    noise = ["".join(rng.choice("ijklmnop ") for _ in range(90)) for _ in range(12)]
+    rows = [(1, noise[0] + "-" * 60 + noise[1]), (2, noise[2] + "-" * 1000 + noise[3]), (3, noise[4] + line + noise[5]), (4, noise[6] + line * 5 + noise[7]),
+            (5, noise[8] + passage[:120]), (6, noise[9] + passage + noise[10] + passage + noise[11] + passage), (7, "=-" * 30), (8, "=-" * 400 + noise[0][:20])]
+    got = suffix_dedup.remove_repeats(docs_of(rows), bucket_bytes=500).withColumn("sha", F.sha2("kept", 256)).collect()
+    assert sorted([(r.id, r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got], key=str) == removed(rows, 50)
+    assert {r.id: r.n_removed for r in got}[2] >= 1000
+
+
 def test_suffix_dedup_odd(docs_of, odd_rows):
     got = suffix_dedup.remove_repeats(docs_of(odd_rows)).collect()
     assert sorted((r.id or 0, r.n_removed) for r in got if r.id == 6) == [(6, r.n_bytes) for r in got if r.id == 6]
