@@ -189,6 +189,19 @@ def test_battery_finds_noise_not_words(spark, docs_of):
     assert sum("random" in r.spans for r in got if r.doc_id >= 100) >= 8 and not any(r.spans for r in got if r.doc_id < 100)
 
 
+def test_battery_finds_long_keys_in_a_little_prose(spark, docs_of):
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    words = [x for x in re.findall("[a-z]+", secrets.PASSAGE.lower()) if len(x) > 2]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(80)) + " internationalization src/main/resources/templates ACKNOWLEDGEMENTS") for k in range(30)]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for n, a in [(40, letters), (64, letters), (200, letters), (40, letters[:52]), (120, letters[:26] + "234567")]]
+    rows += [(100 + k, f"the deploy key is {key} for now") for k, key in enumerate(keys)]
+    docs = docs_of(rows)
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs, secrets.fit_battery(docs))).collect()}
+    assert not any(got[k] for k in range(30))
+    assert [got[100 + k] for k in range(len(keys))] == [f"random:18:{18 + len(key)}" for key in keys]
+
+
 def component_truth(rows, width, percent):
     def shingle(text):
         w = tuple((text or "").encode().lower().split())
