@@ -156,6 +156,22 @@ def test_passages(docs_of, odd_rows):
     assert compact_windows.passage_report(docs_of([])).count() == 0
 
 
+def test_separated_passages(docs_of):
+    rng = random.Random(8)
+    def prose(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for pair in range(24):
+        shared, own = [prose(60) for _ in range(2 + pair % 2)], prose(30)
+        rows.append((2 * pair, " ".join(prose(20) + [w for p in shared for w in p + prose(150)])))
+        for p in shared:
+            want.setdefault(2 * pair + 1, []).append(f"{len(own)}:{len(own) + 60}")
+            own += p + prose(240)
+        rows.append((2 * pair + 1, " ".join(own)))
+    got = {r.id: r.spans for r in compact_windows.passage_report(docs_of(rows)).collect()}
+    assert {k: got[k].split(",") for k in want} == want
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
