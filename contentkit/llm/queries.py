@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentkit.llm import chat, compact_windows, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_counts
+from contentkit.llm import chat, compact_windows, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_alignment, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_chat_repair")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.link_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
