@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contentkit.llm import chat, compact_windows, jaccard_join, pairwise_quality, quality_rules, raking, secrets, suffix_dedup, tiling, token_alignment, token_counts
+from contentkit.llm import (chat, compact_windows, jaccard_join, pairwise_quality, private_spans, quality_rules, raking, secrets, suffix_dedup, tiling,
+                            token_alignment, token_counts, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +114,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_alignment.link_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.component_report(vectors, whitening.fit(vectors))
+
+
+@query("op13_private_spans")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private_spans.digest(private_spans.scan(docs, private_spans.fit(docs)))
