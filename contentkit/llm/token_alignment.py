@@ -19,6 +19,7 @@ import hashlib
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,7 +121,7 @@ def _offsets(counts: np.ndarray) -> np.ndarray:
 
 
 def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((x for ids in lists for x in ids), np.int64, sum(map(len, lists)))
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.ListArray:

@@ -2,8 +2,8 @@
 
 Vectors are put on a grid of integers (64 steps to one, shifted by a million), so that the different ones can be told exactly.  The list of
 different vectors is written to the shared folder once; its covariance is never formed.  Whatever the iteration needs of it is
-a product with a few columns: every task centres its rows, multiplies them, and hands on the sum of its rows' contributions, which
-Spark adds up; the driver sees the sums, as many numbers as dimensions times columns.
+a product with a few columns: every task centres its rows, multiplies them, and hands on the sum of its rows' contributions as one array,
+and a few tasks add those; the driver sees their sums, as many numbers as dimensions times columns.
 
 * Rayleigh-Ritz in a search space of orthonormal columns gives approximate components.
 * Those whose residual has reached double precision are locked; the search goes on orthogonal to them.
@@ -14,7 +14,7 @@ Spark adds up; the driver sees the sums, as many numbers as dimensions times col
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +27,8 @@ from contentkit.llm.storage import stage
 
 #: Steps of the grid to one, its shift, and the largest value on it.
 STEPS, SHIFT, LIMIT = 64, 1_000_000, 1 << 60
+#: Tasks that add the sums of all others.
+REDUCERS = 16
 _ADDED = ["n", "deviation", "whitened", "explained", "identity_error"]
 
 
@@ -181,38 +183,50 @@ def _rows(packed: pa.BinaryArray) -> np.ndarray:
     return np.frombuffer(b"".join(packed.to_pylist()), np.int64).reshape(len(packed), -1)
 
 
-def _summed(blocks: DataFrame, cells: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows of *part* (an array of *cells* numbers for a batch of rows): one array a task, added by Spark."""
-    def partial(batches):
+def _reduced(blocks: DataFrame, part: Callable[[np.ndarray], np.ndarray], add: Callable[[np.ndarray, np.ndarray], np.ndarray], kind: type) -> np.ndarray | None:
+    """*part* of all batches of rows, joined by *add*: one array for a task, added again by a few tasks before the driver adds theirs."""
+    def fold(arrays) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                now = part(_rows(batch.column(0)))
-                total = now if total is None else total + now
+        for now in arrays:
+            total = now if total is None else add(total, now)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(cells)), pa.array(total.ravel())], ["cell", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    def of_rows(batches):
+        return fold(part(_rows(b.column(0))) for b in batches if b.num_rows)
+
+    def of_parts(batches):
+        return fold(np.frombuffer(data, kind) for b in batches for data in b.column(0).to_pylist())
+
+    found = blocks.mapInArrow(of_rows, "part binary").repartition(REDUCERS).mapInArrow(of_parts, "part binary").collect()
+    total = None
+    for row in found:
+        now = np.frombuffer(row.part, kind)
+        total = now if total is None else add(total, now)
+    return total
 
-    sums = blocks.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    out = np.zeros(cells)
-    out[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
-    return out
+
+def _summed(blocks: DataFrame, cells: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of *part* (an array of *cells* numbers for a batch of rows)."""
+    total = _reduced(blocks, lambda x: np.ascontiguousarray(part(x), float).ravel(), np.add, float)
+    return np.zeros(cells) if total is None else total
 
 
 def _exact_sums(blocks: DataFrame) -> list[int]:
-    """Exact sums of every dimension, added in halves that cannot overflow."""
-    def partial(batches):
-        high = low = None
-        for batch in batches:
-            if batch.num_rows:
-                x = _rows(batch.column(0))
-                up, down = (x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0)
-                high, low = (up, down) if high is None else (high + up, low + down)
-        if high is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(high))), pa.array(high), pa.array(low)], ["cell", "high", "low"])
-
-    found = blocks.mapInArrow(partial, "cell long, high long, low long").groupBy("cell").agg(
-        *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")]).orderBy("cell").collect()
-    return [int(r.high) * (1 << 32) + int(r.low) for r in found]
+    """Exact sums of every dimension, as high and low halves that cannot overflow."""
+    def halves(x: np.ndarray) -> np.ndarray:
+        return carried((x >> 32).sum(0), (x & 0xFFFFFFFF).sum(0))
+
+    def carried(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        return np.concatenate([high + (low >> 32), low & 0xFFFFFFFF])
+
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        size = len(a) // 2
+        return carried(a[:size] + b[:size], a[size:] + b[size:])
+
+    total = _reduced(blocks, halves, add, np.int64)
+    size = 0 if total is None else len(total) // 2
+    return [int(total[k]) * (1 << 32) + int(total[size + k]) for k in range(size)]
 
 
 def distinct_vectors(vectors: DataFrame, vector_col: str, size: int) -> DataFrame:
