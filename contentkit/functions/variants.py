@@ -88,18 +88,6 @@ def overlay(base: Column, top: Column) -> Column:
     )
 
 
-def deep_overlay(base: Column, top: Column, depth: int = 6) -> Column:
-    """Recursive overlay: objects merge, everything else is replaced; *depth* bounds the recursion."""
-    if depth <= 1:
-        return overlay(base, top)
-
-    def both(k, x, y):
-        nested = F.schema_of_variant(x).startswith("OBJECT") & F.schema_of_variant(y).startswith("OBJECT")
-        return F.when(nested, deep_overlay(x, y, depth - 1)).otherwise(F.coalesce(y, x))
-
-    return F.to_variant_object(F.map_zip_with(as_map(base), as_map(top), both))
-
-
 def to_payload(struct: Column) -> Column:
     """Struct to VARIANT object."""
     return F.to_variant_object(struct)

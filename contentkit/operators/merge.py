@@ -10,9 +10,9 @@ c exists       all skipped                            c takes the payload of bn;
 c absent       b1 added, the rest skipped             b1 added with the payload of bn, rest overwritten
 =============  =====================================  ===========================================
 
-Only per-key aggregates (count, least and greatest order) cross the shuffle on the name, so a
-name that owns a third of the batch costs no more than any other.  The winning rows are then
-fetched by their unique batch order.
+Names, numbers and ids of both sides are aggregated per key and per id in one pass (a name that owns a third of the batch
+costs no more than any other); the verdicts, one slim row for each name of the batch, are written to the shared folder.
+Everything else is a lookup of unique numbers: the winning rows by their batch order, the replaced ones by their catalog order.
 """
 
 from __future__ import annotations
@@ -20,87 +20,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contentkit.operators.skew import hot_lookup, rank_all, rank_within
+from contentkit.operators.skew import hot_lookup, rank_within, stage
 from contentkit.records import RECORD_SCHEMA_VERSION
 
 MAX_VERSION = 99
 VERSIONED = r"(?s)^(.*) v([2-9]|[1-9][0-9])$"
 
 
-def _verdicts(catalog: DataFrame, batch: DataFrame, keys: list[str], order: Column | None) -> DataFrame:
-    """One row per batch key: ord of its first and last batch row, row count, first catalog ord (or null)."""
-    first = F.min("ord") if order is None else F.min_by("ord", order)
-    last = F.max("ord") if order is None else F.max_by("ord", order)
-    stats = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), first.alias("_first"), last.alias("_last"))
-    held = catalog.groupBy(*keys).agg(F.min("ord").alias("_held"))
-    return stats.join(held, keys, "left")
+def _clashes(fresh: DataFrame, known_ids: DataFrame) -> DataFrame:
+    """(_first) of the new keys whose first id is taken, by *known_ids* or by an earlier new key."""
+    claims = fresh.select(F.col("_id").alias("id"), "_first").unionByName(known_ids.select("id", F.lit(None).cast("bigint").alias("_first")))
+    by_id = claims.groupBy("id").agg(
+        F.min("_first").alias("_keep"), F.count("_first").alias("_claims"), F.max(F.col("_first").isNull()).alias("_taken"))
+    bad = by_id.filter(((F.col("_claims") > 0) & F.col("_taken")) | (F.col("_claims") > 1))
+    return fresh.join(bad.select(F.col("id").alias("_id"), "_keep", "_taken"), "_id").filter(
+        F.col("_taken") | (F.col("_first") != F.col("_keep"))).select("_first", F.lit(True).alias("_clash"))
 
 
-def _id_clashes(catalog: DataFrame, batch: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The first rows of new keys whose id is taken, by the catalog or by an earlier new row."""
-    fresh = verdict.filter(F.col("_held").isNull()).select(F.col("_first").alias("ord"))
-    firsts = batch.join(fresh, "ord", "left_semi").select("ord", "id")
-    keepers = firsts.groupBy("id").agg(F.min("ord").alias("_keep"))
-    held = catalog.select("id").distinct().withColumn("_taken", F.lit(True))
-    judged = firsts.join(keepers, "id").join(held, "id", "left")
-    clash = F.col("_taken") | (F.col("ord") != F.col("_keep"))
-    return judged.filter(clash).select(F.col("ord").alias("_first"), F.lit(True).alias("_clash"))
-
-
-def merge_batch(
-    catalog: DataFrame,
-    batch: DataFrame,
-    overwrite: bool = False,
-    keys: dict[str, Column] | None = None,
-    actions: tuple[str, str, str] = ("added", "overwritten", "skipped"),
-    schema_version: str | None = RECORD_SCHEMA_VERSION,
-    order: Column | None = None,
-    check_ids: bool = True,
-) -> tuple[DataFrame, DataFrame]:
-    """M1: merge *batch* into *catalog*; returns the new catalog and one action row per batch row.
+def judge_batch(
+    catalog: DataFrame, batch: DataFrame, keys: dict[str, Column], order: Column | None = None,
+    check_ids: bool = True, known_ids: DataFrame | None = None,
+) -> DataFrame:
+    """The verdicts of a merge, written to the shared folder: one row for each key of *batch*.
 
-    Both inputs hold the same columns, among them ``ord`` (unique) and ``id``.  The batch order is
-    ``ord`` unless *order* gives another sort key (unique within a merge key).  Added rows get the numbers after the
-    catalog's greatest ``ord``, in the order of their first batch rows.  A new row whose id
-    is already taken by another record fails, with the other rows of its name, instead of replacing it; switch
-    *check_ids* off where ids cannot collide, it saves three shuffles of the new rows' ids.
+    _n: its batch rows; _first, _last: order numbers of the first and the last of them; _id: the id of the first; _held: number of the first
+    catalog row with the key; _clash: whether _id belongs to another record; _rank: place among the keys that are added.
+    *known_ids* (id) are the ids in use, those of *catalog* if None.
     """
-    keys = keys or {"_key": F.lower(F.col("name"))}
     names = list(keys)
-    added, overwritten, skipped = actions
-    cat = catalog.withColumns(keys)
-    new = batch.withColumns(keys)
-    verdict = _verdicts(cat, new, names, order)
-
+    sort = F.col("ord") if order is None else order
+    new = batch.withColumns(keys).select(*names, "ord", "id", sort.alias("_sort"))
+    kind = new.schema["_sort"].dataType
+    old = catalog.withColumns(keys).select(*names, F.col("ord").alias("_old"))
+    both = new.unionByName(old.withColumn("_sort", F.lit(None).cast(kind)), allowMissingColumns=True)
+    first, last = (F.min("ord"), F.max("ord")) if order is None else (F.min_by("ord", "_sort"), F.max_by("ord", "_sort"))
+    stats = both.groupBy(*names).agg(
+        F.count("ord").alias("_n"), first.alias("_first"), last.alias("_last"), F.min_by("id", "_sort").alias("_id"), F.min("_old").alias("_held"))
+    # The shuffle that follows every use is paid once: what is read again is a table of slim rows.
+    verdict = stage(stats.filter("_n > 0"), "verdicts")
+    fresh = verdict.filter(F.col("_held").isNull())
+    added = fresh.select("_first")
     if check_ids:
-        verdict = verdict.join(_id_clashes(cat, new, verdict), "_first", "left")
+        clash = stage(_clashes(fresh, catalog.select("id") if known_ids is None else known_ids), "clashes")
+        verdict = verdict.join(clash, "_first", "left")
+        added = added.join(clash, "_first", "left_anti")
     else:
         verdict = verdict.withColumn("_clash", F.lit(None).cast("boolean"))
     verdict = verdict.withColumn("_clash", F.coalesce("_clash", F.lit(False)))
+    # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
+    return stage(verdict.join(rank_within(added, [], "_first", "_rank"), "_first", "left"), "verdicts")
+
 
+def apply_batch(
+    catalog: DataFrame, batch: DataFrame, verdict: DataFrame, keys: dict[str, Column], overwrite: bool,
+    actions: tuple[str, str, str], schema_version: str | None, next_ord: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """The new catalog and one action row per batch row, from the verdicts."""
+    names, (added, overwritten, skipped) = list(keys), actions
     payload = [c for c in batch.columns if c not in ("ord", "id")]
     restamp = {"schema_version": F.lit(schema_version)} if schema_version else {}
-
     # Rows that enter the catalog: for each key at most one, addressed by its unique batch order.
-    take = verdict.filter(~F.col("_clash")).select(
-        F.col("_last" if overwrite else "_first").alias("ord"), "_held", "_first"
-    )
-    winners = new.join(take, "ord").withColumns(restamp)
-    if not overwrite:
-        winners = winners.filter(F.col("_held").isNull())
-    fresh = winners.filter(F.col("_held").isNull())
-    if overwrite:
-        # The payload is that of the last row, the identity that of the first.
-        fresh = fresh.drop("id").join(new.select(F.col("ord").alias("_first"), "id"), "_first")
-    base = catalog.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
-    # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
-    added_rows = verdict.filter(F.col("_held").isNull() & ~F.col("_clash")).select("_first")
-    ranks = rank_all(added_rows, "_first", "_rank", batch.select(F.col("ord").alias("_first")))
-    fresh = fresh.join(ranks, "_first").select((base + F.col("_rank") - 1).alias("ord"), "id", *payload)
+    take = verdict.filter(~F.col("_clash")).select(F.col("_last" if overwrite else "_first").alias("ord"), "_held", F.col("_id").alias("_new_id"), "_rank")
+
+    def winners(side: Column) -> DataFrame:
+        return batch.drop("id").join(take.filter(side), "ord").withColumns(restamp)
+
+    # The payload is that of the winning row, the identity that of the first.
+    fresh = winners(F.col("_held").isNull()).select(
+        (next_ord + F.col("_rank") - 1).cast("bigint").alias("ord"), F.col("_new_id").alias("id"), *payload)
     if overwrite:
-        replace = winners.filter(F.col("_held").isNotNull()).select(
-            F.col("_held").alias("ord"), F.struct(*payload).alias("_new")
-        )
+        replace = winners(F.col("_held").isNotNull()).select(F.col("_held").alias("ord"), F.struct(*payload).alias("_new"))
         kept = catalog.join(replace, "ord", "left").select(
             "ord", "id",
             *[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in payload],
@@ -109,25 +98,48 @@ def merge_batch(
         kept = catalog.select("ord", "id", *payload)
     merged = kept.unionByName(fresh).select(*catalog.columns)
 
-    dim = verdict.select(*names, "_n", "_first", "_held", "_clash")
+    new, dim = batch.withColumns(keys), verdict.select(*names, "_n", "_first", "_held", "_clash")
     if len(names) > 1:
         joint = F.to_json(F.struct(*names))
-        dim = dim.withColumn("_joint", joint).drop(*names)
-        rows = hot_lookup(new.withColumn("_joint", joint), dim, "_joint", "_n")
+        rows = hot_lookup(new.withColumn("_joint", joint), dim.withColumn("_joint", joint).drop(*names), "_joint", "_n")
     else:
         rows = hot_lookup(new, dim, names[0], "_n")
-    is_first = F.col("ord") == F.col("_first")
     repeat = overwritten if overwrite else skipped
     action = (
         F.when(F.col("_held").isNotNull(), repeat)
         .when(F.col("_clash"), "failed")
-        .when(is_first, added)
+        .when(F.col("ord") == F.col("_first"), added)
         .otherwise(repeat)
     )
     reason = F.when(action == "failed", F.lit("id already used by another record"))
     return merged, rows.select(*batch.columns, action.alias("action"), reason.alias("reason"))
 
 
+def merge_batch(
+    catalog: DataFrame,
+    batch: DataFrame,
+    overwrite: bool = False,
+    keys: dict[str, Column] | None = None,
+    actions: tuple[str, str, str] = ("added", "overwritten", "skipped"),
+    schema_version: str | None = RECORD_SCHEMA_VERSION,
+    order: Column | None = None,
+    check_ids: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """M1: merge *batch* into *catalog*; returns the new catalog and one action row per batch row.
+
+    Both inputs hold the same columns, among them ``ord`` (unique) and ``id``.  The batch order is
+    ``ord`` unless *order* gives another sort key (unique within a merge key).  Added rows get the numbers after the
+    catalog's greatest ``ord``, in the order of their first batch rows.  A new row whose id
+    is already taken by another record fails, with the other rows of its name, instead of replacing it; switch
+    *check_ids* off where ids cannot collide, it saves a shuffle of all ids.  The verdicts are computed when this is
+    called.  ``bucketed.BucketedCatalog`` keeps a catalog on disk and merges into the buckets that a batch touches.
+    """
+    keys = keys or {"_key": F.lower(F.col("name"))}
+    verdict = judge_batch(catalog, batch, keys, order, check_ids)
+    base = catalog.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).scalar()
+    return apply_batch(catalog, batch, verdict, keys, overwrite, actions, schema_version, base)
+
+
 def upsert(catalog: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M2: merge with overwrite; actions are ``added`` and ``updated``, existing ids are kept."""
     return merge_batch(catalog, batch, overwrite=True, actions=("added", "updated", "skipped"))

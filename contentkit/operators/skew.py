@@ -63,39 +63,33 @@ def dim_join(left: DataFrame, dim: DataFrame, on: str | list[str], spread: str =
     return salted.join(copies, keys + ["_replica"], how).drop("_replica")
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """Row number per key by *order* (unique integers) without sorting a whole key in one task.
+#: Bits of a rank's cells: a cell, and a group of cells, holds at most 2 ** 16 different numbers.
+RANK_BITS = 16
 
-    The order axis is cut into slices of *width*; rows are numbered inside (key, slice) and
-    shifted by the number of rows of the key in earlier slices.
-    """
-    sliced = df.withColumn("_slice", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(order)))
-    return (
-        local.join(offsets, [*keys, "_slice"], "left")
-        .withColumn(out, F.col("_offset") + F.col("_rn"))
-        .drop("_slice", "_rn", "_offset")
-    )
 
+def rank_within(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """Row number per key by *order* (unique longs of any sign and spread) without sorting a whole key in one task.
 
-def rank_all(df: DataFrame, order: str, out: str, spread: DataFrame, slices: int = 65_536) -> DataFrame:
-    """Row number over all rows by *order* (unique longs of any sign and size) without sorting them in one task.
-
-    The span of the column *order* in *spread* (a superset of the rows) is cut into at most *slices* equal parts; rows are
-    numbered inside a part and shifted by the number of rows in earlier parts, so one task sees only the counts of the parts.
+    Rows are numbered inside cells of 65,536 consecutive numbers, and shifted by the rows of all cells before: of the same group
+    of 65,536 cells, of the same group of groups, and of the key.  So no window sees more than 65,536 rows of a key, whether the
+    numbers are dense, hashes, or have outliers.  Rows with a null key have no rank.
     """
-    low = spread.agg(F.min(order).cast("double")).scalar()
-    high = spread.agg(F.max(order).cast("double")).scalar()
-    width = F.greatest((high - low) / F.lit(slices), F.lit(1.0))
-    sliced = df.withColumn("_slice", F.floor((F.col(order).cast("double") - low) / width))
-    counts = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = sliced.withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(order)))
-    return local.join(offsets, "_slice").withColumn(out, F.col("_offset") + F.col("_rn")).drop("_slice", "_rn", "_offset")
+    def before(group: list[str], by: str) -> Column:
+        window = Window.partitionBy(*keys, *group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    def wider(cell: str) -> Column:
+        return F.shiftright(F.col(cell), RANK_BITS)
+
+    cells = df.groupBy(*keys, wider(order).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", wider("_cell"))
+    groups = cells.groupBy(*keys, "_group").agg(F.sum("_n").alias("_n")).withColumn("_top", wider("_group"))
+    tops = groups.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"))
+    tops = tops.select(*keys, "_top", before([], "_top").alias("_above"))
+    groups = groups.select(*keys, "_top", "_group", before(["_top"], "_group").alias("_beside")).join(tops, [*keys, "_top"])
+    cells = cells.select(*keys, "_group", "_cell", before(["_group"], "_cell").alias("_inside")).join(groups, [*keys, "_group"])
+    offsets = cells.select(*keys, "_cell", (F.col("_above") + F.col("_beside") + F.col("_inside")).alias("_offset"))
+    local = df.withColumn("_cell", wider(order)).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(order)))
+    return local.join(offsets, [*keys, "_cell"], "left").withColumn(out, F.col("_offset") + F.col("_rn")).drop("_cell", "_rn", "_offset")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -111,6 +105,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write *df* to a new table in the shared folder and read it back, so that no later use computes it again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def least(order: str, *cols: str) -> list[Column]:
     """Aggregates picking *cols* of the row with the least *order*."""
     return [F.min_by(c, order).alias(c) for c in cols]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentkit.functions import rules as V
-from contentkit.functions.variants import deep_overlay
 from contentkit.operators import conform as P
 from contentkit.operators.convert import attach_lineage
+from contentkit.operators.nested import deep_merge
 from contentkit.operators.normalize import normalize_values
 from contentkit.plans.mapping_rules import BASE_RULES, FIELD_MAPS, SKELETONS, flat_file_rules, merged_file_rules
 from contentkit.plans.queries.base import BULKS, PART_SQL, RUN_TIME, part_records, pick, pick_sql, query, table
@@ -156,12 +156,38 @@ def p8(spark, sf):
     top = F.to_variant_object(F.struct(
         F.struct(level.alias("x"), F.struct(level.alias("q")).alias("z")).alias("a"), F.array(F.lit(9)).alias("list"), F.lit("flat").alias("b")))
     m = F.col("m")
-    return part_records(spark, sf).select("id", deep_overlay(base, top).alias("m")).select(
+    return deep_merge(part_records(spark, sf).select("id", base.alias("base"), top.alias("top")), "base", "top", "m").select(
         "id", F.try_variant_get(m, "$.a.x", "bigint").alias("a_x"), F.try_variant_get(m, "$.a.y", "bigint").alias("a_y"),
         F.try_variant_get(m, "$.a.z.q", "bigint").alias("a_z_q"), F.to_json(F.try_variant_get(m, "$.list", "variant")).alias("list"),
         F.to_json(F.try_variant_get(m, "$.b", "variant")).alias("b"))
 
 
+#: Objects inside objects of the query below.
+DEEP = 13
+
+
+@query("p8_deep_merge_levels", f"""WITH {PART_SQL}
+SELECT id, CAST(k AS BIGINT) AS depth, 'low' AS base_only, CAST(level + k AS BIGINT) AS both, CASE WHEN k % 2 = 0 THEN 'high' END AS top_only
+FROM rec, generate_series(0, {DEEP - 1}) g(k)""")
+def p8_levels(spark, sf):
+    """Objects nested deeper than one step goes: every level keeps the keys of both sides."""
+    level = F.try_variant_get("raw_content", "$.level", "bigint")
+
+    def nest(parts):
+        """JSON text of objects inside objects, from the innermost."""
+        text = F.lit("{}")
+        for k in reversed(range(DEEP)):
+            text = F.concat(F.lit("{"), *parts(k), F.lit(', "in": '), text, F.lit("}"))
+        return F.parse_json(text)
+
+    base = nest(lambda k: [F.lit(f'"base_only": "low", "both": {k}')])
+    top = nest(lambda k: [F.lit('"both": '), (level + k).cast("string"), F.lit(', "top_only": "high"' if k % 2 == 0 else "")])
+    merged = deep_merge(part_records(spark, sf).select("id", base.alias("base"), top.alias("top")), "base", "top", "m")
+    at = [F.struct(F.lit(k).cast("bigint").alias("depth"), *[F.try_variant_get("m", "$" + ".in" * k + f".{c}", t).alias(c) for c, t in (
+        ("base_only", "string"), ("both", "bigint"), ("top_only", "string"))]) for k in range(DEEP)]
+    return merged.select("id", F.explode(F.array(*at)).alias("x")).select("id", "x.*")
+
+
 @query("p9_apply_field_map", f"""WITH {PART_SQL}
 SELECT id, name, CASE WHEN category IN ('npc', 'hazard', 'starship', 'race', 'theme', 'class', 'archetypeFeature', 'feat', 'journal') THEN NULL
         WHEN category = 'vehicle' THEN NULL ELSE CAST(level AS BIGINT) END AS level,

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from contentkit.operators import merge as M
 from contentkit.operators import publish as P
+from contentkit.operators.bucketed import BucketedCatalog
 from contentkit.operators.convert import convert_records
+from contentkit.operators.skew import scratch_dir
 from contentkit.plans.queries.base import (
     MERGE_SQL, PART_SQL, RUN_TIME, branded_catalog, order_batch, part_records, query, table,
 )
@@ -49,6 +51,39 @@ def m2(spark, sf):
     return M.upsert(branded_catalog(spark, sf), order_batch(spark, sf))[1].select("id", "action")
 
 
+def _bucketed(spark, sf, overwrite):
+    """The catalog in buckets, and the orders merged into it in two batches: those with even keys first."""
+    store = BucketedCatalog(spark, scratch_dir(spark, "catalog"), buckets=16)
+    store.load(branded_catalog(spark, sf))
+    for half in (0, 1):
+        store.merge(order_batch(spark, sf).filter(F.col("ord") % 2 == half), overwrite)
+    return store.read().select(*SHOWN)
+
+
+HALVES_SQL = MERGE_SQL + """,
+turns AS (SELECT lower(name) AS k, arg_min(ord, (ord % 2) * 1000000000000 + ord) AS first, arg_max(ord, (ord % 2) * 1000000000000 + ord) AS last FROM batch GROUP BY 1),
+ruled AS (SELECT t.*, h.held FROM turns t LEFT JOIN held h USING (k))"""
+
+
+@query("m1_bucketed_merge", f"""WITH {HALVES_SQL}
+SELECT {KEPT}, '2.0.0' AS schema_version FROM cat
+UNION ALL SELECT {KEPT}, '2.0.0' FROM batch JOIN ruled v ON lower(name) = v.k AND ord = v.first WHERE v.held IS NULL""")
+def m1_bucketed(spark, sf):
+    return _bucketed(spark, sf, False)
+
+
+@query("m2_bucketed_upsert", f"""WITH {HALVES_SQL}
+SELECT c.id, coalesce(b.name, c.name) AS name, coalesce(b.category, c.category) AS category,
+       coalesce(b.source_book, c.source_book) AS source_book, coalesce(b.page_number, c.page_number) AS page_number,
+       '2.0.0' AS schema_version
+FROM cat c LEFT JOIN ruled v ON v.held = c.ord LEFT JOIN batch b ON b.ord = v.last
+UNION ALL
+SELECT f.id, l.name, l.category, l.source_book, l.page_number, '2.0.0'
+FROM ruled v JOIN batch f ON f.ord = v.first JOIN batch l ON l.ord = v.last WHERE v.held IS NULL""")
+def m2_bucketed(spark, sf):
+    return _bucketed(spark, sf, True)
+
+
 def _incoming(spark, sf):
     """One row per customer; ids of existing parts and new ones."""
     base = part_records(spark, sf).limit(0)

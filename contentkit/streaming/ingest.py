@@ -1,7 +1,7 @@
 """Incremental ingestion: files that keep arriving, taken in micro-batches.
 
 Segmentation, detection, field extraction and content rules are stateless, so they run unchanged
-on a streaming DataFrame.  Merging needs the catalog as it is, so it runs once per micro-batch.
+on a streaming DataFrame.  Merging needs the catalog as it is, so it runs once per micro-batch, on the buckets it touches.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from contentkit.operators.bucketed import BucketedCatalog
 from contentkit.operators.extract import Detector, detect_records
-from contentkit.operators.merge import merge_batch
 from contentkit.operators.text import segment_pages
 from contentkit.plans.detectors import DETECTORS
 
@@ -31,41 +31,21 @@ def stream_detected(pages: DataFrame, detectors: Sequence[Detector] = DETECTORS)
     return detect_records(segment_pages(pages), detectors)
 
 
-def snapshots(spark: SparkSession, catalog_path: str) -> list[int]:
-    """Numbers of the complete snapshots of a catalog, oldest first."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = path(catalog_path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
-    return sorted(int(p.getName().split("=")[1]) for p in folders if fs.exists(path(p, "_SUCCESS")))
-
-
 def merge_stream(
-    records: DataFrame, catalog_path: str, checkpoint: str, overwrite: bool = False, available_now: bool = True
+    records: DataFrame, catalog_path: str, checkpoint: str, overwrite: bool = False, available_now: bool = True, buckets: int = 256
 ) -> StreamingQuery:
-    """Merge a stream of catalog records; every micro-batch writes one new snapshot ``batch=<n>``.
+    """Merge a stream of catalog records into a bucketed catalog; micro-batch n is its generation n.
 
-    The newest snapshot before batch n is its input, and a batch that runs again after a failure
-    overwrites its own snapshot only, so a restart gives the same result.
+    A micro-batch reads and writes only the buckets of its names.  One that runs again after a failure overwrites its own incomplete files, and
+    leaves a complete generation as it is, so a restart gives the same catalog.
     """
-
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        before = [b for b in snapshots(spark, catalog_path) if b < n]
-        if before:
-            catalog = spark.read.parquet(f"{catalog_path}/batch={before[-1]}")
-        else:
-            catalog = batch.limit(0)
-        merged, _ = merge_batch(catalog, batch, overwrite)
-        merged.write.mode("overwrite").parquet(f"{catalog_path}/batch={n}")
+        BucketedCatalog(batch.sparkSession, catalog_path, buckets).merge(batch, overwrite, generation=n)
 
     writer = records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest_catalog(spark: SparkSession, catalog_path: str) -> DataFrame | None:
-    """The newest complete snapshot."""
-    done = snapshots(spark, catalog_path)
-    return spark.read.parquet(f"{catalog_path}/batch={done[-1]}") if done else None
+    """The newest complete generation."""
+    return BucketedCatalog(spark, catalog_path).read()

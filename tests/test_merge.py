@@ -111,12 +111,17 @@ def test_hot_rows_are_spread_by_the_shuffle(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_rank_within_matches_row_number(spark):
-    df = spark.range(500).select((F.col("id") * 37).alias("ord"), F.when(F.col("id") % 2 == 0, "hot").otherwise("x").alias("k"))
-    got = {(r.k, r.ord): r.rank for r in K.rank_within(df, ["k"], "ord", "rank", width=1000).collect()}
+@pytest.mark.parametrize("numbers", ["dense", "hash", "outlier", "signs"])
+def test_rank_within_matches_row_number(spark, numbers):
+    n = F.col("id")
+    order = {"dense": n, "hash": F.xxhash64("id"), "outlier": F.when(n == 7, F.lit(2**62)).otherwise(n * 3), "signs": (n - 250) * F.lit(2**40)}[numbers]
+    df = spark.range(500).select(order.alias("ord"), F.when(n % 2 == 0, "hot").otherwise("x").alias("k"))
+    got = {(r.k, r.ord): r.rank for r in K.rank_within(df, ["k"], "ord", "rank").collect()}
     for k in ("hot", "x"):
         ordered = sorted(o for kk, o in got if kk == k)
         assert [got[(k, o)] for o in ordered] == list(range(1, len(ordered) + 1))
+    over_all = {r.ord: r.rank for r in K.rank_within(df, [], "ord", "rank").collect()}
+    assert [over_all[o] for o in sorted(over_all)] == list(range(1, 501))
 
 
 def test_dim_join_routes_agree(spark, monkeypatch):
