@@ -41,10 +41,10 @@ def judge_batch(
     catalog: DataFrame, batch: DataFrame, keys: dict[str, Column], order: Column | None = None,
     check_ids: bool = True, known_ids: DataFrame | None = None,
 ) -> DataFrame:
-    """The verdicts of a merge, written to the shared folder: one row for each key of *batch*.
+    """The verdicts of a merge, aggregated once and written to the shared folder: one row for each key of *batch*.
 
     _n: its batch rows; _first, _last: order numbers of the first and the last of them; _id: the id of the first; _held: number of the first
-    catalog row with the key; _clash: whether _id belongs to another record; _rank: place among the keys that are added.
+    catalog row with the key; _clash: whether _id belongs to another record.
     *known_ids* (id) are the ids in use, those of *catalog* if None.
     """
     names = list(keys)
@@ -56,19 +56,12 @@ def judge_batch(
     first, last = (F.min("ord"), F.max("ord")) if order is None else (F.min_by("ord", "_sort"), F.max_by("ord", "_sort"))
     stats = both.groupBy(*names).agg(
         F.count("ord").alias("_n"), first.alias("_first"), last.alias("_last"), F.min_by("id", "_sort").alias("_id"), F.min("_old").alias("_held"))
-    # The shuffle that follows every use is paid once: what is read again is a table of slim rows.
+    # Read again by several steps, so paid for once.
     verdict = stage(stats.filter("_n > 0"), "verdicts")
-    fresh = verdict.filter(F.col("_held").isNull())
-    added = fresh.select("_first")
-    if check_ids:
-        clash = stage(_clashes(fresh, catalog.select("id") if known_ids is None else known_ids), "clashes")
-        verdict = verdict.join(clash, "_first", "left")
-        added = added.join(clash, "_first", "left_anti")
-    else:
-        verdict = verdict.withColumn("_clash", F.lit(None).cast("boolean"))
-    verdict = verdict.withColumn("_clash", F.coalesce("_clash", F.lit(False)))
-    # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
-    return stage(verdict.join(rank_within(added, [], "_first", "_rank"), "_first", "left"), "verdicts")
+    if not check_ids:
+        return verdict.withColumn("_clash", F.lit(False))
+    clash = _clashes(verdict.filter(F.col("_held").isNull()), catalog.select("id") if known_ids is None else known_ids)
+    return verdict.join(clash, "_first", "left").withColumn("_clash", F.coalesce("_clash", F.lit(False)))
 
 
 def apply_batch(
@@ -80,16 +73,15 @@ def apply_batch(
     payload = [c for c in batch.columns if c not in ("ord", "id")]
     restamp = {"schema_version": F.lit(schema_version)} if schema_version else {}
     # Rows that enter the catalog: for each key at most one, addressed by its unique batch order.
-    take = verdict.filter(~F.col("_clash")).select(F.col("_last" if overwrite else "_first").alias("ord"), "_held", F.col("_id").alias("_new_id"), "_rank")
-
-    def winners(side: Column) -> DataFrame:
-        return batch.drop("id").join(take.filter(side), "ord").withColumns(restamp)
-
+    take = verdict.filter(~F.col("_clash")).withColumn("ord", F.col("_last" if overwrite else "_first"))
+    # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
+    added_keys = rank_within(take.filter(F.col("_held").isNull()).select("ord", "_first", F.col("_id").alias("_new_id")), [], "_first", "_rank")
     # The payload is that of the winning row, the identity that of the first.
-    fresh = winners(F.col("_held").isNull()).select(
+    fresh = batch.drop("id").join(added_keys, "ord").withColumns(restamp).select(
         (next_ord + F.col("_rank") - 1).cast("bigint").alias("ord"), F.col("_new_id").alias("id"), *payload)
     if overwrite:
-        replace = winners(F.col("_held").isNotNull()).select(F.col("_held").alias("ord"), F.struct(*payload).alias("_new"))
+        again = batch.drop("id").join(take.filter(F.col("_held").isNotNull()).select("ord", "_held"), "ord").withColumns(restamp)
+        replace = again.select(F.col("_held").alias("ord"), F.struct(*payload).alias("_new"))
         kept = catalog.join(replace, "ord", "left").select(
             "ord", "id",
             *[F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in payload],

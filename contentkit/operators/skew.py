@@ -63,32 +63,28 @@ def dim_join(left: DataFrame, dim: DataFrame, on: str | list[str], spread: str =
     return salted.join(copies, keys + ["_replica"], how).drop("_replica")
 
 
-#: Bits of a rank's cells: a cell, and a group of cells, holds at most 2 ** 16 different numbers.
-RANK_BITS = 16
+#: Bits of an order number inside a cell, and of a cell inside a group; at most 21 are left for the group.
+CELL_BITS, GROUP_BITS = 22, 21
 
 
 def rank_within(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Row number per key by *order* (unique longs of any sign and spread) without sorting a whole key in one task.
 
-    Rows are numbered inside cells of 65,536 consecutive numbers, and shifted by the rows of all cells before: of the same group
-    of 65,536 cells, of the same group of groups, and of the key.  So no window sees more than 65,536 rows of a key, whether the
-    numbers are dense, hashes, or have outliers.  Rows with a null key have no rank.
+    Rows are numbered inside cells of 2 ** 22 consecutive numbers, and shifted by the rows of all cells before: of the same group of 2 ** 21
+    cells, and of all groups before.  So no window sees more than that many rows of a key, whether the numbers are
+    dense, hashes, or have outliers.  Rows with a null key have no rank.
     """
     def before(group: list[str], by: str) -> Column:
         window = Window.partitionBy(*keys, *group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
-    def wider(cell: str) -> Column:
-        return F.shiftright(F.col(cell), RANK_BITS)
-
-    cells = df.groupBy(*keys, wider(order).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_group", wider("_cell"))
-    groups = cells.groupBy(*keys, "_group").agg(F.sum("_n").alias("_n")).withColumn("_top", wider("_group"))
-    tops = groups.groupBy(*keys, "_top").agg(F.sum("_n").alias("_n"))
-    tops = tops.select(*keys, "_top", before([], "_top").alias("_above"))
-    groups = groups.select(*keys, "_top", "_group", before(["_top"], "_group").alias("_beside")).join(tops, [*keys, "_top"])
-    cells = cells.select(*keys, "_group", "_cell", before(["_group"], "_cell").alias("_inside")).join(groups, [*keys, "_group"])
-    offsets = cells.select(*keys, "_cell", (F.col("_above") + F.col("_beside") + F.col("_inside")).alias("_offset"))
-    local = df.withColumn("_cell", wider(order)).withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(order)))
+    cells = df.groupBy(*keys, F.shiftright(order, CELL_BITS).alias("_cell")).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_group", F.shiftright("_cell", GROUP_BITS))
+    groups = cells.groupBy(*keys, "_group").agg(F.sum("_n").alias("_n")).select(*keys, "_group", before([], "_group").alias("_above"))
+    inside = cells.select(*keys, "_group", "_cell", before(["_group"], "_cell").alias("_inside"))
+    offsets = inside.join(groups, [*keys, "_group"]).select(*keys, "_cell", (F.col("_above") + F.col("_inside")).alias("_offset"))
+    local = df.withColumn("_cell", F.shiftright(order, CELL_BITS)).withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy(order)))
     return local.join(offsets, [*keys, "_cell"], "left").withColumn(out, F.col("_offset") + F.col("_rn")).drop("_cell", "_rn", "_offset")
 
 
