@@ -13,6 +13,7 @@ each bucket and slot, so it stays as small as their number, which is a parameter
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,9 +96,9 @@ class BucketedCatalog:
     def _schema(self, generation: int) -> StructType:
         return self.spark.read.parquet(f"{self.root}/schema/gen={generation}").schema
 
-    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
-        """The newest generation, or some buckets of it; None before the first merge."""
-        at = self.generation()
+    def read(self, buckets: list[int] | None = None, generation: int | None = None) -> DataFrame | None:
+        """A generation (the newest by default), or some buckets of it; None before the first merge."""
+        at = self.generation() if generation is None else generation
         if at is None:
             return None
         rows = self.manifest(at).collect()
@@ -129,9 +130,12 @@ class BucketedCatalog:
     def merge(
         self, batch: DataFrame, overwrite: bool = False, generation: int | None = None,
         actions: tuple[str, str, str] = ("added", "overwritten", "skipped"), schema_version: str | None = RECORD_SCHEMA_VERSION, check_ids: bool = True,
+        order: Column | None = None, convert: Callable[[DataFrame], DataFrame] | None = None, schema: StructType | None = None,
     ) -> Commit:
         """Merge *batch* as generation *generation* (one more than the newest by default), by the rules of ``merge_batch``.
 
+        Where the catalog holds other columns than the batch, *convert* makes them of the rows that enter it, and *schema* says which they are.
+
         Touched buckets are those of the batch's names; of them only those with an added or replaced record are written.  Payloads of all
         other buckets are neither read nor shuffled, and added numbers continue from the manifest.  A generation that is complete
         already is left as it is: merging the same batch under the same number again changes nothing.
@@ -142,15 +146,15 @@ class BucketedCatalog:
             return Commit(n, [], None)
         before = [g for g in done if g < n]
         manifest = self.manifest(before[-1]).collect() if before else []
-        schema = self._schema(before[-1]) if before else batch.schema
+        schema = self._schema(before[-1]) if before else schema or batch.schema
         top = max((r.top for r in manifest if r.top is not None), default=-1)
         keys = {"_key": self.key}
         touched = {r.b for r in batch.select(self.bucket_of(self.key).alias("b")).distinct().collect()}
         catalog = self._read(self._parts(manifest, "data", touched), schema)
         slots = {r.s for r in batch.select(self.bucket_of(F.col("id")).alias("s")).distinct().collect()} if check_ids else set()
         known = self._read(self._parts(manifest, "ids", slots), StructType().add("id", "string"))
-        verdict = judge_batch(catalog, batch, keys, check_ids=check_ids, known_ids=known)
-        merged, judged = apply_batch(catalog, batch, verdict, keys, overwrite, actions, schema_version, F.lit(top + 1))
+        verdict = judge_batch(catalog, batch, keys, order, check_ids, known)
+        merged, judged = apply_batch(catalog, batch, verdict, keys, overwrite, actions, schema_version, F.lit(top + 1), convert)
         enters = verdict.filter(~F.col("_clash") & (F.col("_held").isNull() | F.lit(overwrite)))
         changed = sorted(r.b for r in enters.select(self.bucket_of(F.col("_key")).alias("b")).distinct().collect())
         rows = [r for r in manifest if r.kind == "data" and r.part not in changed]
@@ -194,12 +198,21 @@ class BucketedCatalog:
                 out.append(tuple(had))
         return out
 
+    def changed(self, since: int, until: int) -> list[int]:
+        """Buckets whose files differ between two generations."""
+        old, new = ({r.part: r.gens for r in self.manifest(g).collect() if r.kind == "data"} for g in (since, until))
+        return sorted(b for b in old.keys() | new.keys() if old.get(b) != new.get(b))
+
     def vacuum(self) -> list[str]:
-        """Remove the files that the newest generation does not use and older manifests; what was removed."""
+        """Remove the files that the newest generation does not use and older manifests; what was removed.
+
+        Bring maintained counts up to date first: they compare the generation they know with the newest one.
+        """
         at = self.generation()
         if at is None:
             return []
-        used = set(self._parts(self.manifest(at).collect(), "data", None)) | set(self._parts(self.manifest(at).collect(), "ids", None))
+        rows = self.manifest(at).collect()
+        used = set(self._parts(rows, "data", None)) | set(self._parts(rows, "ids", None))
         removed = []
         for kind in ("data", "ids"):
             for gen in self.folder.names(f"{self.root}/{kind}"):

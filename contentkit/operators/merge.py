@@ -17,6 +17,8 @@ Everything else is a lookup of unique numbers: the winning rows by their batch o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,21 +68,25 @@ def judge_batch(
 
 def apply_batch(
     catalog: DataFrame, batch: DataFrame, verdict: DataFrame, keys: dict[str, Column], overwrite: bool,
-    actions: tuple[str, str, str], schema_version: str | None, next_ord: Column,
+    actions: tuple[str, str, str], schema_version: str | None, next_ord: Column, convert: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The new catalog and one action row per batch row, from the verdicts."""
+    """The new catalog and one action row per batch row, from the verdicts.
+
+    *convert* makes catalog columns of batch rows (and keeps all others); only rows that enter the catalog are converted.
+    """
     names, (added, overwritten, skipped) = list(keys), actions
-    payload = [c for c in batch.columns if c not in ("ord", "id")]
+    payload = [c for c in catalog.columns if c not in ("ord", "id")]
     restamp = {"schema_version": F.lit(schema_version)} if schema_version else {}
+    convert = convert or (lambda rows: rows)
     # Rows that enter the catalog: for each key at most one, addressed by its unique batch order.
     take = verdict.filter(~F.col("_clash")).withColumn("ord", F.col("_last" if overwrite else "_first"))
     # New rows are numbered densely: the batch's own order may be negative, a hash or full of gaps.
     added_keys = rank_within(take.filter(F.col("_held").isNull()).select("ord", "_first", F.col("_id").alias("_new_id")), [], "_first", "_rank")
     # The payload is that of the winning row, the identity that of the first.
-    fresh = batch.drop("id").join(added_keys, "ord").withColumns(restamp).select(
+    fresh = convert(batch.join(added_keys, "ord")).withColumns(restamp).select(
         (next_ord + F.col("_rank") - 1).cast("bigint").alias("ord"), F.col("_new_id").alias("id"), *payload)
     if overwrite:
-        again = batch.drop("id").join(take.filter(F.col("_held").isNotNull()).select("ord", "_held"), "ord").withColumns(restamp)
+        again = convert(batch.join(take.filter(F.col("_held").isNotNull()).select("ord", "_held"), "ord")).withColumns(restamp)
         replace = again.select(F.col("_held").alias("ord"), F.struct(*payload).alias("_new"))
         kept = catalog.join(replace, "ord", "left").select(
             "ord", "id",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contentkit.operators.bucketed import BucketedCatalog, Commit
 from contentkit.operators.catalog import select_records
 from contentkit.operators.convert import Pack, conversion_warnings, convert_records, no_converter
 from contentkit.operators.merge import merge_batch
@@ -126,3 +127,44 @@ def publish_run(
         F.array().cast("array<string>").alias("warnings"),
         F.array(no_converter(F.col("category"))).alias("errors"))
     return PublishRun(merged, results.unionByName(unknown), selected.drop("pack_id").join(winners, "ord"), run_time, packs)
+
+
+#: Columns of a stored document, besides its number and id.
+STORED = ["name", "category", "document_type", "pack_id", "sub_type", "system", "pages", "lineage"]
+
+
+def published_store(spark: SparkSession, root: str, buckets: int = 256) -> BucketedCatalog:
+    """Published documents on disk, in buckets by (pack_id, lower(name))."""
+    return BucketedCatalog(spark, root, buckets, F.concat_ws("\u0001", F.col("pack_id"), F.lower(F.col("name"))))
+
+
+def publish_into(
+    store: BucketedCatalog, records: DataFrame, run_time: str, ids: DataFrame | None = None, categories: list[str] | None = None,
+    overwrite: bool = True, packs: Mapping[str, Pack] | None = None, run: int | None = None,
+) -> tuple[Commit, DataFrame | None]:
+    """M4, M8: publish *records* into documents that are there already; the commit, and one result row per selected record.
+
+    There is one document for each (pack_id, lower(name)).  A record whose key is taken replaces the document, which keeps its id, or is skipped
+    without *overwrite*.  Only records that become a document are converted, and only the buckets they fall into are written, all of it as
+    one generation: until its manifest is complete, readers see the state before.  A *run* that is complete is not published again (results
+    are None then).  Results hold ord, id, name, category, pack_id, disposition, warnings and errors.
+    """
+    pack = F.coalesce(F.try_element_at(category_map("pack"), F.col("category")), F.lit(""))
+    selected = select_records(records, ids, categories).withColumn("pack_id", pack)
+    known = F.coalesce(F.col("category").isin([*PACKS, *(packs or {}), "journal"]), F.lit(False))
+
+    def convert(rows: DataFrame) -> DataFrame:
+        return convert_records(rows, run_time, packs)
+
+    schema = convert(selected.limit(0)).select("ord", "id", *STORED).schema
+    commit = store.merge(
+        selected.filter(known), overwrite, run, PUBLISH_ACTIONS, schema_version=None, check_ids=False,
+        order=F.struct(F.collate("name", "UNICODE"), F.col("ord")), convert=convert, schema=schema)
+    if commit.actions is None:
+        return commit, None
+    none = F.array().cast("array<string>")
+    done = commit.actions.select("ord", "id", "name", "category", "pack_id", F.col("action").alias("disposition"),
+                                 conversion_warnings().alias("warnings"), none.alias("errors"))
+    unknown = selected.filter(~known).select("ord", "id", "name", "category", F.lit("").alias("pack_id"), F.lit("skipped").alias("disposition"),
+                                             none.alias("warnings"), F.array(no_converter(F.col("category"))).alias("errors"))
+    return commit, done.unionByName(unknown)

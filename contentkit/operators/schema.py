@@ -5,16 +5,22 @@ A schema is a long table: document_type, subtype, path, type, required, nullable
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.functions.variants import MAP_TYPE, as_map, type_of
 from contentkit.operators.conform import MapRule
 from contentkit.operators.plan import compute_once, explode_rows
-from contentkit.operators.skew import dim_join
+from contentkit.operators.skew import dim_join, stage
 
-MAX_DEPTH = 6
+#: Levels of a document that one step expands inside the row.
+LEVELS = 6
+#: An object path with more different keys than this, of which an object has a tenth at most on average, is a map.
+MAP_KEYS = 1_000
 KEY = ["document_type", "subtype"]
+_NODES = "array<struct<path:string,parent:string,head:boolean,value:variant>>"
 
 
 def top_key(path: Column) -> Column:
@@ -22,63 +28,143 @@ def top_key(path: Column) -> Column:
     return F.regexp_extract(path, r"^([^.\[]*)", 1)
 
 
-def _children(prefix: Column, value: Column, joint: str) -> Column:
-    """(path, value) of the entries of an object, in key order."""
+def _children(prefix: Column, value: Column, joint: str = ".") -> Column:
+    """The nodes (path, parent, head: whether it is the first, value) of the entries of an object, in key order."""
     entries = F.map_entries(F.try_variant_get(value, "$", MAP_TYPE))
-    return F.transform(entries, lambda e: F.struct(
-        F.when(prefix == "", e["key"]).otherwise(F.concat(prefix, F.lit(joint), e["key"])).alias("path"), e["value"].alias("value")))
+    return F.transform(entries, lambda e, i: F.struct(
+        F.when(prefix == "", e["key"]).otherwise(F.concat(prefix, F.lit(joint), e["key"])).alias("path"), prefix.alias("parent"),
+        (i == 0).alias("head"), e["value"].alias("value")))
 
 
 def _expand(node: Column) -> Column:
     """The nodes below one node: object entries, or the entries of an array's first element."""
     value, path = node["value"], node["path"]
     first = F.try_variant_get(value, "$[0]", "variant")
-    empty = F.array().cast("array<struct<path:string,value:variant>>")
     return F.coalesce(
-        F.when(type_of(value) == "object", _children(path, value, "."))
-        .when((type_of(value) == "array") & (type_of(first) == "object"), _children(F.concat(path, F.lit("[0]")), first, ".")),
-        empty,
+        F.when(type_of(value) == "object", _children(path, value))
+        .when((type_of(value) == "array") & (type_of(first) == "object"), _children(F.concat(path, F.lit("[0]")), first)),
+        F.array().cast(_NODES),
     )
 
 
-def flatten_paths(docs: DataFrame, payload: str, keep: list[str], depth: int = MAX_DEPTH) -> DataFrame:
-    """Every (path, value) of a payload up to *depth* levels; arrays are entered through element 0.
+def _level_nodes(frontier: DataFrame, keep: list[str], first: Column, levels: int) -> DataFrame:
+    """The nodes of *levels* levels as rows (path, parent, head, value, deep); *first* are those of the uppermost one.
 
-    Levels are expanded inside the row and exploded once, so the documents are read once and
-    nothing shuffles.  Sub-values travel along, so keys with dots are safe.
+    Levels are expanded inside the row and exploded once, so the rows are read once and nothing shuffles.  Sub-values travel along, so keys
+    with dots are safe.  *deep* marks a node of the last level that has something below it.
     """
-    level = _children(F.lit(""), F.col(payload), ".")
-    cols = docs.select(*keep, F.coalesce(level, F.array().cast("array<struct<path:string,value:variant>>")).alias("_l1"))
-    for i in range(2, depth + 1):
+    cols = frontier.select(*keep, F.coalesce(first, F.array().cast(_NODES)).alias("_l1"))
+    for i in range(2, levels + 1):
         cols = compute_once(cols, **{f"_l{i}": F.flatten(F.transform(f"_l{i - 1}", _expand))})
-    everything = F.concat(*[F.col(f"_l{i}") for i in range(1, depth + 1)])
-    return explode_rows(cols, everything, "_n").select(
-        *keep, F.col("_n.path").alias("path"), F.col("_n.value").alias("value"))
 
+    def marked(level: str, deep) -> Column:
+        return F.transform(level, lambda n: F.struct(n["path"].alias("path"), n["parent"].alias("parent"), n["head"].alias("head"),
+                                                     n["value"].alias("value"), deep(n).alias("deep")))
+
+    upper = [marked(f"_l{i}", lambda n: F.lit(False)) for i in range(1, levels)]
+    everything = F.concat(*upper, marked(f"_l{levels}", lambda n: F.size(_expand(n)) > 0))
+    return explode_rows(cols, everything, "_n").select(*keep, *[F.col(f"_n.{c}").alias(c) for c in ("path", "parent", "head", "value", "deep")])
+
+
+def _below(nodes: DataFrame, keep: list[str], levels: int) -> DataFrame:
+    """The next levels, below the nodes that are marked as deep; those are written to the shared folder first."""
+    frontier = stage(nodes.filter("deep").select(*keep, "path", "value"), "frontier")
+    return _level_nodes(frontier, keep, _expand(F.struct("path", "value")), levels)
+
+
+def flatten_paths(docs: DataFrame, payload: str, keep: list[str], levels: int = LEVELS) -> DataFrame:
+    """Every (path, value) of a payload, to any depth; arrays are entered through element 0.
+
+    What lies deeper than *levels* goes on as rows of its own until nothing is left below; documents that end before are read
+    once for that and once for the result.
+    """
+    rounds = [_level_nodes(docs, keep, _children(F.lit(""), F.col(payload)), levels)]
+    while not rounds[-1].filter("deep").isEmpty():
+        rounds.append(_below(rounds[-1], keep, levels))
+    return reduce(DataFrame.unionByName, rounds).select(*keep, "path", "value")
+
+
+def _node_statistics(docs: DataFrame, payload: str, order: str, levels: int) -> DataFrame:
+    """Per (KEY, parent, path, type): n, first (least order), heads (how often it was its object's first key); a written table.
+
+    The counts of each round say themselves whether something lies below it, so flat documents are read once.
+    """
+    keep, rounds = [*KEY, order], []
+    nodes = _level_nodes(docs, keep, _children(F.lit(""), F.col(payload)), levels)
+    while True:
+        typed = nodes.select(*keep, "parent", "path", type_of(F.col("value")).alias("type"), "head", "deep")
+        rounds.append(stage(typed.groupBy(*KEY, "parent", "path", "type").agg(
+            F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.count_if("head").alias("heads"), F.max("deep").alias("deep")), "paths"))
+        if rounds[-1].filter("deep").isEmpty():
+            break
+        nodes = _below(nodes, keep, levels)
+    if len(rounds) == 1:
+        return rounds[0].drop("deep")
+    return stage(reduce(DataFrame.unionByName, rounds).groupBy(*KEY, "parent", "path", "type").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("heads").alias("heads")), "paths")
+
+
+#: What a path adds to its parent's.
+_TAIL = "substring(path, length(parent) + 1)"
+
+
+def _maps(stats: DataFrame, parent: str, map_keys: int) -> DataFrame:
+    """(KEY, parent) of the objects that are used as maps, by a sketch of their different keys."""
+    return stats.groupBy(*KEY, F.col(parent).alias("_of")).agg(
+        F.approx_count_distinct(F.expr(_TAIL)).alias("_keys"), F.sum("n").alias("_entries"), F.sum("heads").alias("_objects")
+    ).filter((F.col("_keys") > map_keys) & (F.col("_entries") * 10 <= F.col("_keys") * F.col("_objects"))).select(*KEY, "_of")
 
-def discover_schema(docs: DataFrame, payload: str = "document", order: str = "ord", first_only: bool = False) -> DataFrame:
-    """The fields of each (document_type, subtype), with type, default and counts.
+
+def _with_wildcards(stats: DataFrame, map_keys: int) -> DataFrame:
+    """Add ``shown``: the path, with the keys of objects that are used as maps replaced by "*".
+
+    Goes from the top down, one level of paths at a time: whether an object below a map is a map itself is decided on all of its
+    occurrences together.
+    """
+    if _maps(stats, "parent", map_keys).isEmpty():
+        return stats.withColumn("shown", F.col("path"))
+    todo, above, done = stats, stats.select(*KEY).distinct().select(*KEY, F.lit("").alias("parent"), F.lit("").alias("_parent")), []
+    while True:
+        level = todo.join(above, [*KEY, "parent"])
+        maps = _maps(level, "_parent", map_keys).withColumnRenamed("_of", "_parent").withColumn("_map", F.lit(True))
+        shown = F.when(F.col("_map"), F.when(F.col("_parent") == "", "*").otherwise(F.concat("_parent", F.lit(".*")))).otherwise(F.concat("_parent", F.expr(_TAIL)))
+        level = stage(level.join(maps, [*KEY, "_parent"], "left").withColumn("shown", shown).select(*stats.columns, "shown"), "level")
+        done.append(level)
+        named = level.select(*KEY, "path", "shown").distinct()
+        above = named.select(*KEY, F.col("path").alias("parent"), F.col("shown").alias("_parent")).unionByName(
+            named.select(*KEY, F.concat("path", F.lit("[0]")).alias("parent"), F.concat("shown", F.lit("[0]")).alias("_parent")))
+        todo = todo.filter("parent <> ''") if len(done) == 1 else todo.join(level.select(*KEY, "path", "type").distinct(), [*KEY, "path", "type"], "left_anti")
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+
+def discover_schema(
+    docs: DataFrame, payload: str = "document", order: str = "ord", first_only: bool = False, levels: int = LEVELS, map_keys: int = MAP_KEYS,
+) -> DataFrame:
+    """The fields of each (document_type, subtype), with type, default and counts, to any depth.
 
     The default is the first value by *order*, of the type that occurs most (the earliest on a tie).
-    With *first_only* just the first document of each subtype is looked at.
+    With *first_only* just the first document of each subtype is looked at.  An object with more than *map_keys* different keys, of
+    which its occurrences have few each, is a map: all its entries are reported as one path ``parent.*``.
     """
     if first_only:
         picked = docs.groupBy(*KEY).agg(F.min(order).alias(order))
         docs = docs.join(picked, [*KEY, order], "left_semi")
-    flat = flatten_paths(docs, payload, [*KEY, order])
-    typed = flat.select(*KEY, order, "path", type_of(F.col("value")).alias("type"))
     # Counting needs numbers only, so it is a hash aggregation; the few documents that hold a first
     # value are then looked up by their order, and only those are flattened again for the defaults.
-    stats = typed.groupBy(*KEY, "path", "type").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).persist()
+    stats = _with_wildcards(_node_statistics(docs, payload, order, levels), map_keys)
+    stats = stats.groupBy(*KEY, "shown", "type").agg(
+        F.sum("n").alias("n"), F.min_by("path", F.struct("first", "path")).alias("path"), F.min("first").alias("first"))
+    stats = stage(stats, "fields")
     wanted = stats.select(*KEY, F.col("first").alias(order)).distinct()
     holders = dim_join(docs, wanted, [*KEY, order], spread=order, how="left_semi")
-    defaults = flatten_paths(holders, payload, [*KEY, order]).select(
+    defaults = flatten_paths(holders, payload, [*KEY, order], levels).select(
         *KEY, F.col(order).alias("first"), "path", type_of(F.col("value")).alias("type"), F.to_json("value").alias("default_json")
     ).groupBy(*KEY, "path", "type", "first").agg(F.min("default_json").alias("default_json"))
     per_type = stats.join(defaults, [*KEY, "path", "type", "first"], "left")
     best = F.struct(F.col("type") != "null", F.col("n"), -F.col("first"), "type", "default_json")
     return (
-        per_type.groupBy(*KEY, "path")
+        per_type.groupBy(*KEY, F.col("shown").alias("path"))
         .agg(F.max(best).alias("_b"), F.sum("n").alias("occurrences"), F.max(F.col("type") == "null").alias("nullable"),
              F.count(F.lit(1)).alias("type_count"), F.min("first").alias("ord"))
         .select(*KEY, "path", F.col("_b.type").alias("type"), F.lit(False).alias("required"), "nullable",
@@ -154,24 +240,59 @@ def record_keys(payload: Column) -> Column:
     return F.map_keys(as_map(payload))
 
 
-def schema_compat(records: DataFrame, fields: DataFrame, payload: str = "raw_content", depth: int = 6) -> DataFrame:
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]'
+
+
+def _paths_of_text(path: Column, json: Column) -> Column:
+    """The paths of all keys below an object, to any depth, from its JSON text: one fold over braces and keys.
+
+    Arrays are passed over.  The stack holds the path of every open object, and null for an open array and all inside it.
+    """
+    tokens = F.regexp_extract_all(json, F.lit(_JSON_TOKEN), F.lit(0))
+    # A key is a string with a colon behind it.
+    pairs = F.arrays_zip(tokens.alias("t"), F.slice(tokens, 2, 1 << 30).alias("next"))
+    events = F.transform(F.filter(pairs, lambda x: x["t"].isin("{", "}", "[", "]") | (F.coalesce(x["next"], F.lit("")) == ":")), lambda x: x["t"])
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<string>").alias("paths"), path.alias("now"))
+
+    def step(acc: Column, t: Column) -> Column:
+        key = F.concat(F.element_at(acc["stack"], -1), F.lit("."), F.parse_json(t).cast("string"))
+        opened = F.when(t == "{", F.when(F.size(acc["stack"]) == 0, path).otherwise(F.when(F.element_at(acc["stack"], -1).isNotNull(), acc["now"])))
+        return F.struct(
+            F.when(t.isin("{", "["), F.concat(acc["stack"], F.array(opened))).when(
+                t.isin("}", "]"), F.slice(acc["stack"], 1, F.size(acc["stack"]) - 1)).otherwise(acc["stack"]).alias("stack"),
+            F.when(t.startswith('"') & key.isNotNull(), F.concat(acc["paths"], F.array(key))).otherwise(acc["paths"]).alias("paths"),
+            F.when(t.startswith('"'), key).otherwise(acc["now"]).alias("now"))
+
+    return F.aggregate(events, start, step, lambda acc: acc["paths"])
+
+
+def _object_paths(payload: Column, levels: int) -> Column:
+    """The paths of all keys of an object and of the objects inside it, level by level; what lies deeper than *levels* follows."""
+    def inside(prefix: Column, value: Column) -> Column:
+        return F.transform(_children(prefix, value), lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value")))
+
+    empty = F.array().cast("array<struct<path:string,value:variant>>")
+    rows = [F.coalesce(inside(F.lit(""), payload), empty)]
+    for _ in range(levels - 1):
+        rows.append(F.flatten(F.transform(rows[-1], lambda n: F.coalesce(F.when(type_of(n["value"]) == "object", inside(n["path"], n["value"])), empty))))
+    deeper = F.flatten(F.transform(
+        F.filter(rows[-1], lambda n: type_of(n["value"]) == "object"), lambda n: _paths_of_text(n["path"], F.to_json(n["value"]))))
+    return F.concat(F.transform(F.concat(*rows), lambda n: n["path"]), deeper)
+
+
+def schema_compat(records: DataFrame, fields: DataFrame, payload: str = "raw_content", levels: int = LEVELS) -> DataFrame:
     """C3 (J5): missing required/optional paths, unknown keys and suggestions per record.
 
     A schema path is present when its top key is among the record's top-level keys, and a record
     path is known when its top key is one of the schema's, so the two anti joins become array
-    tests against the record's own schema, which is a small derived dimension.  ``compatible`` is
+    tests against the record's own schema, which is a small derived dimension.  Record paths are listed to any depth.  ``compatible`` is
     null for a record whose type has no schema.
     """
     rows = dim_join(records, _schema_arrays(fields), KEY)
     have = record_keys(F.col(payload))
     missing = F.filter("_fields", lambda f: ~F.array_contains(F.col("_have"), f["top"]))
     tops = F.array_distinct(F.transform("_fields", lambda f: f["top"]))
-    level = [F.transform(F.map_entries(as_map(F.col(payload))), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))]
-    empty = F.array().cast("array<struct<path:string,value:variant>>")
-    for _ in range(depth - 1):
-        level.append(F.flatten(F.transform(level[-1], lambda n: F.coalesce(
-            F.when(type_of(n["value"]) == "object", _children(n["path"], n["value"], ".")), empty))))
-    paths = F.transform(F.concat(*level), lambda n: n["path"])
+    paths = _object_paths(F.col(payload), levels)
 
     def suggestion(f: Column) -> Column:
         example = F.try_element_at(F.create_map(*[F.lit(x) for x in (

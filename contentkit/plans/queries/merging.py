@@ -8,6 +8,7 @@ from contentkit.operators import merge as M
 from contentkit.operators import publish as P
 from contentkit.operators.bucketed import BucketedCatalog
 from contentkit.operators.convert import convert_records
+from contentkit.operators.maintained import MaintainedFacets
 from contentkit.operators.skew import scratch_dir
 from contentkit.plans.queries.base import (
     MERGE_SQL, PART_SQL, RUN_TIME, branded_catalog, order_batch, part_records, query, table,
@@ -225,3 +226,35 @@ def m8_documents(spark, sf):
     return documents.select(
         "document_id", F.col("lineage.recordId").alias("record_id"), "name",
         F.try_variant_get("system", "$.level", "double").alias("level"))
+
+
+@query("m8_published_twice", f"""WITH {PART_SQL},
+r AS (SELECT *, row_number() OVER (PARTITION BY category, lower(name) ORDER BY ord) AS rn,
+             row_number() OVER (PARTITION BY category, lower(name) ORDER BY ord DESC) AS rl FROM rec)
+SELECT f.id AS document_id, l.id AS record_id, l.name, {PACK_CASE.replace('category', 'l.category', 1)} AS pack_id
+FROM r f JOIN r l ON f.category = l.category AND lower(f.name) = lower(l.name) WHERE f.rn = 1 AND l.rl = 1""")
+def m8_twice(spark, sf):
+    """Two runs into the same collections: the second replaces what the first has written."""
+    store = P.published_store(spark, scratch_dir(spark, "published"), buckets=8)
+    for _ in range(2):
+        P.publish_into(store, part_records(spark, sf), RUN_TIME)
+    return store.read().select(F.col("id").alias("document_id"), F.col("lineage.recordId").alias("record_id"), "name", "pack_id")
+
+
+@query("a2_maintained_facets", f"""WITH {HALVES_SQL},
+final AS (
+  SELECT coalesce(b.category, c.category) AS category, coalesce(b.source_book, c.source_book) AS source_book, coalesce(b.publisher, c.publisher) AS publisher
+  FROM cat c LEFT JOIN ruled v ON v.held = c.ord LEFT JOIN batch b ON b.ord = v.last
+  UNION ALL SELECT l.category, l.source_book, l.publisher FROM ruled v JOIN batch l ON l.ord = v.last WHERE v.held IS NULL)
+SELECT 'category' AS facet, category AS value, count(*) AS count FROM final GROUP BY 2
+UNION ALL SELECT 'publisher', publisher, count(*) FROM final WHERE publisher <> '' GROUP BY 2
+UNION ALL SELECT 'sourceBook', source_book, count(*) FROM final WHERE source_book <> '' GROUP BY 2""")
+def a2_maintained(spark, sf):
+    """Facet counts carried along through two merges; only changed buckets are counted again."""
+    store = BucketedCatalog(spark, scratch_dir(spark, "catalog"), buckets=16)
+    store.load(branded_catalog(spark, sf))
+    counts = MaintainedFacets(store)
+    for half in (0, 1):
+        counts.refresh()
+        store.merge(order_batch(spark, sf).filter(F.col("ord") % 2 == half), overwrite=True)
+    return counts.refresh().filter(F.col("facet").isin("category", "publisher", "sourceBook"))

@@ -52,6 +52,32 @@ def c1_first(spark, sf):
     return out.select("subtype", "path", F.when(F.col("path").isin("level", "home.nation"), F.col("default_json")).otherwise("other").alias("default_json"))
 
 
+@query("c1_deep_paths", """WITH n AS (SELECT count(*) AS n FROM customer), d AS (SELECT unnest(generate_series(1, 9)) AS k)
+SELECT 'top' || repeat('.in', k - 1) AS path, 'object' AS type, n AS occurrences FROM d, n
+UNION ALL SELECT 'top' || repeat('.in', k - 1) || '.n', 'number', n FROM d, n
+UNION ALL SELECT 'top' || repeat('.in', 8) || '.in', 'array', n FROM n
+UNION ALL SELECT 'top' || repeat('.in', 8) || '.in[0].end', 'boolean', n FROM n""")
+def c1_deep(spark, sf):
+    """Objects deeper than one step expands, with an array at the bottom."""
+    text = F.lit('[{"end": true}]')
+    for k in reversed(range(9)):
+        text = F.concat(F.lit('{"n": '), (F.col("c_nationkey") + k).cast("string"), F.lit(', "in": '), text, F.lit("}"))
+    docs = busy_table(spark, sf, "customer").select(
+        F.lit("Item").alias("document_type"), F.lit("deep").alias("subtype"), F.col("c_custkey").alias("ord"),
+        F.parse_json(F.concat(F.lit('{"top": '), text, F.lit("}"))).alias("document"))
+    return S.discover_schema(docs).select("path", "type", "occurrences")
+
+
+@query("c1_map_objects", """WITH n AS (SELECT count(*) AS n FROM customer)
+SELECT unnest(['name', 'by_id', 'by_id.*', 'by_id.*.segment']) AS path, unnest(['string', 'object', 'object', 'string']) AS type, n AS occurrences FROM n""")
+def c1_maps(spark, sf):
+    """An object with an id as its key: its entries are one path."""
+    entry = F.concat(F.lit('{"name": "x", "by_id": {"c'), F.col("c_custkey").cast("string"), F.lit('": {"segment": "'), "c_mktsegment", F.lit('"}}}'))
+    docs = busy_table(spark, sf, "customer").select(
+        F.lit("Item").alias("document_type"), F.lit("map").alias("subtype"), F.col("c_custkey").alias("ord"), F.parse_json(entry).alias("document"))
+    return S.discover_schema(docs, map_keys=40).select("path", "type", "occurrences")
+
+
 @query("c2_schema_hash", f"""WITH {DOC_SQL}, s AS (SELECT subtype, array_to_string(list_sort(list(path)), '|') AS t FROM p GROUP BY 1)
 SELECT subtype, lower(lpad(to_hex(list_reduce(list_transform(string_split(t, ''), lambda c: CAST(ord(c) AS BIGINT)),
        lambda h, c: xor((h * 33) & CAST(4294967295 AS BIGINT), c), CAST(5381 AS BIGINT))), 8, '0')) AS schema_hash FROM s""")
