@@ -144,11 +144,21 @@ def sparse_pages(pages: DataFrame, min_chars: int = 100) -> DataFrame:
     return pages.filter(F.length("text") < min_chars)
 
 
+def with_ids(records: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """The records whose id is among *ids* (id); all of them if there are none."""
+    if ids is None or ids.isEmpty():
+        return records
+    return records.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def select_records(
     records: DataFrame, ids: DataFrame | None = None, categories: list[str] | None = None
 ) -> DataFrame:
-    """optional id set (column ``id``) and optional categories; both must hold."""
-    out = records if ids is None else records.join(ids.select("id").distinct(), "id", "left_semi")
+    """optional id set (column ``id``) and optional categories; both must hold.
+
+    An empty id set selects everything, as an empty list of categories does; whether it is empty is looked up when this is called.
+    """
+    out = with_ids(records, ids)
     return out.filter(F.col("category").isin(list(categories))) if categories else out
 
 

@@ -109,7 +109,8 @@ def save_reviewed(
     kept = stage(merged, "catalog")
     touched = actions.filter(F.col("action").isin("added", "overwritten")).select(F.lower("name").alias("_k")).distinct()
     ids = kept.withColumn("_k", F.lower("name")).join(touched, "_k", "left_semi").select("id")
-    return kept, publish_run(kept, index, run_time, ids, overwrite=policy != "skip")
+    # Selected here: a review that touched nothing publishes nothing, while an empty id list would mean all.
+    return kept, publish_run(kept.join(ids, "id", "left_semi"), index, run_time, overwrite=policy != "skip")
 
 
 def publish_catalog(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contentkit.functions.rules import slug
 from contentkit.functions.variants import as_map, get_text
+from contentkit.operators.catalog import with_ids
 from contentkit.operators.convert import document_json
 from contentkit.records import category_map
 
@@ -20,10 +21,6 @@ EXPORT_NAMES = {
 CSV_PAYLOAD_COLUMNS = ["level", "price", "bulk", "description"]
 
 
-def only(records: DataFrame, ids: DataFrame | None) -> DataFrame:
-    return records if ids is None else records.join(ids.select("id").distinct(), "id", "left_semi")
-
-
 def iso(c: Column) -> Column:
     """ISO text in UTC, whatever the session time zone."""
     return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), ISO)
@@ -36,8 +33,8 @@ def export_frame(records: DataFrame) -> DataFrame:
 
 
 def write_json(records: DataFrame, path: str, ids: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Lossless JSON lines that :func:`contentkit.sources.stored.normalize_stored_records` reads back."""
-    export_frame(only(records, ids)).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """Lossless JSON lines (all records if *ids* is empty) that :func:`contentkit.sources.stored.normalize_stored_records` reads back."""
+    export_frame(with_ids(records, ids)).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def catalog_csv_frame(records: DataFrame) -> DataFrame:
@@ -56,7 +53,7 @@ def write_catalog_csv(
     records: DataFrame, path: str, ids: DataFrame | None = None, crlf: bool = False, mode: str = "errorifexists"
 ) -> None:
     """Quoted CSV.  With *crlf* rows end in CRLF; Spark then also writes CRLF for newlines inside cells."""
-    writer = catalog_csv_frame(only(records, ids)).write.mode(mode).option("header", "true").option("quoteAll", "true").option(
+    writer = catalog_csv_frame(with_ids(records, ids)).write.mode(mode).option("header", "true").option("quoteAll", "true").option(
         "escape", '"').option("emptyValue", "")
     (writer.option("lineSep", "\r\n") if crlf else writer).csv(path)
 

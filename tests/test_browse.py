@@ -42,3 +42,16 @@ def test_published_documents_have_facets(spark):
     got = {(r.facet, r.value, r["count"]) for r in C.facets(documents(spark)).collect()}
     assert {("publisher", "North", 2), ("tags", "b", 2), ("sourceBook", "Core", 3), ("importMethod", "csv", 1)} <= got
     assert [r.value for r in C.facet_values(documents(spark), "publisher").collect()] == ["North", "South", "anvil"]
+
+
+def test_an_empty_id_list_selects_everything(spark, tmp_path):
+    from contentkit.operators.catalog import select_records
+    from contentkit.plans.queries.base import part_records
+    from contentkit.sources.exports import write_json
+    records = part_records(spark, "/root/testdata/sf0.001")
+    none, some = spark.createDataFrame([], "id string"), spark.createDataFrame([("p1",), ("p1",), ("zz",)], "id string")
+    assert select_records(records, none).count() == select_records(records).count() == records.count()
+    assert [r.id for r in select_records(records, some).collect()] == ["p1"]
+    assert select_records(records, none, ["npc"]).count() == records.filter("category = 'npc'").count()
+    write_json(records, str(tmp_path / "all"), none)
+    assert spark.read.json(str(tmp_path / "all")).count() == records.count()
