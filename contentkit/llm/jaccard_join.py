@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contentkit.llm.graph import components
-from contentkit.llm.storage import prefilter, stage, without_ids
+from contentkit.llm.storage import bounded_batches, prefilter, stage, without_ids
 from contentkit.llm.words import shingles, signed, word_hashes
 
 #: Counters of the frequency sketch (4 MB in all, whatever the input) and the blocks it is summed in.
@@ -240,6 +240,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_
     A repeated id keeps one row per occurrence; rows with a null id come back with a null component.  Ids are longs;
     other columns of *docs* are not looked at.
     """
+    bounded_batches(docs.sparkSession)
     sketch = frequency_sketch(docs, rule, text_col)
     sets = stage(describe_sets(docs, sketch, rule, id_col, text_col), "sets")
     usable = sets.filter("id IS NOT NULL AND n > 0")

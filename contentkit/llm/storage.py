@@ -24,6 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+#: Bytes of rows that Spark hands to an Arrow function at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not by rows alone: ten thousand long texts would be one batch otherwise.
+
+    A session whose spark.sql.execution.arrow.maxBytesPerBatch is smaller keeps its own bound.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write *df* as Parquet to the shared folder and read it back.
 

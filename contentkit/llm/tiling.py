@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contentkit.llm.storage import bounded_batches
 from contentkit.llm.words import word_hashes
 
 #: Bytes of benchmark text that one pass over the documents broadcasts; a larger benchmark takes more passes.
@@ -117,87 +118,157 @@ def tile(doc: np.ndarray, item: np.ndarray, seed: int) -> int:
 
 
 class BenchmarkIndex:
-    """Word sequences of a bounded block of benchmark items, and their seeds."""
+    """Word sequences of a bounded block of benchmark items, and their seeds as sorted arrays: about 30 bytes a word in all."""
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int):
         self.seed = seed
-        self.items = [(key, word_hashes(text)) for key, text in items]
-        self.items = [(key, words) for key, words in self.items if len(words)]
-        seeds: dict[int, set[int]] = {}
-        self.lengths = sorted({min(seed, len(words)) for _, words in self.items}, reverse=True)
-        for k, (_, words) in enumerate(self.items):
-            for h in Roller(words).windows(min(seed, len(words))).tolist():
-                seeds.setdefault(h, set()).add(k)
-        self.seeds = seeds
+        self.keys, words = [], []
+        for key, text in items:
+            found = word_hashes(text)
+            if len(found):
+                self.keys.append(key)
+                words.append(found)
+        self.sizes = np.array([len(w) for w in words], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.lengths = sorted({min(seed, len(w)) for w in words}, reverse=True)
+        # Per window length: the different window hashes, ascending, and for each the run of (item, position) in the lists behind.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in self.lengths:
+            own = [k for k, w in enumerate(words) if min(seed, len(w)) == length]
+            hashes = np.concatenate([Roller(words[k]).windows(length) for k in own])
+            item = np.repeat(np.array(own, np.int32), [len(words[k]) - length + 1 for k in own])
+            place = np.concatenate([np.arange(len(words[k]) - length + 1, dtype=np.int32) for k in own])
+            order = np.argsort(hashes, kind="stable")
+            known, first = np.unique(hashes[order], return_index=True)
+            self.seeds[length] = (known, np.append(first, len(order)).astype(np.int64), item[order], place[order])
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        if seeds:
-            self.filter[np.fromiter(seeds, np.uint64, len(seeds)) >> np.uint64(64 - _FILTER_BITS)] = True
+        for known, *_ in self.seeds.values():
+            self.filter[known >> np.uint64(64 - _FILTER_BITS)] = True
 
-    def leaks(self, data: bytes | None) -> list[tuple[int, int, int]]:
-        """(item id, words covered, words of the item) of every item that shares a seed with the text."""
-        doc = word_hashes(data)
-        roller = Roller(doc)
-        near: dict[int, np.ndarray] = {}
-        for length in self.lengths:
+    def _bounds(self, doc: np.ndarray) -> list[tuple[float, int, int, np.ndarray]]:
+        """(most that can be covered as a share, item id, item, starts of shared seeds in the text) of the items that share a seed.
+
+        Words of an item that lie in no seed of the text cannot be covered, so counting them gives a bound without tiling.
+        """
+        roller, out = Roller(doc), []
+        for length, (known, first, item, place) in self.seeds.items():
             hashes = roller.windows(length)
-            for p in np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)]).tolist():
-                for k in self.seeds.get(int(hashes[p]), ()):
-                    if min(self.seed, len(self.items[k][1])) == length:
-                        if k not in near:
-                            near[k] = np.zeros(len(doc), bool)
-                        near[k][p:p + length] = True
-        out = []
-        for k, mask in near.items():
-            key, words = self.items[k]
-            # Only words inside a seed can be tiled; a unique separator keeps distant ones apart.
-            starts = np.flatnonzero(mask & ~np.concatenate([[False], mask[:-1]]))
-            ends = np.flatnonzero(mask & ~np.concatenate([mask[1:], [False]])) + 1
-            parts = [x for s, e in zip(starts, ends) for x in (doc[s:e], np.array([s * 2 + 1], np.uint64))]
-            out.append((key, tile(np.concatenate(parts), words, min(self.seed, len(words))), len(words)))
+            at = np.flatnonzero(self.filter[hashes >> np.uint64(64 - _FILTER_BITS)])
+            spot = np.searchsorted(known, hashes[at])
+            hit = spot < len(known)
+            hit[hit] = known[spot[hit]] == hashes[at][hit]
+            at, spot = at[hit], spot[hit]
+            if not len(at):
+                continue
+            # Each different seed of the text meets its (item, position) entries once, however often the text repeats it.
+            different = np.unique(spot)
+            entries = _runs(first[different], first[different + 1])
+            order = np.lexsort((place[entries], item[entries]))
+            owner, position = item[entries][order], place[entries][order].astype(np.int64)
+            # A window adds what the one before it, of the same item, did not reach.
+            step = np.full(len(owner), length)
+            near = owner[1:] == owner[:-1]
+            step[1:][near] = np.minimum(length, (position[1:] - position[:-1])[near])
+            held = np.bincount(owner, step, minlength=len(self.sizes))
+            out += [(held[k] / self.sizes[k], self.keys[k], k, at) for k in np.flatnonzero(held).tolist()]
         return out
 
+    def _covered(self, doc: np.ndarray, k: int, at: np.ndarray) -> int:
+        """Words of item *k* that tiling covers; *at*: where the text has seeds."""
+        words = self.words[self.starts[k]:self.starts[k + 1]]
+        length = min(self.seed, len(words))
+        shared = np.isin(Roller(doc).windows(length)[at], Roller(words).windows(length))
+        starts = at[shared]
+        # Only words inside a seed can be tiled; a unique separator keeps runs of overlapping seeds apart.
+        breaks = np.flatnonzero(np.diff(starts) > length)
+        lows, highs = starts[np.append(0, breaks + 1)], starts[np.append(breaks, len(starts) - 1)] + length
+        parts = [x for s, e in zip(lows.tolist(), highs.tolist()) for x in (doc[s:e], np.array([s * 2 + 1], np.uint64))]
+        return tile(np.concatenate(parts), words, length)
+
+    def judge(self, data: bytes | None, coverage: float, best: tuple[float, int | None] = (0.0, None)) -> tuple[int, float, int | None]:
+        """Items covered by at least *coverage*, and the highest coverage with its item (the least id of equal ones), *best* included.
+
+        Items go by what can be covered of them; when neither the rule nor the best so far can be reached any more, the rest is left.
+        """
+        doc, leaked = word_hashes(data), 0
+        for bound, key, k, at in sorted(self._bounds(doc), key=lambda x: (-x[0], x[1])):
+            beaten = best[1] is not None and (-bound, key) >= (-best[0], best[1])
+            if bound < coverage and beaten:
+                break
+            share = self._covered(doc, k, at) / int(self.sizes[k])
+            leaked += share >= coverage
+            if share and (best[1] is None or (-share, key) < (-best[0], best[1])):
+                best = (share, key)
+        return leaked, *best
+
+    def leaks(self, data: bytes | None, coverage: float) -> bool:
+        """Whether some item is covered by at least *coverage*."""
+        doc = word_hashes(data)
+        return any(self._covered(doc, k, at) >= coverage * int(self.sizes[k]) for bound, _, k, at in self._bounds(doc) if bound >= coverage)
+
+
+def _runs(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All indexes of the half-open runs, one after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
     """The items in blocks whose texts have at most about *block_bytes* each, by hash of the id; null ids and texts are left out."""
     items = benchmark.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text"))
+        F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("binary").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size) // block_bytes
     return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
 
 
+def _broadcast_blocks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule, item_col: str, item_text_col: str, block_bytes: int):
+    bounded_batches(docs.sparkSession)
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+        items = sorted((r.item, bytes(r.text)) for r in block.collect())
+        yield docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, rule.seed))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_leaked (items whose coverage reaches the rule), best_item (highest coverage, then least id) and best_coverage.
 
-    Documents without a common seed, with a null text or without words have 0, null and 0.0.  Documents are never shuffled:
-    a block of the benchmark, bounded in bytes, goes to all executors, and each block adds to the columns.
+    best_item and best_coverage are over all items that share a seed.  Documents without a common seed, with a null text or without
+    words have 0, null and 0.0.  Repeated documents are judged each; an item id with several texts counts once for each different
+    one.  Own columns with one of the added names are replaced.  Documents are never shuffled: a block of the benchmark, bounded in
+    bytes, goes to all executors, and each block adds to the columns.
     """
-    spark, carried = docs.sparkSession, [c for c in docs.columns if c not in ("n_leaked", "best_item", "best_coverage")]
+    carried = [c for c in docs.columns if c not in ("n_leaked", "best_item", "best_coverage")]
+    at = carried.index(text_col)
     out = docs.select(*[F.col(f"`{c}`") for c in carried], F.lit(0).cast("long").alias("n_leaked"),
                       F.lit(None).cast("long").alias("best_item"), F.lit(0.0).alias("best_coverage"))
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        index = spark.sparkContext.broadcast(BenchmarkIndex([(r.item, bytes(r.text)) for r in block.collect()], rule.seed))
-        schema = out.schema
-
+    for index in _broadcast_blocks(docs, benchmark, rule, item_col, item_text_col, block_bytes):
         def judge(batches, index=index, width=len(carried), names=out.columns):
             for batch in batches:
                 leaked, best, coverage = (batch.column(width + k).to_pylist() for k in range(3))
-                for k, text in enumerate(batch.column(width + 3)):
-                    for key, covered, size in index.value.leaks(text.as_py()):
-                        share = covered / size
-                        leaked[k] += share >= rule.coverage
-                        if covered and (-share, key) < (-coverage[k], best[k] if best[k] is not None else key + 1):
-                            best[k], coverage[k] = key, share
+                for k, text in enumerate(batch.column(at).cast(pa.binary())):
+                    more, coverage[k], best[k] = index.value.judge(text.as_py(), rule.coverage, (coverage[k], best[k]))
+                    leaked[k] += more
                 yield pa.RecordBatch.from_arrays([
                     *batch.columns[:width], pa.array(leaked, pa.int64()), pa.array(best, pa.int64()), pa.array(coverage, pa.float64())], names)
 
-        out = out.select("*", F.col(f"`{text_col}`").cast("binary").alias("_text_bytes")).mapInArrow(judge, schema)
+        out = out.mapInArrow(judge, out.schema)
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), **columns) -> DataFrame:
-    """The documents without a leaked item, with the columns of *docs*."""
-    found = find_leaks(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(columns.get("text_col", "text")).alias("_doc_text")),
-                       benchmark, rule, text_col="_doc_text", **{k: v for k, v in columns.items() if k != "text_col"})
-    return found.filter("n_leaked = 0").select("row.*")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), text_col: str = "text",
+               item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a leaked item, with the columns of *docs*; null and empty texts stay, repeated rows are judged each.
+
+    A document is passed on from block to block until one holds an item that it covers.
+    """
+    out, at = docs, docs.columns.index(text_col)
+    for index in _broadcast_blocks(docs, benchmark, rule, item_col, item_text_col, block_bytes):
+        def keep(batches, index=index):
+            for batch in batches:
+                clean = [not index.value.leaks(text.as_py(), rule.coverage) for text in batch.column(at).cast(pa.binary())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(keep, out.schema)
+    return out

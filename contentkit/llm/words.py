@@ -12,13 +12,23 @@ import xxhash
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+#: Bytes of words (and of what Python needs for each) that a process remembers; longer words are hashed anew each time.
+KNOWN_BYTES, LONGEST = 24 << 20, 256
+
+
 class _Hashes(dict):
     """Word to hash; forgets everything when full, which costs time but never changes a value."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            self.held += len(word) + 200
+            if self.held > KNOWN_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = value
         return value
 
 
