@@ -96,10 +96,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_leaked", "best_item", "best_coverage", (F.col("n_leaked") > 0).alias("contaminated"))
 
 
+#: What the corpus is mixed to: languages by explicit shares, sources and topics evened out.
+MIXTURE = raking.Mixture(targets={"lang": {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}})
+
+
 @query("op9_source_mixture")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumn("topic", raking.genre(F.col("text")))
-    kept = raking.sample_mixture(docs, raking.Mixture(), raking.word_count(F.col("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("topic", raking.topic(F.col("text"), raking.fit_topics(docs)))
+    kept = raking.sample_mixture(docs, MIXTURE, raking.word_count(F.col("text")))
     return kept.select("doc_id", "source", "lang", "topic", raking.word_count(F.col("text")).alias("n_tokens"), "keep_probability")
 
 

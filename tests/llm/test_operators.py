@@ -292,31 +292,6 @@ def test_leaks(spark, docs_of, odd_rows):
     assert tiling.find_leaks(docs_of(rows), bench.limit(0)).filter("n_leaked > 0").count() == 0
 
 
-def test_raking(spark):
-    cells = spark.createDataFrame([(s, l, 100 * (k + 1)) for k, (s, l) in enumerate(itertools.product("ab", "xyz"))], "source string, lang string, tokens long")
-    mix = raking.Mixture(("source", "lang"), {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.5, "y": 0.25, "z": 0.25}}, budget=0.3, tolerance=1e-9, sweeps=30)
-    rows = raking.probabilities(raking.rake(cells, mix), mix).collect()
-    # The same fit in plain loops.
-    w = {(r.source, r.lang): r.tokens for r in cells.collect()}
-    total = sum(w.values())
-    w = {k: v / total for k, v in w.items()}
-    for _ in range(200):
-        for axis, goals in ((0, mix.targets["source"]), (1, mix.targets["lang"])):
-            sums = Counter()
-            for k, v in w.items():
-                sums[k[axis]] += v
-            w = {k: v * goals[k[axis]] / sums[k[axis]] for k, v in w.items()}
-    assert all(abs(r.weight - w[r.source, r.lang]) < 1e-5 and 0 <= r.probability <= 1 for r in rows)
-    assert abs(sum(r.tokens * r.probability for r in rows) / total - 0.3) < 0.01
-
-
-def test_mixture_odd(spark, docs_of, odd_rows):
-    docs = docs_of(odd_rows).withColumn("topic", raking.genre(F.col("text")))
-    got = raking.sample_mixture(docs, raking.Mixture(budget=1.0), raking.word_count(F.col("text")))
-    assert got.columns == docs.columns + ["keep_probability"] and got.count() <= len(odd_rows)
-    assert raking.sample_mixture(docs.limit(0), raking.Mixture(), raking.word_count(F.col("text"))).count() == 0
-
-
 def cheapest(roles):
     """Least cost over all sequences of moves, by exhaustive search."""
     best = {chat.NONE: 0.0}
