@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentkit.llm import jaccard_join, pairwise_quality, raking, secrets, tiling
-from contentkit.llm.queries import fit_quality, table
+from contentkit.llm.queries import MIXTURE, fit_quality, table
 from contentkit.llm.storage import stage
 
 #: The learned, hashed and tiled decisions of the stages have no counterpart in SQL; tests hold them against brute force.
@@ -14,29 +14,36 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise classifier does not reject."""
+    """Documents that the pairwise classifier does not reject; null and empty texts are scored as any other, repeated rows alike."""
     return pairwise_quality.drop_rejected(docs, fit_quality(spark, sf_dir, docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the least id) of every group linked by five-word shingles at a similarity of 0.8 or more."""
+    """One document (the least id) of every group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Null and blank texts link with nothing and stay; of rows that repeat an id one stays; rows without an id stay.
+    """
     return jaccard_join.keep_one_per_group(docs, jaccard_join.Rule(5, 80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, in whatever order of its passages."""
+    """Documents that hold no benchmark item, in whatever order of its passages; null texts stay, an empty benchmark drops nothing."""
     return tiling.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows the new text."""
+    """All documents, secrets in their texts replaced by a mark; n_chars follows the new text, null texts stay null."""
     clean = secrets.redact(docs, secrets.fit_battery(docs))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked mixture, with topic and the probability of having been kept."""
-    return raking.sample_mixture(docs.withColumn("topic", raking.genre(F.col("text"))), raking.Mixture(), raking.word_count(F.col("text")))
+    """Documents sampled to the raked mixture, with topic and the probability of having been kept.
+
+    Null sources, languages and topics are values of their own; rows that repeat are kept or dropped together.
+    """
+    topics = raking.topic(F.col("text"), raking.fit_topics(docs))
+    return raking.sample_mixture(docs.withColumn("topic", topics), MIXTURE, raking.word_count(F.col("text")))
 
 
 STAGES = [
