@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from contentkit.functions.variants import MAP_TYPE, as_map, type_of
 from contentkit.operators.conform import MapRule
 from contentkit.operators.plan import compute_once, explode_rows
-from contentkit.operators.skew import dim_join, stage
+from contentkit.operators.skew import dim_join, hot_lookup, stage
 
 #: Levels of a document that one step expands inside the row.
 LEVELS = 6
@@ -315,6 +315,54 @@ def schema_compat(records: DataFrame, fields: DataFrame, payload: str = "raw_con
         *records.columns, "missing_required", "missing_optional", "unknown_fields", "suggestions", "compatible")
 
 
+def _joint(key: Column) -> Column:
+    return F.concat_ws("\u0001", "document_type", "subtype", key)
+
+
+def compat_counts(records: DataFrame, fields: DataFrame, payload: str = "raw_content", order: str = "ord") -> DataFrame:
+    """C3 for schemas of any width: per record missing_required, missing_optional, unknown_keys (numbers) and compatible.
+
+    The same tests as ``schema_compat``, without a schema in any row: the record's keys are exploded and looked up among the top keys of
+    all schemas, each with how many paths stand for it.  What is missing is what the schema has less what was found.  A key that most records of a
+    frequent subtype have is resolved by the bounded broadcast of ``hot_lookup``.  *order* is unique; numbers and compatible are null
+    where there is no schema.  The paths themselves are in ``missing_paths``.
+    """
+    tops = fields.groupBy(*KEY, top_key(F.col("path")).alias("top")).agg(
+        F.count_if("required").alias("_req"), F.count_if(~F.col("required")).alias("_opt"))
+    totals = tops.groupBy(*KEY).agg(F.sum("_req").alias("_all_req"), F.sum("_opt").alias("_all_opt"))
+    keys = records.select(*KEY, order, F.explode(record_keys(F.col(payload))).alias("_key")).withColumn("_top", top_key(F.col("_key")))
+    # A path is there by its whole top key, a key is known by its own top key: one lookup where they agree.
+    same = F.col("_key") == F.col("_top")
+    tests = F.when(same, F.array(F.struct(_joint(F.col("_key")).alias("j"), F.lit(True).alias("p"), F.lit(True).alias("k")))).otherwise(F.array(
+        F.struct(_joint(F.col("_key")).alias("j"), F.lit(True).alias("p"), F.lit(False).alias("k")),
+        F.struct(_joint(F.col("_top")).alias("j"), F.lit(False).alias("p"), F.lit(True).alias("k"))))
+    asked = explode_rows(keys, tests, "_t").select(order, F.col("_t.j").alias("_j"), F.col("_t.p").alias("_p"), F.col("_t.k").alias("_k"))
+    dim = asked.groupBy("_j").agg(F.count(F.lit(1)).alias("_n")).join(
+        tops.select(_joint(F.col("top")).alias("_j"), "_req", "_opt", F.lit(True).alias("_known")), "_j")
+    seen = hot_lookup(asked, dim, "_j", "_n", spread=order).groupBy(order).agg(
+        F.sum(F.when(F.col("_p"), F.col("_req"))).alias("_has_req"), F.sum(F.when(F.col("_p"), F.col("_opt"))).alias("_has_opt"),
+        F.count_if(F.col("_k") & F.col("_known").isNull()).alias("_unknown"))
+    rows = dim_join(records, totals, KEY, spread=order).join(seen, order, "left")
+    known = F.col("_all_req").isNotNull()
+    missing = F.col("_all_req") - F.coalesce("_has_req", F.lit(0))
+    return rows.select(
+        *[F.col(c) for c in records.columns], F.when(known, missing).alias("missing_required"),
+        F.when(known, F.col("_all_opt") - F.coalesce("_has_opt", F.lit(0))).alias("missing_optional"),
+        F.when(known, F.coalesce("_unknown", F.lit(0))).alias("unknown_keys"), F.when(known, missing == 0).alias("compatible"))
+
+
+def missing_paths(records: DataFrame, fields: DataFrame, payload: str = "raw_content", order: str = "ord", required_only: bool = True) -> DataFrame:
+    """(order, path, required) of every schema path that a record lacks, as rows: for the records one looks at, since it lists them all.
+
+    Records meet the top keys of their schema and lose those they have by an anti-join; paths are looked up for the rest.
+    """
+    wanted = fields.filter("required") if required_only else fields
+    tops = wanted.select(*KEY, top_key(F.col("path")).alias("top")).distinct()
+    have = records.select(*KEY, order, F.explode(record_keys(F.col(payload))).alias("top"))
+    lacking = records.select(*KEY, order).join(tops, KEY).join(have, [*KEY, order, "top"], "left_anti")
+    return lacking.join(wanted.select(*KEY, top_key(F.col("path")).alias("top"), "path", "required"), [*KEY, "top"]).select(order, "path", "required")
+
+
 def rule_table(spark, rules: dict[str, list[MapRule]] | dict[str, tuple[MapRule, ...]]) -> DataFrame:
     """Mapping rules as rows (category, ord, kind, target_path, covered); nested rules also list their inner targets."""
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contentkit.operators import catalog as C
+from contentkit.operators.bucketed import BucketedCatalog
 from contentkit.operators.catalog import CatalogFilter
 from contentkit.operators.review import accepted_records, review_decisions
+from contentkit.operators.skew import scratch_dir
+from contentkit.operators.text_index import TextIndex
 from contentkit.plans.queries.base import PART_SQL, RUN_TIME, flat_tags, part_records, pick, pick_sql, query, table
 from contentkit.records import with_category_dim
 
@@ -250,3 +253,14 @@ SELECT category AS subtype, arg_min(id, ord) AS uuid, arg_min(CAST(level AS BIGI
 def j10(spark, sf):
     return C.first_templates(_templates(spark, sf)).select(
         "subtype", "uuid", F.try_variant_get("snapshot", "$.level", "bigint").alias("level"))
+
+
+@query("f2_indexed_search", f"""WITH {PART_SQL}
+SELECT id, name, category, publisher FROM rec
+WHERE contains(lower(name), 'bol') OR contains(lower(source_book), 'bol')
+   OR len(list_filter(tags, lambda t: contains(lower(t), 'bol'))) > 0""")
+def f2_indexed(spark, sf):
+    """The search by trigram lists, over a catalog kept in buckets."""
+    store = BucketedCatalog(spark, scratch_dir(spark, "catalog"), buckets=16)
+    store.load(part_records(spark, sf))
+    return TextIndex(store, parts=8).search("BOL").select(*SHOWN)

@@ -120,6 +120,18 @@ def c3(spark, sf):
     return out.withColumns(joined).select("id", *joined, said.alias("suggestions"), "compatible")
 
 
+@query("c3_compat_counts", f"""WITH {PART_SQL}, r AS (SELECT count(*) FILTER (WHERE r_regionkey < 2) AS req, count(*) FILTER (WHERE r_regionkey >= 2) AS opt FROM region)
+SELECT id, CASE WHEN category <> 'journal' THEN req END AS missing_required, CASE WHEN category <> 'journal' THEN opt END AS missing_optional,
+       CASE WHEN category <> 'journal' THEN 1 END AS unknown_keys, CASE WHEN category <> 'journal' THEN false END AS compatible FROM rec, r""")
+def c3_counts(spark, sf):
+    return S.compat_counts(_typed_records(spark, sf), _fields(spark, sf)).select("id", "missing_required", "missing_optional", "unknown_keys", "compatible")
+
+
+@query("c3_missing_paths", f"""WITH {PART_SQL} SELECT ord, lower(r_name) AS path, r_regionkey < 2 AS required FROM rec, region WHERE category <> 'journal'""")
+def c3_missing(spark, sf):
+    return S.missing_paths(_typed_records(spark, sf), _fields(spark, sf), required_only=False)
+
+
 @query("a11_compat_rollup", f"""WITH {PART_SQL} SELECT count_if(category <> 'journal') AS total, CAST(0 AS BIGINT) AS compatible,
   count_if(category <> 'journal') AS incompatible FROM rec""")
 def a11(spark, sf):

@@ -78,3 +78,32 @@ def test_unknown_fields_to_any_depth(spark):
 
 def test_no_documents(spark):
     assert S.discover_schema(docs(spark, [])).count() == 0
+
+
+def test_counts_equal_the_listed_paths(spark):
+    values = [{"a": 1, "c.d": 2}, {"a.b": 1, "zz": {}}, {}, {"k1": 0, "c": 3, "q[0]": 1}]
+    rows = docs(spark, values).withColumnRenamed("document", "raw_content")
+    rows = rows.unionByName(rows.limit(1).withColumns({"subtype": F.lit("none"), "ord": F.lit(99)}))
+    fields = spark.createDataFrame([("Item", "x", k, p, "string", r, None) for k, (p, r) in enumerate(
+        [("a", True), ("a.b", False), ("c", True), ("c.e", True), ("d[0].x", False), ("k1", False)])], NO_FIELDS)
+    listed = {r.ord: r for r in S.schema_compat(rows, fields).collect()}
+    for r in S.compat_counts(rows, fields).collect():
+        want = listed[r.ord]
+        if want.compatible is None:
+            assert r.missing_required is r.unknown_keys is r.compatible is None
+            continue
+        tops = {p.split(".")[0].split("[")[0] for p in want.unknown_fields}
+        assert (r.missing_required, r.missing_optional, r.compatible) == (len(want.missing_required), len(want.missing_optional), want.compatible)
+        assert r.unknown_keys == len([k for k in values[r.ord] if k.split(".")[0].split("[")[0] in tops])
+    paths = {}
+    for r in S.missing_paths(rows, fields).collect():
+        paths.setdefault(r.ord, []).append(r.path)
+    assert {k: sorted(v) for k, v in paths.items()} == {k: sorted(r.missing_required) for k, r in listed.items() if r.missing_required}
+
+
+def test_a_schema_of_a_million_paths(spark):
+    fields = spark.range(1_000_000).selectExpr("'Item' AS document_type", "'x' AS subtype", "int(id) AS ord", "concat('k', id div 4, '.p', id) AS path",
+                                               "'string' AS type", "id % 8 = 0 AS required", "string(null) AS default_json")
+    rows = docs(spark, [{"k0": 1, "k2": 2, "zz": 3}, {}]).withColumnRenamed("document", "raw_content")
+    got = {r.ord: (r.missing_required, r.missing_optional, r.unknown_keys) for r in S.compat_counts(rows, fields).collect()}
+    assert got == {0: (125_000 - 2, 875_000 - 6, 1), 1: (125_000, 875_000, 0)}
