@@ -78,12 +78,25 @@ def _repeat_words(words: Column) -> Column:
     return _let(words, use)
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _free(name: str, docs: DataFrame) -> str:
+    """*name*, or one like it that *docs* does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the counts of the base rule and the measures of the learned rules, from the whole text; null texts have no words.
 
-    Measures are 0 where their denominator is.
+    Measures are 0 where their denominator is.  Rows are measured one by one, so repeated rows and ids do not matter; own columns
+    of *docs* with one of the added names are replaced, the text's excepted.
     """
-    text = F.col("_text")
+    added = {*COUNTS, *MEASURES} - {text_col}
+    at, found = (_free(name, docs) for name in ("_text", "_stats"))
+    text = F.col(at)
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(_without(line, SPACES)) > 0)
     words = F.filter(F.split(text, WORD_GAP, -1), lambda w: w != "")
     made = _let(words, lambda w: _let(lines, lambda rows: F.struct(
@@ -98,16 +111,15 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("_upper"),
         F.length(F.regexp_replace(text, r"[^\p{L}]+", "")).cast("long").alias("_letters"),
         F.size(F.filter(w, lambda x: x.rlike(r"[^\p{L}\p{N}]$"))).cast("long").alias("_ended"))))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")).select(
-        *kept, F.explode(F.array(made)).alias("_stats"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    packed = docs.select(*kept, F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(at)).select(*kept, F.explode(F.array(made)).alias(found))
 
     def share(a: str, b: str) -> Column:
-        below = F.col(f"_stats.{b}")
-        return F.when(below > 0, F.col(f"_stats.{a}") / below).otherwise(0.0)
+        below = F.col(f"{found}.{b}")
+        return F.when(below > 0, F.col(f"{found}.{a}") / below).otherwise(0.0)
 
     return packed.select(
-        *kept, *[F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        *kept, *[F.col(f"{found}.{c}").alias(c) for c in COUNTS],
         share("word_chars", "n_words").alias("word_length"), share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_dup_lines", "_lines").alias("line_repeat"), share("n_repeat_words", "n_words").alias("word_repeat"),
         share("_distinct", "n_words").alias("distinct_share"), share("_upper", "word_chars").alias("shout_share"),
@@ -221,6 +233,6 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """Add statistics, base_failed, rule and kept to every row."""
+    """Add statistics, base_failed, rule and kept to every row; own columns with these names are replaced."""
     return statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("rule", decision(rules)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("rule") == 0))
