@@ -149,15 +149,8 @@ def merge_ocr(pages: DataFrame, ocr: DataFrame) -> DataFrame:
     )
 
 
-def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """T5: split each page into content blocks of at least 50 characters.
-
-    A blank line closes the block only once it holds 50 trimmed characters; a header line, or a line
-    followed by a stat line, closes any non-empty block; shorter blocks are dropped.  The rule is
-    sequential, so it is one fold per page over line descriptors.  The state holds line numbers and
-    lengths only; the text is cut out once per finished block.
-    """
-    keys = keys or ["doc_id", "page_number"]
+def _segments(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """Pages as arrays of lines, and the array of all their runs of lines (start_line, first, last, kept)."""
     numbered = pages.filter(F.length("text") >= MIN_PAGE_CHARS).select(*keys, F.split("text", "\n").alias("_lines"))
     numbered = compute_once(numbered, _trim=F.transform("_lines", strip))
 
@@ -180,15 +173,15 @@ def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     start = F.struct(
         F.lit(0).alias("i"), F.lit(1).alias("start_line"), none.alias("first"), none.alias("last"),
         F.lit(0).alias("size"), F.lit(0).alias("trail"),
-        F.array().cast("array<struct<start_line:int,first:int,last:int>>").alias("blocks"),
+        F.array().cast("array<struct<start_line:int,first:int,last:int,kept:boolean>>").alias("blocks"),
     )
 
     # A kept line is never blank, so a block's trimmed length is its joined length less the leading
     # blanks of its first line and the trailing blanks of its last line.
     def closed(acc: Column) -> Column:
-        block = F.struct(acc["start_line"].alias("start_line"), acc["first"].alias("first"), acc["last"].alias("last"))
         long = acc["size"] - acc["trail"] >= MIN_BLOCK_CHARS
-        return F.when(long, F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"])
+        return F.concat(acc["blocks"], F.array(F.struct(
+            acc["start_line"].alias("start_line"), acc["first"].alias("first"), acc["last"].alias("last"), long.alias("kept"))))
 
     def step(acc: Column, m: Column) -> Column:
         blank = m["chars"] == 0
@@ -210,13 +203,44 @@ def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
     blocks = F.aggregate(
         "_marks", start, step, lambda acc: F.when(acc["first"] >= 0, closed(acc)).otherwise(acc["blocks"])
     )
+    return numbered.select(*keys, "_lines", "_marks"), blocks
+
+
+def _segment_text() -> Column:
     span = F.slice("_lines", F.col("_b.first") + 1, F.col("_b.last") - F.col("_b.first") + 1)
-    body = strip(F.array_join(F.filter(span, lambda ln: strip(ln) != ""), "\n"))
-    return explode_rows(numbered.select(*keys, "_lines", "_marks"), blocks, "_b", position="block_no").select(
-        *keys, "block_no", F.col("_b.start_line").alias("start_line"), body.alias("text")
+    return strip(F.array_join(F.filter(span, lambda ln: strip(ln) != ""), "\n"))
+
+
+def segment_pages(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """T5: split each page into content blocks of at least 50 characters.
+
+    A blank line closes the block only once it holds 50 trimmed characters; a header line, or a line
+    followed by a stat line, closes any non-empty block; shorter blocks are left to ``segment_rejects``.  The rule is
+    sequential, so it is one fold per page over line descriptors.  The state holds line numbers and
+    lengths only; the text is cut out once per finished block.
+    """
+    keys = keys or ["doc_id", "page_number"]
+    numbered, blocks = _segments(pages, keys)
+    return explode_rows(numbered, F.filter(blocks, lambda b: b["kept"]), "_b", position="block_no").select(
+        *keys, "block_no", F.col("_b.start_line").alias("start_line"), _segment_text().alias("text")
     )
 
 
+def segment_rejects(pages: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """T5: the text that ``segment_pages`` puts into no block: (keys, start_line, text, reason).
+
+    The reason is SHORT_BLOCK, or SHORT_PAGE for a page under 20 characters.  Blocks and rejects together hold every line that
+    is not blank, once; pages without any have neither.
+    """
+    keys = keys or ["doc_id", "page_number"]
+    numbered, blocks = _segments(pages, keys)
+    short = explode_rows(numbered, F.filter(blocks, lambda b: ~b["kept"]), "_b", position="_no").select(
+        *keys, F.col("_b.start_line").alias("start_line"), _segment_text().alias("text"), F.lit("SHORT_BLOCK").alias("reason"))
+    small = pages.filter((F.length("text") < MIN_PAGE_CHARS) & (strip(F.col("text")) != "")).select(
+        *keys, F.lit(1).alias("start_line"), strip(F.col("text")).alias("text"), F.lit("SHORT_PAGE").alias("reason"))
+    return short.unionByName(small)
+
+
 def pdf_date(c: Column) -> Column:
     """"D:YYYYMMDDHHmmSS.." to an ISO time read as UTC; anything else is kept as it is."""
     digits = F.regexp_extract(c, r"^D:(\d{14})", 1)

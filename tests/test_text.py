@@ -96,3 +96,21 @@ def test_pdf_dates(spark):
     assert one(spark, T.pdf_date, "D:20200304050607+02'00'") == "2020-03-04T05:06:07.000Z"
     assert one(spark, T.pdf_date, "D:20209904050607") == "D:20209904050607"
     assert one(spark, T.pdf_date, "spring 2020") == "spring 2020"
+
+
+def test_blocks_and_rejects_hold_every_line(spark):
+    import random
+    rng = random.Random(8)
+    lines = ["HEADER LINE", "Type: weapon", "short", "", "  ", "x" * 60, "a line of some forty characters, more or less", "HP", "Level : 3", "\u00a0 odd"]
+    pages = [(k, 1, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 12)))) for k in range(120)] + [(500, 1, None), (501, 1, " tiny \n x"), (502, 1, "")]
+    frame = spark.createDataFrame(pages, "doc_id int, page_number int, text string")
+    got = {}
+    for r in T.segment_pages(frame).collect():
+        assert len(r.text) >= 50
+        got.setdefault(r.doc_id, []).append(r.text)
+    for r in T.segment_rejects(frame).collect():
+        assert len(r.text) < 50 and (r.reason == "SHORT_PAGE") == (len(pages[r.doc_id][2] if r.doc_id < 500 else "") < 20)
+        got.setdefault(r.doc_id, []).append(r.text)
+    for doc, _, text in pages:
+        want = sorted(x.strip() for x in (text or "").split("\n") if x.strip())
+        assert sorted(x.strip() for t in got.get(doc, []) for x in t.split("\n") if x.strip()) == want, text
