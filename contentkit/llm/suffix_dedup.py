@@ -17,6 +17,7 @@ Documents are cogrouped by buckets sized by bytes, and only those that a step ne
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -189,16 +190,17 @@ def _bucket_column(column: Column, count: int) -> Column:
     return F.pmod(column.bitwiseXOR(F.shiftright(column, 7)).bitwiseXOR(F.shiftright(column, 17)), F.lit(count)).cast("int")
 
 
+def runs(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, positions in their order) per distinct key, by one sort however many keys there are."""
+    order = np.argsort(key, kind="stable")
+    edges = np.flatnonzero(key[order][1:] != key[order][:-1]) + 1
+    for part in np.split(order, edges) if len(order) else ():
+        yield int(key[part[0]]), part
+
+
 def _split(key: np.ndarray, columns: list[tuple[np.ndarray, int]]) -> list[list]:
     """Rows (key, packed columns) per distinct key, entries in their order."""
-    order = np.argsort(key, kind="stable")
-    ends = np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1 if len(key) else np.zeros(0, int)
-    begin, out = 0, []
-    for end in ends.tolist():
-        part = order[begin:end]
-        out.append([int(key[part[0]]), *[_pack(c[part], w) for c, w in columns]])
-        begin = end
-    return out
+    return [[k, *[_pack(c[part], w) for c, w in columns]] for k, part in runs(key)]
 
 
 def _rows(rows: list[list], schema: pa.Schema) -> pa.Table:
@@ -295,6 +297,17 @@ def _numbers(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def _classes(*parts: np.ndarray) -> np.ndarray:
+    """One number per combination of the non-negative *parts*."""
+    out = parts[0]
+    for part in parts[1:]:
+        many = int(part.max()) + 1
+        if (int(out.max()) + 1) * many >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * many + part
+    return out
+
+
 def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
     """Of one hash bucket: strings around the anchors that an earlier document has too, as byte ranges."""
     side = span.side
@@ -315,12 +328,14 @@ def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
     for o in range(side + 1):
         # The string with o bytes before the anchor; rows are sorted by id within a group, so the first of a class is the least.
         fits = np.flatnonzero((before >= o) & (after >= side - o))
-        a, b, g = lefts[fits, o], rights[fits, side - o], group[fits]
-        by = np.lexsort((signed[fits], b, a, g))
-        head = np.concatenate([[True], (g[by][1:] != g[by][:-1]) | (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])]) if len(by) else np.zeros(0, bool)
-        if len(by):
-            least = signed[fits][by][np.flatnonzero(head)[np.cumsum(head) - 1]]
-            covered[fits[by], o] = signed[fits][by] > least
+        if not len(fits):
+            continue
+        # Rows come sorted by group and id, so a stable sort by class leaves the least id of a class first.
+        classes = _classes(group[fits], lefts[fits, o], rights[fits, side - o])
+        by = np.argsort(classes, kind="stable")
+        head = np.concatenate([[True], classes[by][1:] != classes[by][:-1]])
+        least = signed[fits][by][np.flatnonzero(head)[np.cumsum(head) - 1]]
+        covered[fits[by], o] = signed[fits][by] > least
     # Runs of consecutive strings become one range of bytes, up to the last position that was asked with this one.
     padded = np.concatenate([np.zeros((len(hashes), 1), bool), covered, np.zeros((len(hashes), 1), bool)], axis=1).astype(np.int8)
     row_a, first_o = np.nonzero(np.diff(padded, axis=1) == 1)
@@ -378,13 +393,10 @@ def remove_repeats(docs: DataFrame, span: Span = Span(), id_col: str = "doc_id",
             ids, keys = np.array(ids, np.int64).view(np.uint64), np.array(keys, np.int64).view(np.uint64)
             at, hashes, marks, docs_of = (np.concatenate(x) for x in (at, hashes, marks, docs_of))
             rows = []
-            part_of = hashes % np.uint64(buckets)
-            for bucket in range(buckets):
-                part = np.flatnonzero(part_of == bucket)
-                if len(part):
-                    seen, local = np.unique(docs_of[part], return_inverse=True)
-                    rows.append([bucket, _pack(hashes[part], 6), _pack(marks[part], 6), _pack(ids[seen], 8), _pack(keys[seen], 8),
-                                 _pack(local.astype(np.uint64), 4), _pack(at[part].astype(np.uint64), 5)])
+            for bucket, part in runs((hashes % np.uint64(buckets)).astype(np.int64)):
+                seen, local = np.unique(docs_of[part], return_inverse=True)
+                rows.append([bucket, _pack(hashes[part], 6), _pack(marks[part], 6), _pack(ids[seen], 8), _pack(keys[seen], 8),
+                             _pack(local.astype(np.uint64), 4), _pack(at[part].astype(np.uint64), 5)])
             yield from _rows(rows, _ENTRIES).to_batches()
 
     entries = keyed.select("id", "text_key", "text").mapInArrow(describe, _ENTRIES_DDL)
