@@ -5,7 +5,7 @@ after the other is scaled to its targets, until all margins agree.  No cell can
 while the others of its value take up the rest, and is scaled down with them when the value is above its target.  A document is
 kept with the probability of its cell, decided by a hash of the document, so that the kept tokens follow the targets in expectation.
 
-The topic, one of the margins, is a cluster of text statistics, fitted on a bounded sample and given by a Spark expression.
+The topic, one of the margins, is a cluster of text statistics, fitted on all documents and given by a Spark expression.
 """
 
 from __future__ import annotations
@@ -49,8 +49,10 @@ def word_count(text: Column) -> Column:
 
 # Characters that are counted for the topic.
 DIGITS, CAPITALS, MARKS = "[0-9]+", "[A-Z]+", r"[.,;:!?#*$%&|<>=()\[\]{}/+\-_@\"']+"
-#: Documents, about, that the clusters are fitted on, and how many clusters there are.
-TOPIC_SAMPLE, TOPICS = 3_000, 6
+#: How many clusters there are, and the rounds of their fit.
+TOPICS, ROUNDS = 6, 30
+#: Statistics in whole steps, so that sums do not depend on their order.
+STEPS = 1_000_000
 
 
 def statistics(text: Column) -> list[Column]:
@@ -65,48 +67,94 @@ def statistics(text: Column) -> list[Column]:
             F.sqrt(share(F.replace(text, F.lit("\n"), F.lit("")))), F.sqrt(gaps), F.log(n) / 12]
 
 
-def fit_topics(docs: DataFrame, text_col: str = "text", sample: int = TOPIC_SAMPLE, topics: int = TOPICS) -> np.ndarray:
-    """Centres of at most *topics* clusters (rows, by size) of the statistics of about *sample* documents, chosen by the hash of their text.
+def _measured(text: Column) -> Column:
+    """The statistics in steps, computed once; null for texts that are null or blank."""
+    found = F.element_at(F.transform(F.array(F.array(*statistics(text))), lambda x: F.transform(x, lambda v: F.round(v * STEPS).cast("long"))), 1)
+    return F.when(F.coalesce(F.trim(text) != "", F.lit(False)), found)
 
-    At most twice *sample* different rows of statistics are taken.  Texts that are null or blank are left out; without others there
-    are no centres.
+
+def _against(points: DataFrame, centres: np.ndarray) -> tuple[DataFrame, Column]:
+    """*points* with the centres as columns, and the struct (away, k) of the nearest one.
+
+    The centres come as a table of one row, so the plan, and with it the compiled code, stays the same from round to round.
+    """
+    names = [f"c{k}_{n}" for k in range(len(centres)) for n in range(6)]
+    row = points.sparkSession.sql(f"SELECT * FROM VALUES ({', '.join(f'{float(c)!r}D' for c in centres.ravel())}) AS t({', '.join(names)})")
+    away = [sum((F.col(f"s{n}") - F.col(f"c{k}_{n}")) * (F.col(f"s{n}") - F.col(f"c{k}_{n}")) for n in range(6)) for k in range(len(centres))]
+    return points.crossJoin(F.broadcast(row)), F.least(*[F.struct(d.alias("away"), F.lit(k).alias("k")) for k, d in enumerate([*away, away[0]])])
+
+
+def fit_topics(docs: DataFrame, text_col: str = "text", topics: int = TOPICS, measured: Column | None = None) -> np.ndarray:
+    """Centres of at most *topics* clusters (rows, by size) of the statistics of all documents; equal statistics count once.
+
+    Every round is one aggregate over all of them.  Texts that are null or blank are left out; without others there are no centres.
+    *measured* names statistics that *docs* already has (see ``measure``).
     """
-    text = F.col(f"`{text_col}`")
-    usable = docs.filter(F.coalesce(F.trim(text) != "", F.lit(False)))
-    share = min(1.0, sample / max(usable.count(), 1))
-    chosen = usable.filter(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     names = [f"s{k}" for k in range(6)]
-    rows = chosen.select(*[F.round(c, 6).alias(n) for c, n in zip(statistics(text), names)]).distinct().orderBy(F.xxhash64(*names), *names).limit(2 * sample).collect()
-    points = np.array([tuple(r) for r in rows], float).reshape(len(rows), 6)
-    if not len(points):
-        return points
+    found = docs.select((_measured(F.col(f"`{text_col}`")) if measured is None else measured).alias("s")).filter("s IS NOT NULL")
+    points = stage(found.select(*[F.col("s")[k].alias(n) for k, n in enumerate(names)]).distinct(), "points")
+    total = points.agg(F.count(F.lit(1)), *[F.sum(n) for n in names]).first()
+    if not total[0]:
+        return np.zeros((0, 6))
+    mean = np.array([[s / total[0] for s in total[1:]]])
+
+    def extreme(centres: np.ndarray, pick) -> tuple[float, np.ndarray]:
+        placed, near = _against(points, centres)
+        best = placed.select(near["away"].alias("away"), F.struct(*names).alias("at")).agg(pick(F.struct("away", "at")).alias("x")).first().x
+        return best.away, np.array(best["at"], float)
+
     # The first centre is the mean's nearest point, each other one the farthest from those there are; then Lloyd's rounds.
-    centres = [points[np.square(points - points.mean(0)).sum(1).argmin()]]
+    centres = extreme(mean, F.min)[1][None]
     while len(centres) < topics:
-        away = np.min([np.square(points - c).sum(1) for c in centres], axis=0)
-        if away.max() == 0:
+        away, at = extreme(centres, F.max)
+        if not away:
+            break
+        centres = np.vstack([centres, at])
+    sizes = np.zeros(len(centres), np.int64)
+    for turn in range(ROUNDS + 1):
+        placed, near = _against(points, centres)
+        sums = placed.select(near["k"].alias("k"), *names).groupBy("k").agg(F.count(F.lit(1)), *[F.sum(n) for n in names]).collect()
+        sizes[:] = 0
+        last, centres = centres, centres.copy()
+        for k, n, *total in sums:
+            sizes[k] = n
+            centres[k] = [t / n for t in total]
+        # The last turn only counts.
+        if turn == ROUNDS or np.array_equal(last, centres):
+            centres = last
             break
-        centres.append(points[away.argmax()])
-    centres = np.array(centres)
-    for _ in range(30):
-        owner = np.square(points[:, None] - centres[None]).sum(2).argmin(1)
-        centres = np.array([points[owner == k].mean(0) if (owner == k).any() else centres[k] for k in range(len(centres))])
-    sizes = np.bincount(np.square(points[:, None] - centres[None]).sum(2).argmin(1), minlength=len(centres))
-    return centres[np.argsort(-sizes, kind="stable")]
+    return centres[np.argsort(-sizes, kind="stable")] / STEPS
 
 
-def topic(text: Column, centres: np.ndarray) -> Column:
-    """topic-0 (the largest cluster of the fit), topic-1, ... by the nearest centre; null for texts that are null or blank."""
+def measure(docs: DataFrame, tokens: Column, mix: Mixture, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """*docs* (its columns *keep*, all if None) written with what a mixture needs of the texts, so that they are read once.
+
+    Adds _n_tokens, _chance (see ``sample_mixture``) and _statistics.
+    """
+    own = [F.col(f"`{c}`") for c in (keep if keep is not None else docs.columns)]
+    return stage(docs.select(*own, tokens.alias("_n_tokens"), _chance(mix, id_col, text_col).alias("_chance"), _measured(F.col(f"`{text_col}`")).alias("_statistics")), "measured")
+
+
+def _chance(mix: Mixture, id_col: str, text_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(mix.seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def topic(text: Column, centres: np.ndarray, measured: Column | None = None) -> Column:
+    """topic-0 (the largest cluster of the fit), topic-1, ... by the nearest centre; null for texts that are null or blank.
+
+    *measured* names statistics that are already there (see ``measure``), instead of those of *text*.
+    """
     if not len(centres):
         return F.lit(None).cast("string")
 
     def nearest(stats: Column) -> Column:
-        away = [sum((stats[k] - float(c)) * (stats[k] - float(c)) for k, c in enumerate(centre)) for centre in centres]
+        away = [sum((stats[k] - float(c)) * (stats[k] - float(c)) for k, c in enumerate(centre)) for centre in centres * STEPS]
         return F.array_min(F.array(*[F.struct(d.alias("away"), F.lit(k).alias("k")) for k, d in enumerate(away)]))["k"]
 
     # One element: the statistics are computed once for all centres.
-    found = F.element_at(F.transform(F.array(F.array(*statistics(text))), nearest), 1)
-    return F.when(F.trim(text) != "", F.concat(F.lit("topic-"), found.cast("string")))
+    stats = _measured(text) if measured is None else measured
+    found = F.element_at(F.transform(F.array(stats), lambda s: F.when(s.isNotNull(), nearest(s))), 1)
+    return F.concat(F.lit("topic-"), found.cast("string"))
 
 
 def _filled(parts: DataFrame, goal: float) -> float:
@@ -287,15 +335,16 @@ def fit_cells(docs: DataFrame, mix: Mixture, tokens: Column) -> DataFrame:
     return rake(stage(docs.select(*named, tokens.alias("_n_tokens")).groupBy(*mix.margins).agg(F.sum("_n_tokens").alias("tokens")), "cells"), mix)
 
 
-def sample_mixture(docs: DataFrame, mix: Mixture, tokens: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_mixture(docs: DataFrame, mix: Mixture, tokens: Column, id_col: str = "doc_id", text_col: str = "text", chance: Column | None = None) -> DataFrame:
     """The sampled rows of *docs* with their cell's probability as keep_probability (an own column of that name is replaced).
 
     *docs* has the margin columns (nulls count as one value).  A row is kept if the hash of its id and text falls below the
     probability: rows that repeat exactly are kept or dropped together.  Rows without tokens fall into a cell as well; a cell
-    without any is not kept.  An empty table gives none.  A source with most of the rows costs no more than another.
+    without any is not kept.  An empty table gives none.  A source with most of the rows costs no more than another.  *chance* names
+    the hash where it is already there (see ``measure``).
     """
     rates = stage(probabilities(fit_cells(docs, mix, tokens)), "rates").select(*[F.col(m).alias(f"m{k}") for k, m in enumerate(mix.margins)], "probability")
-    chance = F.pmod(F.xxhash64(F.lit(mix.seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chance = _chance(mix, id_col, text_col) if chance is None else chance
     own = [c for c in docs.columns if c != "keep_probability"]
     # The row travels as one value, so its names cannot clash; an element of an array, so that costly columns (the topic) are
     # computed once.  Spark broadcasts the cells by their written size or joins by shuffle.

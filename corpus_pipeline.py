@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contentkit.llm import jaccard_join, pairwise_quality, raking, secrets, tiling
-from contentkit.llm.queries import MIXTURE, fit_quality, table
+from contentkit.llm.queries import MIXTURE, fit_quality, mixed, table
 from contentkit.llm.storage import stage
 
 #: The learned, hashed and tiled decisions of the stages have no counterpart in SQL; tests hold them against brute force.
@@ -42,8 +42,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null sources, languages and topics are values of their own; rows that repeat are kept or dropped together.
     """
-    topics = raking.topic(F.col("text"), raking.fit_topics(docs))
-    return raking.sample_mixture(docs.withColumn("topic", topics), MIXTURE, raking.word_count(F.col("text")))
+    own = [c for c in docs.columns if c not in ("topic", "keep_probability")]
+    measured = raking.measure(docs, raking.word_count(F.col("text")), MIXTURE, keep=own)
+    return mixed(measured, MIXTURE).select(*own, "topic", "keep_probability")
 
 
 STAGES = [

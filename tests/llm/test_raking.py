@@ -98,3 +98,15 @@ def test_odd_rows(docs_of, odd_rows):
     got = raking.sample_mixture(docs, raking.Mixture(budget=1.0), raking.word_count(F.col("text")))
     assert sorted(got.columns) == sorted(docs.columns) and got.count() <= len(odd_rows) and got.filter("keep_probability > 1").count() == 0
     assert {r.doc_id for r in got.collect()} >= {4, 5, 6} and raking.sample_mixture(docs.limit(0), raking.Mixture(), raking.word_count(F.col("text"))).count() == 0
+
+
+def test_topics_are_fitted_on_all_documents(docs_of):
+    """Rows of another form, one in two thousand, are a cluster of their own wherever a sample would have been taken."""
+    rows = [(k, f"word and other words in a line of prose {k} " * (5 + k % 3)) for k in range(8000)] + [(9000 + k, "12 345 67; 89 | 10 " * (8 + k)) for k in range(2)]
+    docs = docs_of(rows)
+    centres = raking.fit_topics(docs, topics=2)
+    got = {r.doc_id: r.t for r in docs.select("doc_id", raking.topic(F.col("text"), centres).alias("t")).collect()}
+    assert got[9000] == got[9001] == "topic-1" and {got[k] for k in range(8000)} == {"topic-0"}
+    points = np.unique(np.array([tuple(r) for r in docs.select(*[F.round(c * raking.STEPS) for c in raking.statistics(F.col("text"))]).collect()]), axis=0)
+    owner = np.square(points[:, None] - centres[None] * raking.STEPS).sum(2).argmin(1)
+    assert np.allclose(centres, [points[owner == k].mean(0) / raking.STEPS for k in range(2)], atol=1e-9)
