@@ -4,7 +4,7 @@ The battery looks at every token of 16 or more characters that no pattern covers
 is inferred from its characters; digits alone are a number.  Three statistics measure how far it is from uniform noise over that alphabet:
 chi-squared of the character counts, a runs test about the middle of the alphabet, and the lag-one serial correlation.
 Ordinary text is the null hypothesis.  Long words are rare, so besides tokens that are letters only it is seen in pieces of
-every length glued from the short words of the documents and of a fixed passage, and the null of numbers is any number; mean and spread of the statistic are
+every length glued from all short words of all documents and of a fixed passage, and the null of numbers is any number; mean and spread of the statistic are
 fitted per encoding as functions of the length.  A token's p-value is the chance of ordinary text of its length and
 encoding to look as random.  Benjamini-Hochberg within each length band decides which tokens are reported.
 """
@@ -37,8 +37,6 @@ ALPHABETS = {
 BANDS = [20, 24, 32, 48, 64, 128]
 #: Lengths of the pieces of ordinary text.
 LEAST, MOST = 16, 128
-#: Characters of a text that its piece is taken from, wherever they lie.
-STRETCH = 2000
 #: Ordinary text that every null holds, so that a corpus of a few lines has one too.
 PASSAGE = """
 The harbour lies at the end of a narrow valley, and most of the houses were built before there was a road. Boats brought
@@ -129,16 +127,16 @@ def _distance(token: Column) -> Column:
 
     def battery(values: Column, letters: str) -> Column:
         m, n = float(len(letters)), F.size(values).cast("double")
-        squares = F.aggregate(F.array_distinct(values), F.lit(0.0), lambda acc, v: acc + F.pow(
-            F.size(F.filter(values, lambda x: x == v)).cast("double"), F.lit(2.0)))
+        # Equal characters lie together in the sorted token; changes of half are counted in a token of zeros and ones.
+        groups = F.regexp_extract_all(F.array_join(F.sort_array(F.split(token, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
+        squares = F.aggregate(groups, F.lit(0.0), lambda acc, g: acc + F.length(g).cast("double") * F.length(g))
         chi = (squares * m / n - n - (m - 1)) / F.sqrt(F.lit(2 * (m - 1)))
-        bits = F.transform(values, lambda v: (v > m / 2).cast("int"))
-        inner = F.sequence(F.lit(2), F.size(values))
-        changes = F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + (F.element_at(bits, i) != F.element_at(bits, i - 1)).cast("double"))
-        runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        halves = F.translate(token, letters, "".join("1" if k > m / 2 else "0" for k in range(len(letters))))
+        runs = (F.regexp_count(halves, F.lit("0(?=1)|1(?=0)")).cast("double") - (n - 1) / 2) / F.sqrt((n - 1) / 4)
         centre = (m - 1) / 2
         var = (m * m - 1) / 12
-        product = F.aggregate(inner, F.lit(0.0), lambda acc, i: acc + (F.element_at(values, i) - centre) * (F.element_at(values, i - 1) - centre))
+        products = F.zip_with(values, F.slice(values, 2, F.size(values)), lambda a, b: (a - centre) * (b - centre))
+        product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
         serial = product / (var * F.sqrt(n))
         return F.log(F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial + 1)
 
@@ -160,20 +158,19 @@ LEFT = {"base64": ("[^A-Za-z]", 0), "base32": ("[^A-Za-z]", 1), "hex": ("[^0-9A-
 
 
 def _pieces(text: Column) -> Column:
-    """One piece of ordinary text, of an encoding, a length and at a place given by the text's hash, from short words."""
-    start = F.pmod(F.xxhash64(F.lit(5), text), F.greatest(F.length(text) - STRETCH + 1, F.lit(1))).cast("int") + 1
-    short = F.regexp_replace(F.substring(text, start, F.lit(STRETCH)), CANDIDATE, " ")
-    pick = F.pmod(F.xxhash64(text), F.lit((MOST - LEAST + 1) * len(LEFT))).cast("int")
-    size = F.floor(pick / len(LEFT)).cast("int") + LEAST
-
-    def piece(pattern: str, case: int) -> Column:
-        rest = F.regexp_replace(short, pattern, "")
-        return F.substring(F.upper(rest) if case > 0 else F.lower(rest) if case < 0 else rest, F.lit(1), size)
-
-    out = F.lit(None).cast("string")
-    for k, left in enumerate(LEFT.values()):
-        out = F.when(pick % len(LEFT) == k, piece(*left)).otherwise(out)
-    return F.filter(F.array(out), lambda x: F.length(x) >= LEAST)
+    """All short words of a text, glued and cut into pieces once per encoding, of a length given by the text's hash.
+
+    What is left at the end of a text is a piece too, if it has LEAST characters.
+    """
+    def cut(short: Column) -> Column:
+        def pieces(k: int, pattern: str, case: int) -> Column:
+            rest = F.regexp_replace(short, pattern, "")
+            size = F.pmod(F.xxhash64(F.lit(k), text), F.lit(MOST - LEAST + 1)) + LEAST
+            return F.regexp_extract_all(F.upper(rest) if case > 0 else F.lower(rest) if case < 0 else rest, F.concat(F.lit(f".{{{LEAST},"), size.cast("string"), F.lit("}")), F.lit(0))
+
+        return F.concat(*[pieces(k, *left) for k, left in enumerate(LEFT.values())])
+
+    return _let(F.regexp_replace(text, CANDIDATE, " "), cut)
 
 
 def _passage_pieces() -> list[str]:

@@ -1,5 +1,6 @@
 """Numbers are no secrets, keys next to them are; every length has a null in a small corpus too."""
 
+import math
 import random
 import string
 
@@ -45,3 +46,26 @@ def test_pieces_come_from_the_whole_text(docs_of):
     docs = docs_of(list(enumerate(texts)))
     pieces = [p for r in docs.select(secrets._pieces(F.col("text")).alias("p")).collect() for p in r.p]
     assert any("TAIL" in p.upper() for p in pieces) and any("ALPHA" in p.upper() for p in pieces)
+
+
+def test_pieces_hold_every_short_word(docs_of):
+    texts = [" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in string.ascii_lowercase for c in "xyz") + " " + "q" * 40 + f" end{k}" for k in range(3)]
+    for r in docs_of(list(enumerate(texts))).select("text", secrets._pieces(F.col("text")).alias("p")).collect():
+        whole = "".join(c for c in r.text.replace("q" * 40, " ") if c.isalpha())
+        glued = "".join(p for p in r.p if p == p.lower() and set(p) - set("0123456789abcdef"))
+        assert len(whole) - len(glued) < secrets.LEAST and whole.startswith(glued)
+        assert sum(len(p) for p in r.p if p == p.upper()) > len(whole) - secrets.LEAST
+
+
+def test_distance_against_its_definition(docs_of):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in secrets.ALPHABETS.values() for n in (16, 23, 70)]
+    kinds = [r.k for r in docs_of(list(enumerate(tokens))).select("doc_id", secrets._kind(F.col("text")).alias("k")).orderBy("doc_id").collect()]
+    for token, kind, r in zip(tokens, kinds, docs_of(list(enumerate(tokens))).select("doc_id", secrets._distance(F.col("text")).alias("d")).orderBy("doc_id").collect()):
+        letters = secrets.ALPHABETS[kind]
+        v, m, n = [letters.find(c) for c in token], len(letters), len(token)
+        chi = (sum(token.count(c) ** 2 for c in set(token)) * m / n - n - (m - 1)) / math.sqrt(2 * (m - 1))
+        bits = [x > m / 2 for x in v]
+        runs = (sum(a != b for a, b in zip(bits, bits[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+        serial = sum((a - (m - 1) / 2) * (b - (m - 1) / 2) for a, b in zip(v, v[1:])) / ((m * m - 1) / 12 * math.sqrt(n))
+        assert abs(r.d - math.log(max(chi, 0) ** 2 + runs ** 2 + serial ** 2 + 1)) < 1e-9
