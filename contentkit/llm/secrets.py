@@ -121,31 +121,51 @@ def _size(token: Column) -> Column:
     return F.when(n <= MOST, n).otherwise(F.round(MOST * F.exp(F.round(F.log(n / MOST) * 50) / 50)))
 
 
-def _distance(token: Column) -> Column:
-    """Log of the squared test statistics: small for noise over the inferred alphabet, large for text."""
-    name = _kind(token)
-
-    def battery(values: Column, letters: str) -> Column:
-        m, n = float(len(letters)), F.size(values).cast("double")
-        # Equal characters lie together in the sorted token; changes of half are counted in a token of zeros and ones.
-        groups = F.regexp_extract_all(F.array_join(F.sort_array(F.split(token, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
-        squares = F.aggregate(groups, F.lit(0.0), lambda acc, g: acc + F.length(g).cast("double") * F.length(g))
-        chi = (squares * m / n - n - (m - 1)) / F.sqrt(F.lit(2 * (m - 1)))
-        halves = F.translate(token, letters, "".join("1" if k > m / 2 else "0" for k in range(len(letters))))
-        runs = (F.regexp_count(halves, F.lit("0(?=1)|1(?=0)")).cast("double") - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-        centre = (m - 1) / 2
-        var = (m * m - 1) / 12
-        products = F.zip_with(values, F.slice(values, 2, F.size(values)), lambda a, b: (a - centre) * (b - centre))
-        product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-        serial = product / (var * F.sqrt(n))
-        return F.log(F.pow(F.greatest(chi, F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial + 1)
+def _by_kind(kind: Column, one) -> Column:
+    """``one(letters)`` for the alphabet of *kind*."""
+    out = one(ALPHABETS["base64"])
+    for name in ("decimal", "hex", "base32"):
+        out = F.when(kind == name, one(ALPHABETS[name])).otherwise(out)
+    return out
+
 
+def _values(token: Column, kind: Column) -> Column:
+    """Places of the characters in the alphabet, from its middle; an array of literals is indexed, as searching the alphabet is slow."""
     def one(letters: str) -> Column:
-        codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(letters), c).cast("double") - 1)
-        return _let(codes, lambda v: battery(v, letters))
+        middle = F.array(*[F.lit(letters.find(chr(c)) - (len(letters) - 1) / 2) for c in range(1, 128)])
+        return F.transform(F.split(token, ""), lambda c: F.element_at(middle, F.ascii(c)))
 
-    return F.when(name == "decimal", one(ALPHABETS["decimal"])).when(name == "hex", one(ALPHABETS["hex"])).when(
-        name == "base32", one(ALPHABETS["base32"])).otherwise(one(ALPHABETS["base64"]))
+    return _by_kind(kind, one)
+
+
+def _statistic(token: Column, kind: Column, values: Column) -> Column:
+    """Log of the squared test statistics: small for noise over the inferred alphabet, large for text."""
+    n = F.length(token).cast("double")
+    # Equal characters lie together in the sorted token; changes of half are counted in a token of zeros and ones.
+    groups = F.regexp_extract_all(F.array_join(F.sort_array(F.split(token, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
+    squares = F.aggregate(groups, F.lit(0.0), lambda acc, g: acc + F.length(g).cast("double") * F.length(g))
+    pairs = F.size(values) - 1
+    products = F.zip_with(F.slice(values, F.lit(1), pairs), F.slice(values, F.lit(2), pairs), lambda a, b: a * b)
+    product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+    def chi(letters: str) -> Column:
+        m = float(len(letters))
+        return (squares * m / n - n - (m - 1)) / F.sqrt(F.lit(2 * (m - 1)))
+
+    def halves(letters: str) -> Column:
+        return F.translate(token, letters, "".join("1" if k > len(letters) / 2 else "0" for k in range(len(letters))))
+
+    def changes(bits: Column) -> Column:
+        return sum(n - F.length(F.replace(bits, F.lit(x), F.lit(""))) for x in ("01", "10")) / 2
+
+    runs = (changes(_by_kind(kind, halves)) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    serial = product / (_by_kind(kind, lambda letters: F.lit((len(letters) ** 2 - 1) / 12)) * F.sqrt(n))
+    return F.log(F.pow(F.greatest(_by_kind(kind, chi), F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial + 1)
+
+
+def _distance(token: Column) -> Column:
+    """The statistic of a token inside an expression; over many rows, columns for the kind and the values are faster."""
+    return _let(_kind(token), lambda kind: _let(_values(token, kind), lambda values: _statistic(token, kind, values)))
 
 
 def _p_value(z: Column) -> Column:
@@ -218,11 +238,14 @@ def fit_battery(docs: DataFrame, text_col: str = "text", rate: float = 0.001) ->
     tokens = docs.filter(text.isNotNull()).select(F.explode(F.concat(
         F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), row(False)), F.transform(_pieces(text), row(True)))).alias("x")).select("x.*")
     fixed = docs.sparkSession.createDataFrame([(x, True) for x in _passage_pieces()], "token string, ordinary boolean")
-    measured = tokens.unionByName(fixed).select(
-        "ordinary", _kind(F.col("token")).alias("kind"), _band(F.length("token")).alias("band"), _size(F.col("token")).alias("size"),
-        F.round(_distance(F.col("token")), 2).alias("bin"), F.col("token").rlike("^([A-Za-z]+|[0-9]+)$").alias("letters"))
+    # Each column is one projection of its own and no filter refers to it, so that none is computed twice.
+    token, kind = F.col("token"), F.col("kind")
+    valued = tokens.unionByName(fixed).select("ordinary", "token", _kind(token).alias("kind")).select("*", _values(token, kind).alias("values"))
+    measured = valued.select(
+        "ordinary", "kind", _band(F.length("token")).alias("band"), _size(token).alias("size"),
+        F.round(_statistic(token, kind, F.col("values")), 2).alias("bin"), token.rlike("^([A-Za-z]+|[0-9]+)$").alias("letters"))
     # The statistic is a logarithm rounded to 0.01 and lengths come in steps, so the grid is bounded whatever the input.
-    grid = stage(measured.groupBy("ordinary", "letters", "kind", "band", "size", "bin").agg(F.count(F.lit(1)).alias("n")).filter("bin IS NOT NULL"), "battery")
+    grid = stage(measured.groupBy("ordinary", "letters", "kind", "band", "size", "bin").agg(F.count(F.lit(1)).alias("n")), "battery").filter("bin IS NOT NULL")
     ordinary = grid.filter("ordinary OR letters")
     # Per length the mean, and the mean below it, would not give the residuals of the curve; the bins do, in steps of 0.1.
     seen = ordinary.groupBy("kind", "size", F.round("bin", 1).alias("step")).agg(

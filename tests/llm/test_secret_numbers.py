@@ -1,5 +1,6 @@
 """Numbers are no secrets, keys next to them are; every length has a null in a small corpus too."""
 
+import contextlib
 import math
 import random
 import string
@@ -69,3 +70,18 @@ def test_distance_against_its_definition(docs_of):
         runs = (sum(a != b for a, b in zip(bits, bits[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
         serial = sum((a - (m - 1) / 2) * (b - (m - 1) / 2) for a, b in zip(v, v[1:])) / ((m * m - 1) / 12 * math.sqrt(n))
         assert abs(r.d - math.log(max(chi, 0) ** 2 + runs ** 2 + serial ** 2 + 1)) < 1e-9
+
+
+def test_statistic_is_computed_once(docs_of, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(secrets, "stage", kept)
+    with contextlib.suppress(StopIteration):
+        secrets.fit_battery(docs_of([(1, "some words of a text")]))
+    # One projection for the tokens of the documents and one for those of the passage; no filter repeats the statistic.
+    lines = [x for x in plans[0].splitlines() if "zip_with" in x]
+    assert len(lines) == 2 and not any(x.lstrip(" :+-").startswith("Filter") for x in lines)
