@@ -3,6 +3,7 @@
 import contextlib
 import math
 import random
+import re
 import string
 
 import duckdb
@@ -85,3 +86,17 @@ def test_statistic_is_computed_once(docs_of, monkeypatch):
     # One projection for the tokens of the documents and one for those of the passage; no filter repeats the statistic.
     lines = [x for x in plans[0].splitlines() if "zip_with" in x]
     assert len(lines) == 2 and not any(x.lstrip(" :+-").startswith("Filter") for x in lines)
+
+
+def test_pieces_against_their_definition_with_one_pass_per_alphabet(docs_of):
+    texts = ["Größe 12 of DEADBEEF, café\nline two " * 9, "x", "", "k" * 30 + " a b c d e f " * 4 + "q" * 15, "日本 語 abc DEF 0123 " * 12]
+    got = docs_of(list(enumerate(texts))).select(
+        "text", secrets._pieces(F.col("text")).alias("p"), *[(F.pmod(F.xxhash64(F.lit(k), "text"), F.lit(113)) + 16).alias(f"n{k}") for k in range(3)])
+    for r in got.collect():
+        short = re.sub(secrets.CANDIDATE, " ", r.text)
+        letters, digits = re.sub("[^A-Za-z]", "", short), re.sub("[^0-9A-Fa-f]", "", short)
+        rests = [(letters, r.n0), (letters.upper(), r.n1), (digits.lower(), r.n2)]
+        assert sorted(r.p) == sorted(p for rest, n in rests for p in (rest[k:k + n] for k in range(0, len(rest), n)) if len(p) >= 16)
+    # Nothing is removed character by character, and letters are glued once for the two encodings that are made of them.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^" not in plan and plan.count("[A-Za-z]+") == 1
