@@ -16,6 +16,9 @@ from contentkit.operators.skew import stage
 
 #: Levels of objects that one step goes down.
 LEVELS = 4
+#: Rows that one task sorts or groups.  Spark cuts partitions by compressed bytes, and objects that are much alike are compressed to so
+#: little that one task would hold a large part of all rows.
+ROWS = 1 << 14
 PAIRS = "array<struct<at:string,base:variant,top:variant>>"
 
 
@@ -50,6 +53,11 @@ def _merged(base: Column, top: Column, at: Column, below: Column, levels: int) -
     return F.to_variant_object(F.map_zip_with(as_map(base), as_map(top), both))
 
 
+def _dealt(table: DataFrame, key: str, rows: int) -> DataFrame:
+    """*table* by *key* in partitions of about ROWS of *rows* rows."""
+    return table.repartition(1 + rows // ROWS, key)
+
+
 def _no_results() -> Column:
     return F.create_map().cast("map<string,variant>")
 
@@ -78,14 +86,17 @@ def deep_merge(docs: DataFrame, base: str, top: str, out: str, levels: int = LEV
         if tables[-1].filter(F.size("_pairs") > 0).isEmpty():
             break
     results = None
-    for table in reversed(tables):
+    counts = [table.count() for table in tables]
+    for k in reversed(range(len(tables))):
+        table = tables[k]
         if results is None:
             ready = table.withColumn("_below", _no_results())
         else:
-            ready = table.join(results, "_row", "left").withColumn("_below", F.coalesce("_below", _no_results()))
+            dealt = _dealt(table, "_row", counts[k]).join(_dealt(results, "_row", counts[k]), "_row", "left")
+            ready = dealt.withColumn("_below", F.coalesce("_below", _no_results()))
         done = ready.withColumn("_out", _merged(F.col("_base"), F.col("_top"), start, F.col("_below"), levels))
-        if table is tables[0]:
-            return flat.unionByName(rows.join(done.select("_row", F.col("_out").alias(out)), "_row").select(*kept, out))
+        if k == 0:
+            return flat.unionByName(_dealt(rows, "_row", counts[0]).join(done.select("_row", F.col("_out").alias(out)), "_row").select(*kept, out))
         # The pairs of one parent lie in one document, so they are no more than its keys.
-        results = stage(done.groupBy(F.col("_parent").alias("_row")).agg(
+        results = stage(_dealt(done.select(F.col("_parent").alias("_row"), "_at", "_out"), "_row", counts[k]).groupBy("_row").agg(
             F.map_from_entries(F.collect_list(F.struct("_at", "_out"))).alias("_below")), "deep-results")

@@ -59,3 +59,12 @@ def test_fifty_levels(spark):
 
 def test_no_rows(spark):
     assert merge(spark, []) == {}
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Objects that are much alike shrink to a few bytes a row; deep rows are dealt out by their number all the same."""
+    monkeypatch.setattr(N, "ROWS", 50, raising=False)
+    deep = F.parse_json(F.lit('{"a": ' * 9 + "1" + "}" * 9))
+    docs = spark.range(1000).select("id", deep.alias("base"), deep.alias("top"))
+    held = N.deep_merge(docs, "base", "top", "merged").select("id").rdd.glom().map(len).collect()
+    assert sum(held) == 1000 and max(held) <= 2 * N.ROWS
