@@ -257,43 +257,59 @@ def group_anchors(table: pa.Table, span: Span, buckets: int) -> pa.Table:
 
 
 def depth_order(sides: list[bytes], block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of every distinct equal-length string, and its common prefix with the string of the rank before it.
+    """Rank of every distinct string, and its common prefix with the string of the rank before it; a prefix of another comes before it.
 
     Strings come from one suffix array per block of about *block* bytes; strings are put into blocks by their
     first bytes, so that ranks of blocks follow each other.
     """
-    width = len(sides[0])
+    sizes = np.fromiter(map(len, sides), np.int64, len(sides))
     heads = sorted(range(len(sides)), key=lambda k: sides[k][:4])
+    ends = np.cumsum(sizes[heads] + 1)
     ranks = np.zeros(len(sides), np.int64)
     begin, done = 0, 0
     while begin < len(heads):
-        end = min(len(heads), begin + max(1, block // (width + 1)))
+        held = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + block, "right")))
         while end < len(heads) and sides[heads[end]][:4] == sides[heads[end - 1]][:4]:
             end += 1
-        part = heads[begin:end]
-        joined = np.frombuffer(b"".join(sides[k] for k in part), np.uint8).reshape(len(part), width).astype(np.int64) + 2
-        text = np.concatenate([np.concatenate([joined, np.ones((len(part), 1), np.int64)], axis=1).reshape(-1), [0]])
-        found = np.asarray(suffix_array(text.tolist()))
-        starts = found[(found % (width + 1) == 0) & (found < len(part) * (width + 1))] // (width + 1)
-        ranks[np.asarray(part)[starts]] = done + np.arange(len(part))
+        part = np.asarray(heads[begin:end])
+        size = sizes[part] + 1
+        starts = np.cumsum(size) - size
+        text = np.zeros(int(size.sum()) + 1, np.int64)
+        letters = np.ones(len(text) - 1, bool)
+        letters[starts + size - 1] = False
+        text[:-1][letters] = np.frombuffer(b"".join(sides[k] for k in part), np.uint8).astype(np.int64) + 2
+        text[starts + size - 1] = 1
+        which = np.full(len(text), -1)
+        which[starts] = part
+        found = which[np.asarray(suffix_array(text.tolist()))]
+        ranks[found[found >= 0]] = done + np.arange(len(part))
         done += len(part)
         begin = end
-    rows = np.frombuffer(b"".join(sides), np.uint8).reshape(len(sides), width)[np.argsort(ranks)]
+    # Beyond its end a string has a symbol that no byte equals.
+    rows = np.full((len(sides), int(sizes.max())), -1, np.int16)
+    rows[np.arange(rows.shape[1]) < sizes[:, None]] = np.frombuffer(b"".join(sides), np.uint8)
+    order = np.argsort(ranks)
+    rows, sizes = rows[order], sizes[order]
     same = np.cumprod(rows[1:] == rows[:-1], axis=1).sum(axis=1)
-    return ranks, np.concatenate([[0], same]).astype(np.int64)
+    return ranks, np.concatenate([[0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))]).astype(np.int64)
 
 
-def _numbers(rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """For every row and depth, a number that equal prefixes of that depth share; rows that are not *wanted* stay 0."""
+def _numbers(rows: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For every row and depth, a number that equal prefixes of that depth share within a group; rows whose group has all in *common* stay 0.
+
+    *common* is the prefix that all rows of the group have, which decides nothing: only what follows it is ordered.
+    """
     width = rows.shape[1]
     out = np.zeros((len(rows), width + 1), np.int64)
     texts: dict[bytes, int] = {}
-    where = np.flatnonzero(wanted)
-    which = [texts.setdefault(rows[k].tobytes(), len(texts)) for k in where.tolist()]
+    where = np.flatnonzero(common < width)
+    which = [texts.setdefault(rows[k, common[k]:].tobytes(), len(texts)) for k in where.tolist()]
     if texts:
-        ranks, common = depth_order(list(texts))
-        classes = np.cumsum(common[:, None] < np.arange(width + 1)[None, :], axis=0)
-        out[where] = classes[ranks[np.asarray(which)]]
+        ranks, shared = depth_order(list(texts))
+        classes = np.cumsum(shared[:, None] < np.arange(width + 1)[None, :], axis=0)
+        depth = np.maximum(np.arange(width + 1)[None, :] - common[where][:, None], 0)
+        out[where] = classes[ranks[np.asarray(which)][:, None], depth]
     return out
 
 
@@ -320,10 +336,11 @@ def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
     signed = ids.view(np.int64)
 
-    def differs(rows: np.ndarray) -> np.ndarray:
-        return np.logical_or.reduceat((rows != rows[starts[group]]).any(axis=1), starts)[group]
+    def common(rows: np.ndarray) -> np.ndarray:
+        same = np.logical_and.reduceat(rows == rows[starts[group]], starts)
+        return np.cumprod(same, axis=1).sum(axis=1)[group]
 
-    lefts, rights = _numbers(left, differs(left)), _numbers(right, differs(right))
+    lefts, rights = _numbers(left, common(left)), _numbers(right, common(right))
     covered = np.zeros((len(hashes), side + 1), bool)
     for o in range(side + 1):
         # The string with o bytes before the anchor; rows are sorted by id within a group, so the first of a class is the least.
