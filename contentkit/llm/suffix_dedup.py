@@ -295,16 +295,47 @@ def depth_order(sides: list[bytes], block: int = 1 << 16) -> tuple[np.ndarray, n
     return ranks, np.concatenate([[0], np.minimum(same, np.minimum(sizes[1:], sizes[:-1]))]).astype(np.int64)
 
 
-def _numbers(rows: np.ndarray, common: np.ndarray) -> np.ndarray:
+def _distinct(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of one row of every different (group, bytes), and which of them each row equals."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, :rows.shape[1]] = rows
+    words = padded.view(np.uint64).T
+    order = np.lexsort((*words, group))
+    new = np.ones(len(rows), bool)
+    new[1:] = np.logical_or.reduce([key[order][1:] != key[order][:-1] for key in (*words, group)])
+    which = np.empty(len(rows), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _told(rows: np.ndarray, common: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Per row a depth at which no other text of its group has the same prefix, or the width; found in steps that double from *common*."""
+    width, reach = rows.shape[1], 1
+    texts, text = _distinct(group, rows)
+    depth, todo = np.full(len(texts), width), np.arange(len(texts))
+    while reach < width and len(todo):
+        at = texts[todo]
+        end = np.minimum(common[at] + reach, width)
+        part = rows[at[:, None], np.minimum(common[at][:, None] + np.arange(reach), width - 1)]
+        which = _distinct(group[at], part)[1]
+        alone = np.bincount(which)[which] == 1
+        depth[todo[alone]] = end[alone]
+        todo, reach = todo[~alone], reach * 2
+    return depth[text]
+
+
+def _numbers(rows: np.ndarray, common: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
     """For every row and depth, a number that equal prefixes of that depth share within a group; rows whose group has all in *common* stay 0.
 
-    *common* is the prefix that all rows of the group have, which decides nothing: only what follows it is ordered.
+    *common* is the prefix that all rows of the group have, which decides nothing, and with *group* known, nor do the bytes
+    beyond a depth at which a text differs from all others of its group: only those between are ordered.
     """
     width = rows.shape[1]
     out = np.zeros((len(rows), width + 1), np.int64)
     texts: dict[bytes, int] = {}
     where = np.flatnonzero(common < width)
-    which = [texts.setdefault(rows[k, common[k]:].tobytes(), len(texts)) for k in where.tolist()]
+    ends = np.full(len(where), width) if group is None else _told(rows[where], common[where], group[where])
+    which = [texts.setdefault(rows[k, common[k]:end].tobytes(), len(texts)) for k, end in zip(where.tolist(), ends.tolist())]
     if texts:
         ranks, shared = depth_order(list(texts))
         classes = np.cumsum(shared[:, None] < np.arange(width + 1)[None, :], axis=0)
@@ -340,7 +371,7 @@ def resolve_sides(table: pa.Table, span: Span, buckets: int) -> pa.Table:
         same = np.logical_and.reduceat(rows == rows[starts[group]], starts)
         return np.cumprod(same, axis=1).sum(axis=1)[group]
 
-    lefts, rights = _numbers(left, common(left)), _numbers(right, common(right))
+    lefts, rights = _numbers(left, common(left), group), _numbers(right, common(right), group)
     covered = np.zeros((len(hashes), side + 1), bool)
     for o in range(side + 1):
         # The string with o bytes before the anchor; rows are sorted by id within a group, so the first of a class is the least.
