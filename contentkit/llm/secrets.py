@@ -130,42 +130,65 @@ def _by_kind(kind: Column, one) -> Column:
 
 
 def _values(token: Column, kind: Column) -> Column:
-    """Places of the characters in the alphabet, from its middle; an array of literals is indexed, as searching the alphabet is slow."""
+    """Places of the characters in the alphabet, as twice the distance from its middle; an array of literals is indexed, as searching the alphabet is slow."""
     def one(letters: str) -> Column:
-        middle = F.array(*[F.lit(letters.find(chr(c)) - (len(letters) - 1) / 2) for c in range(1, 128)])
+        middle = F.array(*[F.lit(2 * letters.find(chr(c)) - (len(letters) - 1)).cast("long") for c in range(1, 128)])
         return F.transform(F.split(token, ""), lambda c: F.element_at(middle, F.ascii(c)))
 
     return _by_kind(kind, one)
 
 
-def _statistic(token: Column, kind: Column, values: Column) -> Column:
-    """Log of the squared test statistics: small for noise over the inferred alphabet, large for text."""
-    n = F.length(token).cast("double")
-    # Equal characters lie together in the sorted token; changes of half are counted in a token of zeros and ones.
+#: Characters of a token whose counts fit the long of _squares: the pairs in 34 bits, the run in 20.
+PACKED = 1 << 17
+
+
+def _squares(token: Column, ordered: Column) -> Column:
+    """Sum of the squared counts of the characters; *ordered* are the sorted values.
+
+    One long is carried along the values: the value in its highest bits, then the pairs of equal characters, then how many
+    characters the run has so far.  A run goes on where the next value is not above the carried one.
+    """
+    def step(acc: Column, x: Column) -> Column:
+        run, pairs = F.lit((1 << 20) - 1).cast("long"), F.lit((1 << 54) - (1 << 20)).cast("long")
+        top = F.shiftleft(x, 54)
+        return F.when(acc >= top, acc + F.shiftleft(acc.bitwiseAND(run), 20) + F.lit(1)).otherwise(acc.bitwiseAND(pairs) + top + F.lit(1))
+
+    packed = F.aggregate(ordered, F.shiftleft(F.element_at(ordered, 1), 54), step)
+    pairs = F.shiftright(packed, 20).bitwiseAND(F.lit((1 << 34) - 1).cast("long"))
+    # Equal characters lie together in the sorted token.
     groups = F.regexp_extract_all(F.array_join(F.sort_array(F.split(token, "")), ""), F.lit(r"(.)\1*"), F.lit(0))
-    squares = F.aggregate(groups, F.lit(0.0), lambda acc, g: acc + F.length(g).cast("double") * F.length(g))
-    # The last value has no next one; its product is null.
-    products = F.zip_with(values, F.slice(values, F.lit(2), F.size(values)), lambda a, b: a * b)
-    product = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    counted = F.aggregate(groups, F.lit(0.0), lambda acc, g: acc + F.length(g).cast("double") * F.length(g))
+    return F.when(F.length(token) <= PACKED, (pairs * 2 + F.length(token)).cast("double")).otherwise(counted)
+
+
+def _statistic(token: Column, kind: Column, values: Column, ordered: Column) -> Column:
+    """Log of the squared test statistics: small for noise over the inferred alphabet, large for text.
+
+    *ordered* are the sorted *values*; as a column of its own, numbers are sorted many times faster than inside an expression.
+    """
+    n = F.length(token).cast("double")
+    squares = _squares(token, ordered)
+    before = F.size(values) - 1
+    products = F.zip_with(F.slice(values, F.lit(1), before), F.slice(values, F.lit(2), before), lambda a, b: a * b)
+    product = F.aggregate(products, F.lit(0).cast("long"), lambda acc, x: acc + x) / F.lit(4.0)
 
     def chi(letters: str) -> Column:
         m = float(len(letters))
         return (squares * m / n - n - (m - 1)) / F.sqrt(F.lit(2 * (m - 1)))
 
-    def halves(letters: str) -> Column:
-        return F.translate(token, letters, "".join("1" if k > len(letters) / 2 else "0" for k in range(len(letters))))
-
-    def changes(bits: Column) -> Column:
-        return sum(n - F.length(F.replace(bits, F.lit(x), F.lit(""))) for x in ("01", "10")) / 2
+    def changes(letters: str) -> Column:
+        # Runs of one half less one: what is in no half, as the end of base32, follows all others.
+        halves = [re.escape("".join(c for k, c in enumerate(letters) if (k > len(letters) / 2) == upper)) for upper in (False, True)]
+        return F.size(F.regexp_extract_all(token, F.lit("[{}]+|[{}]+".format(*halves)), F.lit(0))) - 1
 
-    runs = (changes(_by_kind(kind, halves)) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+    runs = (_by_kind(kind, changes) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     serial = product / (_by_kind(kind, lambda letters: F.lit((len(letters) ** 2 - 1) / 12)) * F.sqrt(n))
     return F.log(F.pow(F.greatest(_by_kind(kind, chi), F.lit(0.0)), F.lit(2.0)) + runs * runs + serial * serial + 1)
 
 
 def _distance(token: Column) -> Column:
     """The statistic of a token inside an expression; over many rows, columns for the kind and the values are faster."""
-    return _let(_kind(token), lambda kind: _let(_values(token, kind), lambda values: _statistic(token, kind, values)))
+    return _let(_kind(token), lambda kind: _let(_values(token, kind), lambda values: _statistic(token, kind, values, F.sort_array(values))))
 
 
 def _p_value(z: Column) -> Column:
@@ -245,10 +268,11 @@ def fit_battery(docs: DataFrame, text_col: str = "text", rate: float = 0.001) ->
     fixed = docs.sparkSession.createDataFrame([(x, True) for x in _passage_pieces()], "token string, ordinary boolean")
     # Each column is one projection of its own and no filter refers to it, so that none is computed twice.
     token, kind = F.col("token"), F.col("kind")
-    valued = tokens.unionByName(fixed).select("ordinary", "token", _kind(token).alias("kind")).select("*", _values(token, kind).alias("values"))
+    valued = tokens.unionByName(fixed).select("ordinary", "token", _kind(token).alias("kind")).select("*", _values(token, kind).alias("values")).select(
+        "*", F.sort_array("values").alias("ordered"))
     measured = valued.select(
         "ordinary", "kind", _band(F.length("token")).alias("band"), _size(token).alias("size"),
-        F.round(_statistic(token, kind, F.col("values")), 2).alias("bin"), token.rlike("^([A-Za-z]+|[0-9]+)$").alias("letters"))
+        F.round(_statistic(token, kind, F.col("values"), F.col("ordered")), 2).alias("bin"), token.rlike("^([A-Za-z]+|[0-9]+)$").alias("letters"))
     # The statistic is a logarithm rounded to 0.01 and lengths come in steps, so the grid is bounded whatever the input.
     grid = stage(measured.groupBy("ordinary", "letters", "kind", "band", "size", "bin").agg(F.count(F.lit(1)).alias("n")), "battery").filter("bin IS NOT NULL")
     ordinary = grid.filter("ordinary OR letters")

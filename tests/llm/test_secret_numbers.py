@@ -1,5 +1,6 @@
 """Numbers are no secrets, keys next to them are; every length has a null in a small corpus too."""
 
+import collections
 import contextlib
 import math
 import random
@@ -100,3 +101,29 @@ def test_pieces_against_their_definition_with_one_pass_per_alphabet(docs_of):
     # Nothing is removed character by character, and letters are glued once for the two encodings that are made of them.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "[^" not in plan and plan.count("[A-Za-z]+") == 1
+
+
+def test_statistic_of_any_token(spark):
+    rng = random.Random(31)
+    tokens = ["A" * 16 + "==", "KLZ2" * 5 + "=", "=" * 20, "f" * 40, "a" * (secrets.PACKED + 1), "b" * secrets.PACKED]
+    tokens += ["".join(rng.choice(a) for _ in range(rng.randint(16, 300))) for a in secrets.ALPHABETS.values() for _ in range(20)]
+    token = F.col("token")
+
+    def want(token, kind):
+        letters, n = secrets.ALPHABETS[kind], len(token)
+        m, squares = len(letters), sum(c * c for c in collections.Counter(token).values())
+        values = [letters.find(c) - (m - 1) / 2 for c in token]
+        halves = [letters.find(c) > m / 2 for c in token if c in letters]
+        changes = sum(a != b for a, b in zip(halves, halves[1:]))
+        chi = max((squares * m / n - n - (m - 1)) / math.sqrt(2 * (m - 1)), 0)
+        runs = (changes - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+        serial = sum(a * b for a, b in zip(values, values[1:])) / ((m * m - 1) / 12 * math.sqrt(n))
+        return squares, math.log(chi**2 + runs**2 + serial**2 + 1)
+
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string").withColumn("kind", secrets._kind(token))
+    rows = rows.withColumn("values", secrets._values(token, F.col("kind"))).withColumn("ordered", F.sort_array("values"))
+    found = rows.select("token", "kind", secrets._squares(token, F.col("ordered")).alias("squares"), secrets._distance(token).alias("distance"),
+                        secrets._statistic(token, F.col("kind"), F.col("values"), F.col("ordered")).alias("statistic")).collect()
+    for r in found:
+        squares, statistic = want(r.token, r.kind)
+        assert r.squares == squares and r.distance == r.statistic and abs(r.statistic - statistic) < 1e-9
